@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, packing, quality, tokenfile, tokens, urls
+from tessera.llm import exact, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
 from tessera.llm.work import documents, pages
 
 
@@ -19,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = warc.typed_records(pages(spark, sf_dir).select("page_id", "url", "html"))
+    return warc.records(warc.read(warc.write(warc.chunked(typed))))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     decoded = tokens.decode(tokens.encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
@@ -32,11 +37,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def remainder(modulus: int):
+    """crc32(doc_id as text) mod ``modulus``; a null doc_id counts as 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % modulus
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, counts, total, _ = lm.fit(docs.where(remainder(10) != 0))
+    scored = lm.score(docs, model, counts, total)
+    return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learned = language.fit(docs.select("doc_id", "text", "lang").where(remainder(5) != 0))
+    asked = docs.select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    return language.predict(asked, learned).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.range_join(pages(spark, sf_dir).select("page_id", "url"), urls.rules_frame(spark, urls.RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact.decisions(docs, exact.copy_groups(docs))
@@ -48,9 +77,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_score": op5_lm_score,
+    "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_output": op10_token_output,
 }
@@ -65,6 +98,14 @@ _FAILS = rf"""
 """
 
 ORACLES = {
+    "op2_warc": f"""
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+g as (select *, min(page_id) over (partition by h) as f from p)
+select page_id, n::bigint as payload_bytes, sha256(h) as payload_digest,
+       case when n >= {warc.MIN_REVISIT} and page_id <> f then 'revisit' else 'response' end as record_type,
+       case when n >= {warc.MIN_REVISIT} and page_id <> f then f end as refers_to
+from g
+""",
     "op4_quality_rules": rf"""
 with w as (
   select row_number() over () rid, doc_id, coalesce(text, '') as body, {_WORDS.format('text')} as words from documents
