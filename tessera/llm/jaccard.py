@@ -15,11 +15,12 @@ loses nothing as the distance on a smaller domain is no larger. A set with fewer
 domain and, if that is not enough either, signs its empty parts. A pair is lost only if neither side is sure, and then
 both have signed everything. The sample steers cost, never results.
 
-Signatures go to buckets of about ``BUCKET_SIGNATURES``, packed in binary. Classes that share a signature are a run. A run's
-smallest class is paired with the others first (no pairs within the group); exact bounds from 256-bin counts drop pairs that
-are too far apart; the rest are verified on their whole sets. Links make components; then, of each run that holds more than one
-component, only pairs across components are looked at, in blocks, with the same bound and the same verification.
-No pair of different classes that share a signature is left out unless it is in one component already.
+Signatures go to buckets of about ``BUCKET_SIGNATURES``, packed in binary. Classes that share a signature are a run. A
+run's smallest class leads; pairs of the leader and another class come first (no pairs within the group). Exact bounds
+from binned counts drop pairs that are too far apart, and a class's nearest are verified on their whole sets. Links make
+components. Then only pairs across components are looked at, in blocks of the classes that follow one leader: every pair
+that the bound leaves is verified. No pair of different classes that share a signature is left out unless it is in one
+component already.
 
 Components come from min-label propagation with pointer jumping over written tables.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import small_batches
@@ -42,15 +43,18 @@ from tessera.llm.words import hashes, mix
 from tessera.llm.work import written
 
 WORDS = 5
-BINS = 256
+LEAST_BINS = 64
 BUCKET_SIGNATURES = 3_000_000
 #: Signatures a task holds before it hands them out.
 HELD_SIGNATURES = 1_500_000
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 4000
 #: A shingle in this share of the sampled documents is left out of the first domain.
-FREQUENT = 0.01
-BLOCK = 512
+FREQUENT = 0.001
+BLOCK = 256
+#: How many of a class's nearest partners among leaders and followers are verified first.
+FIRST_PARTNERS = 8
 DOC_BUCKETS = 1 << 18
+_SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -79,8 +83,25 @@ def class_of(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """How many shingles fall into each of BINS bins, at most 255 (a cap can only make a bound weaker)."""
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many shingles fall into each bin, at most 3, in two bits each; at least twice as many bins as shingles."""
+    bins = max(LEAST_BINS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else LEAST_BINS
+    counts = np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 3).astype(np.uint8).reshape(-1, 4)
+    return (counts[:, 0] | counts[:, 1] << 2 | counts[:, 2] << 4 | counts[:, 3] << 6).tobytes()
+
+
+def bins_of(packed: bytes, bins: int | None = None) -> np.ndarray:
+    """Counts of a sketch, folded to ``bins`` bins. Counts are capped again, so they stay what ``bins`` bins would
+    have given, and differences are no larger than those of the sets."""
+    raw = np.frombuffer(packed, np.uint8)
+    counts = ((raw[:, None] >> _SHIFTS) & 3).ravel()
+    while bins is not None and len(counts) > bins:
+        counts = np.minimum(counts[: len(counts) // 2] + counts[len(counts) // 2 :], 3)
+    return counts
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At most the number of shingles in which the sets differ (rows of counts)."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=-1, dtype=np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -217,10 +238,10 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
     return small_batches(docs).select(F.col(f"`{text}`").alias("body")).mapInArrow(run, "bucket int, signatures binary, owners binary, names binary")
 
 
-def runs(packed: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: (a, b), the smallest class of a run and another; kind 1: (run, member) of runs of three or more."""
+def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): the smallest class of a run and each other class of it, once for each task."""
 
-    def of_bucket(rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def of_bucket(rows: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
         sig = np.concatenate([np.frombuffer(s, np.uint32) for s, _, _ in rows])
         cls = np.concatenate([np.frombuffer(m, np.int64)[np.frombuffer(o, np.uint16)] for _, o, m in rows])
         order = np.argsort(sig, kind="stable")
@@ -232,29 +253,9 @@ def runs(packed: DataFrame, buckets: int) -> DataFrame:
         sig, cls = sig[again], cls[order][again]  # most signatures are alone
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-        sig, cls = sig[fresh], cls[fresh]
-        if not len(sig):
-            return
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(first, len(sig)))
-        lead = np.repeat(cls[first], size)
-        other = np.ones(len(sig), bool)
-        other[first] = False
-        pairs = np.unique(np.stack([lead[other], cls[other]], 1), axis=0)
-        with np.errstate(over="ignore"):
-            name = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64))  # equal runs have one name
-        _, once = np.unique(name, return_index=True)
-        chosen = np.zeros(len(first), bool)
-        chosen[once] = True
-        chosen &= size >= 3
-        keep = np.repeat(chosen, size)
-        run = np.repeat(name.view(np.int64), size)[keep]
-        for kind, x, y in ((0, pairs[:, 0], pairs[:, 1]), (1, run, cls[keep])):
-            for i in range(0, len(x), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[part]), kind, np.int32)), pa.array(x[part]), pa.array(y[part])], ["kind", "x", "y"])
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+        lead = np.repeat(cls[first], np.diff(np.append(first, len(sig))))
+        return np.unique(np.stack([lead[lead != cls], cls[lead != cls]], 1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -262,25 +263,29 @@ def runs(packed: DataFrame, buckets: int) -> DataFrame:
             for bucket, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 held.setdefault(bucket, []).append(rest)
         for bucket in list(held):
-            yield from of_bucket(held.pop(bucket))
+            pairs = of_bucket(held.pop(bucket))
+            for i in range(0, len(pairs), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c]) for c in (0, 1)], ["a", "b"])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "kind int, x long, y long")
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the bound from sizes and bins does not exclude."""
+    """Pairs (a, b) that the bound from sizes and bins does not exclude; apart: the bound's share of the limit."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(f"s_{c}").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in "ab")
-                total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-                near = 7 * np.abs(x - y).sum(axis=1, dtype=np.int64) <= total
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(near)), b.column("b").filter(pa.array(near))], ["a", "b"])
+            total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            apart = np.empty(b.num_rows, np.float64)
+            for i, (x, y) in enumerate(zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())):
+                bins = 4 * min(len(x), len(y))
+                apart[i] = 7 * distance(bins_of(x, bins), bins_of(y, bins)) / total[i]
+            near = pa.array(apart <= 1)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near), pa.array(apart).filter(near)], ["a", "b", "apart"])
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long, apart double")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -> DataFrame:
@@ -293,17 +298,19 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
             sets = [shingles(t) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yes = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(yes, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+    def check(asked: pa.Table, held: pa.Table) -> pa.Table:
+        of = dict(zip(held["cls"].to_pylist(), held["shingles"].to_pylist()))
+        yes = pa.array([linked(np.frombuffer(of[x], np.uint64), np.frombuffer(of[y], np.uint64)) for x, y in zip(asked["a"].to_pylist(), asked["b"].to_pylist())], pa.bool_())
+        return asked.select(["a", "b"]).filter(yes)
 
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(DOC_BUCKETS)))
     near = rows.join(F.broadcast(where), "_bucket", "left_semi")  # at most DOC_BUCKETS rows
     sets = near.select("body").mapInArrow(run, "cls long, shingles binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"])
     sets = written(sets)
-    side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s_{c}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long"))
+    # a set moves once for each block that asks for it, not once for each pair
+    block = ["run", "lo", "hi"]
+    needs = pairs.select(*[F.col(c).alias(f"_{c}") for c in block], F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
+    return written(pairs.select(*block, "a", "b").groupBy(*block).cogroup(needs.groupBy(*[f"_{c}" for c in block])).applyInArrow(check, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -320,8 +327,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one run that are in different components and pass the bound."""
+def across(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs within the group of one leading class that are in different components and pass the bound. Any two
+    classes of a run are in the group of the run's leader."""
+    members = stars.select(F.col("a").alias("run"), F.col("b").alias("cls")).unionByName(stars.select(F.col("a").alias("run"), F.col("a").alias("cls")).distinct())
     known = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = known.groupBy("run").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi")
     rows = known.join(mixed.select("run", "m"), "run").join(classes.select("cls", "n", "sketch"), "cls")
@@ -330,41 +339,87 @@ def across(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
-    def run(table: pa.Table) -> pa.Table:
-        cls, label, n, own = (table[c].to_numpy() for c in ("cls", "label", "n", "own"))
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        s = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+    def near(cls, label, n, own, run, lo, hi, sketches) -> np.ndarray:
+        """Pairs of one block of a run."""
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in left:
-            js = right[(label[right] != label[i]) & (cls[right] > cls[i] if lo == hi else True)]
-            js = js[4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i])]
-            js = js[7 * np.abs(s[js] - s[i]).sum(axis=1, dtype=np.int64) <= n[js] + n[i]]
-            a.append(np.minimum(cls[js], cls[i]))
-            b.append(np.maximum(cls[js], cls[i]))
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        wanted = (label[i] != label[j]) & (4 * small >= 3 * large) & ((lo != hi) | (i < j))
+        i, j = i[wanted], j[wanted]
+        if not len(i):
+            return np.rec.fromarrays([np.empty(0, np.int64)] * 5, names="a,b,run,lo,hi")
+        bins = 4 * min(map(len, sketches))
+        counts = np.stack([bins_of(x, bins) for x in sketches])
+        step = max(1, (1 << 22) // bins)
+        apart = np.concatenate([7 * distance(counts[i[k : k + step]], counts[j[k : k + step]]) / (n[i[k : k + step]] + n[j[k : k + step]]) for k in range(0, len(i), step)])
+        i, j = i[apart <= 1], j[apart <= 1]
+        a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+        return np.rec.fromarrays([a, b, *(np.full(len(a), x, np.int64) for x in (run, lo, hi))], names="a,b,run,lo,hi")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; one block is held at a time."""
+        key, held, found, n_found = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.sort(np.concatenate(found), order=["a", "b", "run"])
+            pairs = pairs[np.append(True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))[: len(pairs)]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[c])) for c in ("a", "b", "run", "lo", "hi")], ["a", "b", "run", "lo", "hi"])
+
+        def block() -> np.ndarray:
+            cls, label, n, own = (np.concatenate([h[c] for h in held]) for c in range(4))
+            return near(cls, label, n, own, *key, [x for h in held for x in h[4]])
+
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("run", "lo", "hi")], 1)
+            cols = [b.column(c).to_numpy() for c in ("cls", "label", "n", "own")]
+            sketches = b.column("sketch").to_pylist()
+            ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            start = 0
+            for end in ends:
+                if end == start:
+                    continue
+                now = tuple(keys[start].tolist())
+                if now != key and held:
+                    found.append(block())
+                    n_found += len(found[-1])
+                    held = []
+                key = now
+                held.append([c[start:end] for c in cols] + [sketches[start:end]])
+                start = end
+            if n_found >= 1 << 18:
+                yield out()
+                found, n_found = [], 0
+        if held:
+            found.append(block())
+        if found:
+            yield out()
+
+    blocks = rows.select("run", "cls", "label", "n", "own", "lo", "hi", "sketch").repartition("run", "lo", "hi").sortWithinPartitions("run", "lo", "hi")
+    found = blocks.mapInArrow(sweep, "a long, b long, run long, lo long, hi long")
+    return found.groupBy("a", "b").agg(F.min(F.struct("run", "lo", "hi")).alias("x")).select("a", "b", "x.*")
+
 
-    found = rows.select("run", "cls", "label", "n", "own", "lo", "hi", "sketch").groupBy("run", "lo", "hi").applyInArrow(run, "a long, b long")
-    return found.distinct()
+def nearest_of_each(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs that are among the k nearest of either end."""
+    both = pairs.select(F.col("a").alias("c"), "a", "b", "apart").unionByName(pairs.select(F.col("b").alias("c"), "a", "b", "apart"))
+    order = F.row_number().over(Window.partitionBy("c").orderBy("apart", "a", "b"))
+    return both.withColumn("_k", order).where(F.col("_k") <= k).select("a", "b", "apart").distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     rows = written(described(docs, text))
-    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
     n_docs, n_shingles = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-n_shingles // BUCKET_SIGNATURES))
     frequent = frequent_shingles(docs, text, n_docs)
-    found = written(runs(signed(docs, text, frequent, buckets), buckets))
-    stars = written(near_enough(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes))
-    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = verified(first, docs, text, classes)
+    stars = written(star_edges(signed(docs, text, frequent, buckets), buckets))
+    chosen = nearest_of_each(near_enough(stars, classes), FIRST_PARTNERS)
+    tried = written(chosen.select("a", "b", F.col("a").alias("run"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("lo"), F.lit(0).cast("long").alias("hi")))
+    links = verified(tried, docs, text, classes)
     labels = components(links)
-    members = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("cls")).distinct()
-    ends = lambda c: labels.select(F.col("cls").alias(c), F.col("label").alias(f"l_{c}"))
-    apart = stars.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where("coalesce(l_a, a) <> coalesce(l_b, b)").select("a", "b")
-    rest = written(apart.unionByName(across(members, classes, labels)).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = written(across(stars, classes, labels).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verified(rest, docs, text, classes)
         if not more.isEmpty():
