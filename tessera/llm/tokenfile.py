@@ -179,4 +179,5 @@ def read(manifest: DataFrame) -> DataFrame:
                             ["doc_id", "start", "n_tokens", "ids_crc32"])
                         i = j
 
-    return listed.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that small listings are not merged
+    return listed.repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

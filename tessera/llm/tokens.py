@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.llm import bpe
+from tessera.llm.work import ship
 
 #: Rows an Arrow batch: bounds what a Python worker holds at once.
 BATCH_ROWS = 512
 
 
 def small_batches(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 

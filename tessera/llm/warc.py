@@ -151,7 +151,8 @@ def read(manifest: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return small_batches(manifest).select("file").repartition("file").mapInArrow(load, CHUNKS)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that small listings are not merged
+    return small_batches(manifest).select("file").repartition(tasks, "file").mapInArrow(load, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
