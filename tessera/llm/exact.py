@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 PREFIX_CHARS = 256
 BUCKETS = 1 << 18
+LARGE_SHARE = 1000
 
 
 def bucket_of(length: Column, prefix: Column, buckets: int) -> Column:
@@ -45,10 +46,26 @@ def copy_groups(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_
     return groups.where("group_size > 1")
 
 
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (with text_sha256) plus group_size and keep_id of their group, null for a text that is alone. Groups
+    with a thousandth or more of all copies, of which there can be a thousand, are broadcast, so that the copies of
+    one text do not meet in one task; rows of the others are joined by their digest."""
+    total = groups.agg(F.sum("group_size").alias("_total"))  # one row
+    sized = groups.crossJoin(F.broadcast(total)).withColumnRenamed("sha256", "text_sha256")
+    large = F.col("group_size") * LARGE_SHARE >= F.col("_total")
+    hot = sized.where(large).select("text_sha256", F.col("group_size").alias("_hot_size"), F.col("keep_id").alias("_hot_keep"))
+    cold = sized.where(~large).select(F.col("text_sha256").alias("_key"), F.col("group_size").alias("_size"), F.col("keep_id").alias("_keep"))
+    marked = rows.join(F.broadcast(hot), "text_sha256", "left")  # at most LARGE_SHARE rows
+    settled = F.concat(F.lit("-"), F.coalesce(F.xxhash64("doc_id"), F.lit(0)).cast("string"))  # spread, and in no group
+    keyed_rows = marked.withColumn("_key", F.when(F.col("_hot_size").isNotNull(), settled).otherwise(F.col("text_sha256")))
+    return keyed_rows.join(cold, "_key", "left").withColumns(
+        {"group_size": F.coalesce("_hot_size", "_size"), "keep_id": F.coalesce("_hot_keep", "_keep")}).drop("_key", "_hot_size", "_hot_keep", "_size", "_keep")
+
+
 def decisions(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select("doc_id", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256).alias("text_sha256"))
-    joined = rows.join(groups.withColumnRenamed("sha256", "text_sha256"), "text_sha256", "left")
+    joined = with_groups(rows, groups)
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -60,6 +77,5 @@ def decisions(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFra
 def keep_one(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the copies that do not stay."""
     digest = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
-    lost = groups.select(F.col("sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    return docs.withColumn("_sha", digest).join(lost, "_sha", "left").where(
-        "_keep is null or _keep <=> doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", digest.alias("text_sha256"))
+    return with_groups(rows, groups).where("keep_id is null or keep_id <=> doc_id").select("_row.*")
