@@ -5,15 +5,17 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two docum
 
 Linked sets of sizes a and b differ in at most (a + b) / 7 shingles. Sizes fall into bands whose lower edges grow by
 4/3, so linked sets are in one band or in neighbours. The scheme of a band with largest size h splits the shingle
-domain into more than k + 1 parts, k = floor(2 h / 7). Of those parts at most k differ, so linked sets agree on a
-part; a set's signatures are the hashes of its parts (first-level partitions with the empty set of second-level
-differences). A class signs in its band's scheme and in the next.
-
-Empty parts would agree everywhere. They are left out where a set has k + 1 parts that are not empty: then one of
-these agrees with any linked set. Shingles that are very frequent in a sample are left out of the domain too, which
-loses nothing as the distance on a smaller domain is no larger. A set with fewer than k + 1 filled parts also signs on the whole
-domain and, if that is not enough either, signs its empty parts. A pair is lost only if neither side is sure, and then
-both have signed everything. The sample steers cost, never results.
+domain into more than k / 2 groups, k = floor(2 h / 7), and each group into three parts. Linked sets differ by at most
+one shingle in some group, so two of its three parts agree: a set's signatures are the hashes of every two parts of
+every group. A class signs in its band's scheme and in the next.
+
+Signatures that hold few shingles agree by chance. A class needs need = floor(d / 2) + 1 groups, d its largest
+distance to a linked set. If in so many groups every two parts hold two shingles, one of these groups agrees with any
+linked set, and the class is sure with signatures of two shingles or more; else it signs with those of one, and is sure
+if every two parts of so many groups hold one. Shingles that are very frequent in a sample are left out of the domain
+too, which loses nothing as the distance on a smaller domain is no larger. A class that is not sure there also signs on
+the whole domain and, if that is not enough either, signs what holds nothing. A pair is lost only if neither side is
+sure, and then both have signed everything. The sample steers cost, never results.
 
 Signatures go to buckets of about ``BUCKET_SIGNATURES``, packed in binary. Classes that share a signature are a run. A
 run's smallest class leads; pairs of the leader and another class come first (no pairs within the group). Exact bounds
@@ -44,6 +46,8 @@ from tessera.llm.work import written
 
 WORDS = 5
 LEAST_BINS = 64
+#: Groups of three parts for each shingle of a band's largest set.
+GROUPS_PER_SHINGLE = 0.16
 BUCKET_SIGNATURES = 3_000_000
 #: Signatures a task holds before it hands them out.
 HELD_SIGNATURES = 1_500_000
@@ -121,45 +125,46 @@ _EDGES = np.array(EDGES)
 
 
 def scheme(band: int) -> tuple[int, int]:
-    """(k, number of parts) of a band."""
+    """(largest size, number of groups) of a band. More groups than k // 2, with some to spare for thin ones."""
     h = EDGES[band + 1] - 1
-    k = 2 * h // 7
-    return k, max(k + 1, int(0.36 * h)) + 3
-
+    return h, max(2 * h // 7 // 2 + 1, int(GROUPS_PER_SHINGLE * h)) + 1
 
-def _parts(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    part = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    return part, np.flatnonzero(np.diff(part, prepend=np.uint64(n)) != 0)
 
-
-def _sign(s: np.ndarray, n: int, salt: int) -> np.ndarray:
-    part, first = _parts(s, n)
-    if not len(first):
-        return np.empty(0, np.uint64)
-    return mix(np.add.reduceat(mix(s ^ _ODD[3]), first) + part[first] * _ODD[4] + np.uint64(salt) * _ODD[1])
+def _sign(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, left-out part) tables: signatures of a group's other two parts, and how many shingles those hold."""
+    sums, counts = np.zeros(3 * n, np.uint64), np.zeros(3 * n, np.int64)
+    if len(s):
+        part = (((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        sums[part[first]] = np.add.reduceat(mix(s ^ _ODD[3]), first)
+        counts[part[first]] = np.diff(np.append(first, len(s)))
+    sums, counts = sums.reshape(n, 3), counts.reshape(n, 3)
+    place = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) * _ODD[4] + np.uint64(salt) * _ODD[1]
+    return mix(sums.sum(axis=1, keepdims=True) - sums + place), counts.sum(axis=1, keepdims=True) - counts
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """All signatures of a set (sorted)."""
     out = []
-    own = int(np.searchsorted(_EDGES, len(s), side="right")) - 1
+    size = len(s)
+    own = int(np.searchsorted(_EDGES, size, side="right")) - 1
     rare = s
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         rare = s[frequent[at] != s]
     with np.errstate(over="ignore"):
         for band in (own, own + 1):
-            k, n = scheme(band)
-            got = _sign(rare, n, 3 * band)
-            out.append(got)
-            if len(got) >= k + 1:
-                continue
-            got = _sign(s, n, 3 * band + 1)
-            out.append(got)
-            if len(got) < k + 1:
-                part, first = _parts(s, n)
-                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), part[first])
-                out.append(mix(empty * _ODD[4] + np.uint64(3 * band + 2) * _ODD[1]))
+            h, n = scheme(band)
+            need = (size + min(h, 4 * size // 3)) // 7 // 2 + 1
+            for domain, level in ((rare, 0), (s, 1)) if len(frequent) else ((s, 1),):
+                got, held = _sign(domain, n, 2 * band + level)
+                thin = held.min(axis=1)
+                least = 2 if np.count_nonzero(thin >= 2) >= need else 1
+                out.append(got[held >= least])
+                if np.count_nonzero(thin >= least) >= need:
+                    break
+            else:  # those that hold nothing, on the whole domain
+                out.append(got[held < least])
     return np.concatenate(out)
 
 
@@ -198,7 +203,8 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, signatures, owners, names): packed arrays of 4-byte signatures, 2-byte places in 8-byte class names."""
+    """(bucket, signatures, counts, names): packed 4-byte signatures in order of their classes, and for each class with
+    one in this bucket how many (4 bytes) and its name (8 bytes)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +219,13 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
             sig, owner, bucket = sig[order].astype(np.uint32), owner[order], bucket[order]
             kinds, first = np.unique(bucket, return_index=True)
             ends = np.append(first[1:], len(bucket))
-            own = np.array(names, np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([
-                pa.array(kinds, pa.int32()), pa.array([sig[a:z].tobytes() for a, z in zip(first, ends)], pa.binary()),
-                pa.array([owner[a:z].tobytes() for a, z in zip(first, ends)], pa.binary()), pa.array([own] * len(kinds), pa.binary())],
-                ["bucket", "signatures", "owners", "names"])
+            own = np.array(names, np.int64)
+            packed = []
+            for a, z in zip(first, ends):
+                place, count = np.unique(owner[a:z], return_counts=True)
+                packed.append((sig[a:z].tobytes(), count.astype(np.uint32).tobytes(), own[place].tobytes()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*packed)]], ["bucket", "signatures", "counts", "names"])
 
         for b in batches:
             for t in b.column("body").to_pylist():
@@ -235,7 +243,7 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
         if held:
             yield out()
 
-    return small_batches(docs).select(F.col(f"`{text}`").alias("body")).mapInArrow(run, "bucket int, signatures binary, owners binary, names binary")
+    return small_batches(docs).select(F.col(f"`{text}`").alias("body")).mapInArrow(run, "bucket int, signatures binary, counts binary, names binary")
 
 
 def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
@@ -243,7 +251,7 @@ def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
 
     def of_bucket(rows: list[tuple[bytes, bytes, bytes]]) -> np.ndarray:
         sig = np.concatenate([np.frombuffer(s, np.uint32) for s, _, _ in rows])
-        cls = np.concatenate([np.frombuffer(m, np.int64)[np.frombuffer(o, np.uint16)] for _, o, m in rows])
+        cls = np.concatenate([np.repeat(np.frombuffer(m, np.int64), np.frombuffer(k, np.uint32)) for _, k, m in rows])
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         again = np.zeros(len(sig), bool)

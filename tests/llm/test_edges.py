@@ -239,6 +239,20 @@ def test_jaccard_against_brute_force(spark, none):
     assert jaccard.near_groups(none).count() == 0
 
 
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(5)
+    for trial in range(1500):
+        n = int(np.exp(rng.uniform(0, np.log(1500))))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        fresh = rng.integers(0, 2**64, n // 7, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[n // 7 :], fresh])) if trial % 2 else a[n // 4 :]
+        if not jaccard.linked(a, b):
+            continue
+        pool = np.concatenate([a, b])
+        frequent = np.unique(rng.choice(pool, int(len(pool) * rng.choice([0, 0.1, 0.5, 0.95]))))
+        assert len(np.intersect1d(jaccard.signatures(a, frequent), jaccard.signatures(b, frequent)))
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (1, 3, 40, 3000):
