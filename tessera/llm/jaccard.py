@@ -77,7 +77,8 @@ def shingles(text: str | None) -> np.ndarray:
         total = np.zeros(n - WORDS + 1, np.uint64)
         for i in range(WORDS):
             total += w[i : n - WORDS + 1 + i] * _ODD[i]
-        return np.unique(mix(total))
+        total = np.sort(mix(total))
+        return total[np.append(True, total[1:] != total[:-1])]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -130,17 +131,18 @@ def scheme(band: int) -> tuple[int, int]:
     return h, max(2 * h // 7 // 2 + 1, int(GROUPS_PER_SHINGLE * h)) + 1
 
 
-def _sign(s: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(group, left-out part) tables: signatures of a group's other two parts, and how many shingles those hold."""
-    sums, counts = np.zeros(3 * n, np.uint64), np.zeros(3 * n, np.int64)
+def _sign(s: np.ndarray, mixed: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of every two parts of every group, how many shingles those hold, and the least of it in each group."""
+    sums = np.zeros(3 * n, np.uint64)
+    part = (((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)).astype(np.int64)
     if len(s):
-        part = (((s >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(part, prepend=-1))
-        sums[part[first]] = np.add.reduceat(mix(s ^ _ODD[3]), first)
-        counts[part[first]] = np.diff(np.append(first, len(s)))
-    sums, counts = sums.reshape(n, 3), counts.reshape(n, 3)
-    place = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) * _ODD[4] + np.uint64(salt) * _ODD[1]
-    return mix(sums.sum(axis=1, keepdims=True) - sums + place), counts.sum(axis=1, keepdims=True) - counts
+        first = np.append(0, np.flatnonzero(part[1:] != part[:-1]) + 1)
+        sums[part[first]] = np.add.reduceat(mixed, first)
+    counts = np.bincount(part, minlength=3 * n)
+    (x, y, z), (i, j, k) = (sums[c::3] for c in range(3)), (counts[c::3] for c in range(3))
+    place = np.arange(3 * n, dtype=np.uint64) * _ODD[4] + np.uint64(salt) * _ODD[1]
+    held = i + j, i + k, j + k
+    return mix(np.concatenate([x + y, x + z, y + z]) + place), np.concatenate(held), np.minimum(np.minimum(held[0], held[1]), held[2])
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -148,17 +150,19 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     out = []
     size = len(s)
     own = int(np.searchsorted(_EDGES, size, side="right")) - 1
-    rare = s
+    with np.errstate(over="ignore"):
+        mixed = mix(s ^ _ODD[3])
+    domains = [(s, mixed, 1)]
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        rare = s[frequent[at] != s]
+        rare = frequent[at] != s
+        domains = [(s[rare], mixed[rare], 0), (s, mixed, 1)]
     with np.errstate(over="ignore"):
         for band in (own, own + 1):
             h, n = scheme(band)
             need = (size + min(h, 4 * size // 3)) // 7 // 2 + 1
-            for domain, level in ((rare, 0), (s, 1)) if len(frequent) else ((s, 1),):
-                got, held = _sign(domain, n, 2 * band + level)
-                thin = held.min(axis=1)
+            for domain, values, level in domains:
+                got, held, thin = _sign(domain, values, n, 2 * band + level)
                 least = 2 if np.count_nonzero(thin >= 2) >= need else 1
                 out.append(got[held >= least])
                 if np.count_nonzero(thin >= least) >= need:
@@ -314,7 +318,6 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(DOC_BUCKETS)))
     near = rows.join(F.broadcast(where), "_bucket", "left_semi")  # at most DOC_BUCKETS rows
     sets = near.select("body").mapInArrow(run, "cls long, shingles binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"])
-    sets = written(sets)
     # a set moves once for each block that asks for it, not once for each pair
     block = ["run", "lo", "hi"]
     needs = pairs.select(*[F.col(c).alias(f"_{c}") for c in block], F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
