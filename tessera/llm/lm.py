@@ -1,17 +1,18 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Tokens are words and one end token a text. Unigrams are smoothed with 0.1; bigrams h w are kept where they make up
-``MIN_BIGRAM`` of the training tokens or more, with absolute discounting. Each kept history is a state. Its arcs
-carry log10 p(w | h); its failure arc carries the backoff weight and leads to the root, whose arcs are the unigrams.
-One left-to-right traversal of a text carries the state and adds up log-probabilities.
+Tokens are words and one end token a text. Unigrams are smoothed with 0.1; every bigram h w that occurs ``MIN_COUNT``
+times or more is kept, with absolute discounting. Each history is a state. Its arcs carry log10 p(w | h); its failure
+arc carries the backoff weight and leads to the root, whose arcs are the unigrams. The model grows with the corpus.
 
-What is in memory is bounded by the thresholds and not by the corpus: at most 1 / MIN_WORD words and
-1 / MIN_BIGRAM bigrams can reach them. All other words are looked up by a shuffle join: a traversal hands out their
-hashes, and they are joined with the counts of the whole training corpus. All counts cover all training rows.
+The automaton is a written table of (key, value) that a shuffle join looks up. A traversal of a text starts from the
+path over the failure arcs: each word brings its unigram and the failure weight of its state, and each kept bigram the
+difference between its arc and that path. Only the hottest rows (from ``MIN_WORD`` and ``MIN_BIGRAM`` of the training
+tokens, so at most 1 / MIN_WORD words and 1 / MIN_BIGRAM bigrams) are also held in memory; this saves lookups and keeps
+hot keys out of the shuffle, and changes no score.
 
 Defined results: null or empty text is the end token alone. Unknown words have count 0. Without training rows every
 token has the smoothed probability of a vocabulary of none. Rows that repeat a doc_id are scored one by one. Words
-are compared by a 64-bit hash. Other columns of the input are not read.
+and bigrams are compared by 64-bit hashes. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,82 +21,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import small_batches
-from tessera.llm.words import END, hashes
-from tessera.llm.work import written
+from tessera.llm.words import END, hashes, mix
+from tessera.llm.work import written as _written
 
-#: Share of the training tokens from which a word, or a bigram, is part of the automaton.
+#: Occurrences from which a bigram is kept.
+MIN_COUNT = 2
+#: Share of the training tokens from which a word, or a bigram, is also held in memory.
 MIN_WORD = 1e-5
 MIN_BIGRAM = 2e-6
 DISCOUNT = 0.75
 SMOOTH = 0.1
 #: Tokens that a counting task holds before it hands out partial counts.
 HELD_TOKENS = 1 << 22
+#: Rows of one batch of partial counts, and the bits of a history by which a task sorts its pairs in bands.
+OUT_ROWS = 1 << 16
+BAND_BITS = 4
 START = 2  # the state before the first word
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WORD = 0  # in place of the history: a count of the word itself
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``work.written``; the shuffle files behind the table are removed once it is there."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return _written(df)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def token_hashes(text: str | None) -> np.ndarray:
     return np.append(hashes(text), np.uint64(END))
 
 
-def count_words(training: DataFrame, text: str) -> DataFrame:
-    """(word, c): counts of all tokens."""
+def histories(tokens: np.ndarray) -> np.ndarray:
+    """The word before each token of one text."""
+    return np.append(np.uint64(START), tokens[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def out() -> pa.RecordBatch:
-            words, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "c"])
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return ((h << np.uint64(23)) | (h >> np.uint64(41))) ^ w
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(token_hashes(t))
-                n += len(held[-1])
-            if n >= HELD_TOKENS:
-                yield out()
-                held, n = [], 0
-        if held:
-            yield out()
 
-    partial = small_batches(training).select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "word long, c long")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"))
+def pair_key(h: str, w: str) -> Column:
+    """The same in a plan."""
+    return F.shiftleft(h, 23).bitwiseOR(F.shiftrightunsigned(h, 41)).bitwiseXOR(F.col(w))
 
 
-def count_bigrams(training: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """(h, w, c) for pairs of frequent words; h and w are places in ``frequent`` (sorted), h = -1 before the first."""
-    size = len(frequent) + 1
-    shared = training.sparkSession.sparkContext.broadcast(frequent)
+def count_grams(training: DataFrame, text: str) -> DataFrame:
+    """(h, w, c): counts of all words (h is ``WORD``) and of the kept bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = shared.value, [], 0
+        held, n = [], 0
 
-        def out() -> pa.RecordBatch:
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts.astype(np.int64))], ["pair", "c"])
+        def out() -> Iterator[pa.RecordBatch]:
+            w, h = np.concatenate(held), np.concatenate([histories(t) for t in held])
+            held.clear()
+            words, counts = np.unique(w, return_counts=True)
+            yield from parts(np.full(len(words), WORD, np.uint64), words, counts)
+            band = (h >> np.uint64(64 - BAND_BITS)).astype(np.uint8)
+            for i in range(1 << BAND_BITS):  # bounds what is sorted at once
+                here = np.flatnonzero(band == i)
+                bh, bw = h[here], w[here]
+                _, first, counts = np.unique(pair_keys(bh, bw), return_index=True, return_counts=True)
+                order = np.argsort(bh[first])  # neighbours share the history, which compresses
+                yield from parts(bh[first][order], bw[first][order], counts[order])
+
+        def parts(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(h), OUT_ROWS):
+                part = slice(i, i + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(w[part].view(np.int64)), pa.array(c[part].astype(np.int64))], ["h", "w", "c"])
 
         for b in batches:
-            texts = [token_hashes(t) for t in b.column(0).to_pylist()]
-            if not texts or not len(known):
-                continue
-            place = places(np.concatenate(texts), known)
-            before = np.concatenate([[-1], place[:-1]])
-            firsts = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            before[firsts] = len(known)  # the start state
-            both = (place >= 0) & (before >= 0)
-            held.append(before[both] * size + place[both])
-            n += len(held[-1])
-            if n >= HELD_TOKENS:
-                yield out()
-                held, n = [], 0
+            for t in b.column(0).to_pylist():
+                held.append(token_hashes(t))
+                n += len(held[-1])
+                if n >= HELD_TOKENS:
+                    yield from out()
+                    n = 0
         if held:
-            yield out()
+            yield from out()
 
-    partial = small_batches(training).select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "pair long, c long")
-    return partial.groupBy("pair").agg(F.sum("c").alias("c"))
+    partial = small_batches(training).select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, w long, c long")
+    return partial.groupBy("h", "w").agg(F.sum("c").alias("c")).where((F.col("h") == WORD) | (F.col("c") >= MIN_COUNT))
 
 
 def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -107,7 +121,8 @@ def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """States are histories (places of frequent words, the start, and the root); see the module."""
+    """The same automaton in one process, for small models, against which the tables are tested. States are histories
+    (places of words, the start, and the root)."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, total: int, distinct: int, starts: int):
         self.size = len(words) + 1
@@ -149,49 +164,84 @@ class Automaton:
         return score, base, tokens[place < 0]
 
 
-def fit(training: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame, int, int]:
-    """(automaton, counts of all words, N, V)."""
-    counts = written(count_words(training, text))
-    total, distinct, texts = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
-    often = counts.where(F.col("c") >= MIN_WORD * total).collect() if total else []  # at most 1 / MIN_WORD rows
-    words = np.array([r["word"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, numbers = words[order], np.array([r["c"] for r in often], np.float64)[order]
-    found = count_bigrams(training, text, words).where(F.col("c") >= max(2.0, MIN_BIGRAM * total)).collect() if total else []  # at most 1 / MIN_BIGRAM
-    pairs, pair_counts = np.array([r["pair"] for r in found], np.int64), np.array([r["c"] for r in found], np.float64)
-    return Automaton(words, numbers, pairs, pair_counts, total, distinct, texts), counts, total, distinct
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, total: int, text: str = "text") -> DataFrame:
+class Model:
+    """What a traversal holds in memory: the hot rows of the table, and the score of an unknown word."""
+
+    def __init__(self, rows: list, denominator: float, start: float):
+        keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.base, self.whole, self.known = (np.array([r[c] for r in rows], t)[order] for c, t in (("base", float), ("whole", float), ("known", np.int64)))
+        self.unknown, self.start = float(np.log10(SMOOTH / denominator)), start
+
+    def traverse(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """([n_tokens, n_known, base, whole] of what is in memory, (text, key, n) of what is not)."""
+        found = [np.unique(np.concatenate([t, pair_keys(histories(t), t)]), return_counts=True) for t in texts]
+        text = np.repeat(np.arange(len(texts)), [len(k) for k, _ in found])
+        key, n = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+        place = places(key, self.keys)
+        hit = place >= 0
+        at, who, times = place[hit], text[hit], n[hit]
+        total = lambda x: np.bincount(who, x[at] * times, len(texts))
+        n_tokens = np.array([len(t) for t in texts], np.int64)
+        floor = n_tokens * self.unknown
+        return [n_tokens, total(self.known).astype(np.int64), floor + total(self.base), floor + self.start + total(self.whole)], (text[~hit], key[~hit], n[~hit])
+
+
+def split_join(rows: DataFrame, table: DataFrame, hot: Column, on: str) -> DataFrame:
+    """Inner join on a key that is unique in ``table``; its hot rows are broadcast, as many rows ask for them."""
+    few = F.broadcast(table.where(hot))
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(table.where(~hot), on))
+
+
+def fit(training: DataFrame, text: str = "text") -> tuple[Model, DataFrame, int, int]:
+    """(hot rows, table of all others, N, V)."""
+    grams = written(count_grams(training, text))
+    words, pairs = grams.where(F.col("h") == WORD).select(F.col("w"), F.col("c").alias("cw")), grams.where(F.col("h") != WORD)
+    total, distinct, texts = words.agg(
+        F.coalesce(F.sum("cw"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("cw"))), F.lit(0))).first()
+    denominator = total + SMOOTH * (distinct + 1)
+    often = MIN_WORD * total
+    unigram = (F.col("cw") + SMOOTH) / F.lit(denominator)
+    pairs = written(split_join(pairs, words, F.col("cw") >= often, "w"))  # at most 1 / MIN_WORD hot rows, as below
+    masses = pairs.groupBy("h").agg(F.sum(F.col("c") - DISCOUNT).alias("kept"), F.sum(unigram).alias("uni"))
+    seen = words.select(F.col("w").alias("h"), F.col("cw").alias("ch")).unionByName(training.sparkSession.range(1).select(F.lit(START).cast("long").alias("h"), F.lit(texts).cast("long").alias("ch")))
+    states = written(seen.join(masses, "h", "left").select(
+        "h", "ch", F.coalesce(F.log10((1 - F.col("kept") / F.col("ch")) / (1 - F.col("uni"))), F.lit(0.0)).alias("failure")))
+    gain = F.log10((F.col("ch") + SMOOTH) / SMOOTH)
+    word_rows = states.where(F.col("h") != START).select(
+        F.col("h").alias("key"), gain.alias("base"), (gain + F.col("failure")).alias("whole"), F.lit(1).alias("known"), (F.col("ch") >= often).alias("hot"))
+    arcs = split_join(pairs, states, (F.col("ch") >= often) | (F.col("h") == START), "h")
+    arc_rows = arcs.select(
+        pair_key("h", "w").alias("key"), F.lit(0.0).alias("base"), (F.log10((F.col("c") - DISCOUNT) / F.col("ch")) - F.log10(unigram) - F.col("failure")).alias("whole"),
+        F.lit(0).alias("known"), (F.col("c") >= MIN_BIGRAM * total).alias("hot"))
+    table = written(word_rows.unionByName(arc_rows))
+    start = states.where(F.col("h") == START).first()["failure"]
+    return Model(table.where("hot").collect(), denominator, start), table.where("not hot").drop("hot"), total, distinct  # at most 1 / MIN_WORD + 1 / MIN_BIGRAM
+
+
+def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: one row for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    doc = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("whole", pa.float64())])
+    names = ["uid", "key", "n", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         for b in batches:
-            ids, uids, rows, words, times = b.column("doc_id").to_pylist(), b.column("uid").to_pylist(), [], [], []
-            for doc, uid, body in zip(ids, uids, b.column("body").to_pylist()):
-                tokens = token_hashes(body)
-                whole, base, rest = automaton.traverse(tokens)
-                rare, n = np.unique(rest, return_counts=True)
-                rows.append((doc, uid, len(tokens), len(tokens) - len(rest), base, whole, len(rare)))
-                words.append(rare.view(np.int64))
-                times.append(n)
-            offsets = np.cumsum([0, *(r[6] for r in rows)]).astype(np.int32)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x).astype(np.int64)))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols[:6], [pa.int64()] * 4 + [pa.float64()] * 2)] + [lists(words), lists(times)],
-                ["doc_id", "uid", "n_tokens", "n_known", "base", "whole", "words", "times"])
+            if not b.num_rows:
+                continue
+            uid = b.column("uid").to_numpy()
+            sums, (row, key, n) = shared.value.traverse([token_hashes(t) for t in b.column("body").to_pylist()])
+            made = pa.StructArray.from_arrays([b.column("doc_id").cast(pa.int64()), *map(pa.array, sums)], fields=list(doc))
+            spread = mix(uid.astype(np.uint64)).view(np.int64)  # a text's own row goes to any task
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(spread), pa.array(np.zeros(len(uid), np.int32)), made], names)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(row), doc)], names)
 
     rows = small_batches(docs).select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("uid", F.monotonically_increasing_id())
-    walked = written(rows.mapInArrow(run, "doc_id long, uid long, n_tokens long, n_known long, base double, whole double, words array<long>, times array<long>"))
-    rare = walked.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").cast("int").alias("n"))
-    found = rare.join(counts, "word", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(SMOOTH)) / F.lit(model.denominator))
-    sums = found.groupBy("uid").agg(F.sum(log * F.col("n")).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    none, zero = F.lit(0.0), F.lit(0)
-    return walked.drop("words", "times").join(sums, "uid", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", zero)).cast("long").alias("n_known"),
-        (F.col("base") + F.coalesce("log", none)).alias("base_score"), (F.col("whole") + F.coalesce("log", none)).alias("score"))
+    asked = rows.mapInArrow(run, "uid long, key long, n int, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, whole: double>")
+    found = asked.join(table, "key", "left").where(F.col("known").isNotNull() | F.col("doc").isNotNull()).select("uid", "n", "base", "whole", "known", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_tokens").alias("n_tokens"), *[F.col(f"doc.{c}").alias(f"own_{c}") for c in ("n_known", "base", "whole")])
+    more = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0))
+    sums = found.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("own_n_known") + more("known")).cast("long").alias("n_known"),
+        (F.max("own_base") + more("base")).alias("base_score"), (F.max("own_whole") + more("whole")).alias("score"))
+    return sums.drop("uid")

@@ -155,6 +155,31 @@ def test_lm_distributions_sum_to_one():
         assert math.isclose(kept + 10 ** a.failure[h] * rest, 1.0)
 
 
+def test_lm_keeps_rare_bigrams_of_a_large_corpus(spark):
+    rng = np.random.default_rng(4)
+    filler = [" ".join(f"w{i}" for i in rng.integers(0, 300, 6000)) for _ in range(60)]
+    texts = [*filler, "few seen here w1", "then few seen w2 few", "few seen", "few unseen"]  # 360,000 tokens: 2 are below 1e-5 of them
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = rows.where("doc_id < 62")
+    model, table, total, distinct = lm.fit(learned)
+    tokens = [lm.token_hashes(t) for t in texts]
+    words, counts = np.unique(np.concatenate(tokens[:62]), return_counts=True)
+    size, pairs = len(words) + 1, collections.Counter()
+    for t in tokens[:62]:
+        place = np.searchsorted(words, t)
+        pairs.update((np.append(len(words), place[:-1]) * size + place).tolist())
+    kept = sorted(p for p, c in pairs.items() if c >= 2)
+    whole = lm.Automaton(words, counts.astype(float), np.array(kept), np.array([float(pairs[p]) for p in kept]), total, distinct, 62)
+    few, seen = np.searchsorted(words, lm.token_hashes("few seen")[:2])
+    assert few * size + seen in whole.arcs and 2 < lm.MIN_WORD * total
+    got = {r["doc_id"]: r for r in lm.score(rows, model, table, total).collect()}
+    for d, t in enumerate(tokens):
+        want, base, rest = whole.traverse(t)
+        rare = len(rest) * math.log10(0.1 / whole.denominator)
+        assert math.isclose(got[d]["score"], want + rare, rel_tol=1e-9) and math.isclose(got[d]["base_score"], base + rare, rel_tol=1e-9)
+        assert got[d]["n_known"] == len(t) - len(rest)
+
+
 def test_language(docs, none, spark):
     assert language.fit(none) == {}
     assert {r["lang_pred"] for r in language.predict(docs, {}).collect()} == {"und"}
