@@ -616,7 +616,8 @@ def stream_idle_flush(spark, d):
 
     sink, checkpoint = _stream_folders(spark)
     sessions.run_once(sessions.idle_sessions(_event_stream(spark, d), "6 hours", "1 hour"), sink, checkpoint)
-    return spark.read.parquet(sink)
+    flushed = spark.read.parquet(sink)
+    return flushed.unionByName(sessions.still_open(table(spark, d, "events"), flushed, "6 hours"))
 
 
 @query("with s as (select user_id, ts, case when ts >= lag(ts) over w + interval 6 hours or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from s) select user_id, epoch_us(min(ts)) as \"start\", epoch_us(max(ts) + interval 6 hours) as \"end\", count(*) as n from g group by user_id, k")

@@ -18,6 +18,14 @@ def batch_sessions(turns: DataFrame, gap: str) -> DataFrame:
         "user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def still_open(turns: DataFrame, sink: DataFrame, gap: str) -> DataFrame:
+    """The flush at the end of the input: sessions that the watermark has not passed, so that the sink lacks them."""
+    whole, held = batch_sessions(turns, gap).alias("w"), sink.withColumn("held", F.lit(True)).alias("s")
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("user_id", "start", "end")]
+    # not an anti join: the optimiser moves one below the aggregate, where windows are not merged yet
+    return whole.join(held, same, "left").where("held is null").select("w.*")
+
+
 def tumbling(turns: DataFrame, width: str, watermark: str) -> DataFrame:
     return turns.withWatermark("ts", watermark).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("start"), "event_type", "n")

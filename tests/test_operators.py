@@ -92,3 +92,15 @@ def test_idle_sessions_in_a_stream_equal_the_finished_ones_of_a_batch(spark):
     streamed = {(r["user_id"], r["start"], r["end"], r["n"]) for r in catalog.stream_idle_flush(spark, sf).collect()}
     whole = {(r["user_id"], r["start"], r["end"], r["n"]) for r in sessions.batch_sessions(table(spark, sf, "events"), "6 hours").collect()}
     assert streamed and streamed <= whole
+
+
+def test_a_stream_ends_with_the_sessions_that_are_still_open(spark):
+    import duckdb
+
+    from tessera.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    streamed = [(r["user_id"], r["start"], r["end"], r["n"]) for r in catalog.stream_idle_flush(spark, sf).withColumns({c: F.unix_micros(c) for c in ("start", "end")}).collect()]
+    assert sorted(streamed) == sorted(con.execute(catalog.ORACLES["batch_idle_sessions"]).fetchall())
