@@ -5,8 +5,9 @@ by block, with every dictionary; the language with the smallest total wins. A na
 rejection.
 
 Fitting reads a bounded sample: for each language the ``SAMPLE_ROWS`` rows with the smallest hash of doc_id, of each
-at most ``SAMPLE_CHARS`` characters, and of at most ``MAX_LANGUAGES`` languages (the most frequent). Prediction
-reads whole texts, needs no shuffle, and never looks at lang, source or doc_id.
+at most ``SAMPLE_CHARS`` characters. Every language of the labelled rows is learned; samples are read, and texts
+compressed, for ``LANGUAGES_AT_ONCE`` languages at a time. Prediction reads whole texts, needs no shuffle, and never
+looks at lang, source or doc_id.
 
 Defined results: null text and text without a letter are ``und`` with score 0 and are not accepted. Ties go to the
 language that sorts first. With one learned language every text with a letter is that language with score 1; with
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from tessera.llm.tokens import small_batches
+from tessera.llm.work import written
 
 SAMPLE_ROWS = 128
 SAMPLE_CHARS = 4096
-MAX_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 64
 DICTIONARY_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 12
 LEVEL = 6
@@ -48,36 +50,67 @@ def letters(text: str) -> bytes:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """language -> dictionary content, from rows (doc_id, text, lang)."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    often = usable.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(MAX_LANGUAGES)
-    names = sorted(r["_l"] for r in often.select("_l").collect())
+    names = sorted(r[lang] for r in usable.select(lang).distinct().collect())
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.select("doc_id", lang, F.left(text, F.lit(SAMPLE_CHARS)).alias("body")).withColumn("_k", rank).where(F.col("_k") <= SAMPLE_ROWS)
-    rows = chosen.where(F.col(lang).isin(names)).select(lang, "_k", "body").collect() if names else []  # at most SAMPLE_ROWS * MAX_LANGUAGES
-    return {
-        n: b" ".join(letters(r["body"]) for r in sorted((r for r in rows if r[lang] == n), key=lambda r: -r["_k"]))[-DICTIONARY_BYTES:]
-        for n in names
-    }
+    chosen = chosen.select(lang, "_k", "body")
+    parts = blocks(names)
+    if len(parts) > 1:
+        chosen = written(chosen)
+    learned = {}
+    for part in parts:
+        rows = chosen.where(F.col(lang).isin(part)).collect()  # at most SAMPLE_ROWS * LANGUAGES_AT_ONCE
+        learned |= {
+            n: b" ".join(letters(r["body"]) for r in sorted((r for r in rows if r[lang] == n), key=lambda r: -r["_k"]))[-DICTIONARY_BYTES:]
+            for n in part
+        }
+    return learned
+
+
+def blocks(names: list[str]) -> list[list[str]]:
+    return [names[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(names), LANGUAGES_AT_ONCE)]
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
+        self.names = sorted(dictionaries)
+        self.dictionaries = dictionaries
+        self.kept = None
+
+    def encoders(self, names: list[str]) -> list:
+        """Made once where all languages are one block; else a block's encoders are gone before the next."""
         import zstandard as z
 
-        self.names = sorted(dictionaries)
-        self.encoders = []
-        for n in self.names:
-            content = z.ZstdCompressionDict(dictionaries[n], dict_type=z.DICT_TYPE_RAWCONTENT)
+        if self.kept is not None:
+            return self.kept
+        made = []
+        for n in names:
+            content = z.ZstdCompressionDict(self.dictionaries[n], dict_type=z.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
-            self.encoders.append(z.ZstdCompressor(dict_data=content, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if not self.names or not text or not any(map(str.isalpha, text)):
-            return NONE, 0.0, False
+            made.append(z.ZstdCompressor(dict_data=content, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+        if len(names) == len(self.names):
+            self.kept = made
+        return made
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        usable = [i for i, t in enumerate(texts) if self.names and t and any(map(str.isalpha, t))]
+        found = [(NONE, 0.0, False)] * len(texts)
         if len(self.names) == 1:
-            return self.names[0], 1.0, True
-        data = letters(text)
-        blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        sizes = [sum(len(e.compress(b)) for b in blocks) for e in self.encoders]
+            for i in usable:
+                found[i] = (self.names[0], 1.0, True)
+            return found
+        sizes = {i: [] for i in usable}
+        for part in blocks(self.names) if usable else []:
+            encoders = self.encoders(part)
+            for i in usable:
+                data = letters(texts[i])
+                pieces = [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)]
+                sizes[i] += [sum(len(e.compress(b)) for b in pieces) for e in encoders]
+        for i in usable:
+            found[i] = self.verdict(sizes[i])
+        return found
+
+    def verdict(self, sizes: list[int]) -> tuple[str, float, bool]:
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         margin = (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]
         return self.names[order[0]], margin, margin >= MIN_MARGIN
@@ -92,7 +125,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dictionaries)
         for b in batches:
-            found = [classify(t) for t in b.column(text).to_pylist()]
+            found = classify(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
                 [*names, *made])

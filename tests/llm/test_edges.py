@@ -192,6 +192,16 @@ def test_language(docs, none, spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and not got[i]["accepted"] for i in (90, 91, 92))
 
 
+def test_language_learns_every_labelled_language(spark):
+    rng = np.random.default_rng(1)
+    stock = {f"l{i:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(30)] for i in range(70)}
+    rows = spark.createDataFrame([(i * 4 + k, " ".join(rng.choice(words, 60)), lang) for i, (lang, words) in enumerate(stock.items()) for k in range(4)], "doc_id long, text string, lang string")
+    learned = language.fit(rows.where("doc_id % 4 <> 0"))
+    assert sorted(learned) == sorted(stock)
+    got = language.predict(rows.where("doc_id % 4 = 0"), learned).collect()
+    assert len(got) == 70 and all(r["lang_pred"] == r["lang"] and r["accepted"] for r in got)
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/x?q"), (2, "https://a.b.net/es/1"), (3, "https://net/fr/"), (4, "nothing"), (5, None), (6, "http://example.com"), (7, "http://badexample.com/en/"),
             (8, "http://example.com/en/"), (8, "http://example.com/en/"), (9, "x://y.org/p#f"), (10, "http:///p")]
