@@ -46,6 +46,11 @@ def promote_batches(df: DataFrame, processed: str, checkpoint: str, key: str = "
     overwrites itself)."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{processed}/batch={number}")
+        fresh = batch.dropDuplicates([key])
+        if number:  # the first batch has nothing before it
+            done = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{processed}/batch={k}" for k in range(number)])
+            done = done.select(F.col(key).alias("_done"))
+            fresh = fresh.join(done, fresh[key].eqNullSafe(done["_done"]), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{processed}/batch={number}")
 
     df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

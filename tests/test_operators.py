@@ -104,3 +104,15 @@ def test_a_stream_ends_with_the_sessions_that_are_still_open(spark):
     con.execute(f"create view events as select * from '{sf}/events.parquet'")
     streamed = [(r["user_id"], r["start"], r["end"], r["n"]) for r in catalog.stream_idle_flush(spark, sf).withColumns({c: F.unix_micros(c) for c in ("start", "end")}).collect()]
     assert sorted(streamed) == sorted(con.execute(catalog.ORACLES["batch_idle_sessions"]).fetchall())
+
+
+def test_an_id_that_comes_again_in_a_later_batch_is_promoted_once(spark, tmp_path):
+    from tessera.streaming import sessions
+
+    folder, sink, checkpoint = (f"file://{tmp_path}/{k}" for k in ("in", "sink", "checkpoint"))
+    for rows in ([(1, "a"), (2, "a"), (2, "a"), (None, "a")], [(2, "b"), (3, "b"), (None, "b")], [(1, "c"), (3, "c")], [(4, "d")]):
+        spark.createDataFrame(rows, "event_id long, value string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("event_id long, value string").parquet(folder)
+        sessions.promote_batches(stream, sink, checkpoint)
+    got = [(r["event_id"], r["value"], r["batch"]) for r in spark.read.parquet(sink).collect()]
+    assert sorted(got, key=str) == [(1, "a", 0), (2, "a", 0), (3, "b", 1), (4, "d", 3), (None, "a", 0)]
