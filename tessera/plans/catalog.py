@@ -164,17 +164,25 @@ def fill_embeddings(spark, d):
 
 @query("select 'row' as kind, count(*) as n from documents where doc_id % 3 <> 0 union all select 'snapshot', count(*) from documents where doc_id % 3 <> 0")
 def snapshot_publish(spark, d):
+    return _published(spark, _texts(spark, d).where("id % 3 <> 0"))
+
+
+def _published(spark, state):
     root = tempfile.mkdtemp(prefix="tessera-store-")
     if base := spark.conf.get("spark.checkpoint.dir", None):
         import uuid
 
         root = f"{base}/store-{uuid.uuid4().hex}"
-    state = _texts(spark, d).where("id % 3 <> 0")
     store.publish(state, root, 1)
     count = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
     return count(state, "row").unionByName(count(store.current(spark, root), "snapshot"))
 
 
+@query("select 'row' as kind, count(*) as n from documents union all select 'snapshot', count(*) from documents")
+def snapshot_publish_all(spark, d):
+    return _published(spark, _texts(spark, d))
+
+
 # ---- tags ----
 @query(f"with {FACTS} select id from f where json_extract_string(props, '$.k') = (select min(json_extract_string(props, '$.k')) from events)")
 def tag_containment(spark, d):
@@ -452,8 +460,8 @@ def restatement_check(spark, d):
 DECIDE = f"{KNN}, best as (select query_id as id, max(score) as sim from hits group by query_id), x as (select id, sim, id % 2 = 1 as retraction from best), dd as (select id, round(sim, 9) as sim, case when retraction and sim >= 0.5 then 'DELETE' when retraction then 'NOOP' when sim < 0.5 then 'ADD' when sim > 0.97 then 'NOOP' else 'UNDECIDED' end as op from x)"
 
 
-def _decided(spark, d):
-    hits = retrieval.knn(_queries(spark, d).drop("query_kind"), vectors(spark, d), 1)
+def _decided(spark, d, asked=None):
+    hits = retrieval.knn(_queries(spark, d).drop("query_kind") if asked is None else asked, vectors(spark, d), 1)
     return hits.select(F.col("query_id").alias("id"), F.round("score", 9).alias("sim"), promotion.decide(F.pmod("query_id", F.lit(2)) == 1, F.col("score")).alias("op"))
 
 
@@ -467,6 +475,23 @@ def promotion_report(spark, d):
     return promotion.report(_decided(spark, d))
 
 
+def _decided_all(spark, d):
+    return _decided(spark, d, vectors(spark, d).select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+
+
+DECIDE_ALL = DECIDE.replace(" where vec_id % 25 = 0", "")
+
+
+@query(f"with {DECIDE_ALL} select * from dd")
+def promotion_decision_all(spark, d):
+    return _decided_all(spark, d)
+
+
+@query(f"""with {DECIDE_ALL} select count(*) filter (where op = 'ADD') as "add", count(*) filter (where op = 'DELETE') as "delete", count(*) filter (where op = 'NOOP') as noop, count(*) filter (where op = 'UNDECIDED') as undecided, count(*) as total from dd""")
+def promotion_report_all(spark, d):
+    return promotion.report(_decided_all(spark, d))
+
+
 @query(f"with {TURNS} select session, count(*) as waiting, count(*) >= 5 as fires from t group by session")
 def trigger_accumulation(spark, d):
     return promotion.accumulated(turns(spark, d), 5)

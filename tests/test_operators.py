@@ -116,3 +116,14 @@ def test_an_id_that_comes_again_in_a_later_batch_is_promoted_once(spark, tmp_pat
         sessions.promote_batches(stream, sink, checkpoint)
     got = [(r["event_id"], r["value"], r["batch"]) for r in spark.read.parquet(sink).collect()]
     assert sorted(got, key=str) == [(1, "a", 0), (2, "a", 0), (3, "b", 1), (4, "d", 3), (None, "a", 0)]
+
+
+def test_promotion_and_snapshot_cover_whole_tables(spark):
+    from tessera.plans import catalog
+    from tessera.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    memories, documents = (table(spark, sf, t).count() for t in ("embeddings", "documents"))
+    assert catalog.QUERIES["promotion_decision_all"](spark, sf).select("id").distinct().count() == memories
+    assert catalog.QUERIES["promotion_report_all"](spark, sf).first()["total"] == memories
+    assert {r["n"] for r in catalog.QUERIES["snapshot_publish_all"](spark, sf).collect()} == {documents}
