@@ -571,6 +571,45 @@ def clause_split(spark, d):
     return _sentences(spark).select("id", F.explode(tx.clauses(F.col("text"))).alias("clause"))
 
 
+# The same rules over every text of conversations and documents, and over the literals, so that each rule fires.
+ALL_TEXTS = f"s(id, text) as (select 'c' || conv_id || '/' || turn, text from conversations union all select 'd' || doc_id, text from documents union all select 's' || id, text from {values(SENTENCES)} as l(id, text))"
+
+
+def _all_texts(spark, d):
+    name = lambda letter, *parts: F.concat(F.lit(letter), *[F.lit(p) if p == "/" else F.col(p).cast("string") for p in parts]).alias("id")
+    return (table(spark, d, "conversations").select(name("c", "conv_id", "/", "turn"), "text")
+            .unionByName(table(spark, d, "documents").select(name("d", "doc_id"), "text")).unionByName(_sentences(spark).select(name("s", "id"), "text")))
+
+
+def _over_all(name: str) -> str:
+    return ORACLES[name].replace(SENT, ALL_TEXTS)
+
+
+@query(_over_all("secret_and_retraction_flags"))
+def secret_and_retraction_flags_all(spark, d):
+    return _all_texts(spark, d).select("id", F.col("text").rlike(tx.SECRET).alias("secret"), F.col("text").rlike(tx.RETRACTION).alias("retraction"))
+
+
+@query(_over_all("capture_label"))
+def capture_label_all(spark, d):
+    return _all_texts(spark, d).select("id", tx.capture_label(F.col("text")).alias("label"))
+
+
+@query(_over_all("attribute_extract"))
+def attribute_extract_all(spark, d):
+    return _all_texts(spark, d).select("id", tx.attribute(F.col("text")).alias("attribute"), tx.attribute_value(F.col("text")).alias("value"))
+
+
+@query(_over_all("question_type"))
+def question_type_all(spark, d):
+    return _all_texts(spark, d).where(F.col("text").contains("?")).select("id", tx.first_label(F.col("text"), tx.QUESTION_TYPES, "fact").alias("question_type"))
+
+
+@query(_over_all("clause_split"))
+def clause_split_all(spark, d):
+    return _all_texts(spark, d).select("id", F.explode(tx.clauses(F.col("text"))).alias("clause"))
+
+
 @query(f"select doc_id as id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))::int as tokens, regexp_matches(text, '{tx.SECRET}') as secret from documents")
 def document_tokens(spark, d):
     return _texts(spark, d).select("id", F.size(tx.tokens(F.col("text"))).alias("tokens"), F.col("text").rlike(tx.SECRET).alias("secret"))

@@ -127,3 +127,14 @@ def test_promotion_and_snapshot_cover_whole_tables(spark):
     assert catalog.QUERIES["promotion_decision_all"](spark, sf).select("id").distinct().count() == memories
     assert catalog.QUERIES["promotion_report_all"](spark, sf).first()["total"] == memories
     assert {r["n"] for r in catalog.QUERIES["snapshot_publish_all"](spark, sf).collect()} == {documents}
+
+
+def test_text_rules_cover_conversations_and_documents(spark):
+    from tessera.plans import catalog
+    from tessera.plans.literals import SENTENCES
+    from tessera.sources.tables import table
+
+    sf = "/root/testdata/sf0.001"
+    n = sum(table(spark, sf, t).count() for t in ("conversations", "documents")) + len(SENTENCES)
+    for name in ("secret_and_retraction_flags_all", "capture_label_all", "attribute_extract_all"):
+        assert catalog.QUERIES[name](spark, sf).count() == n
