@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from tessera.functions import text as tx
 from tessera.operators import budget, evaluation, graph, policy, promotion, retrieval, synthesis, temporal
 from tessera.plans.literals import ANSWERS, SENTENCES, STRUCTURED, VOTES, values
 from tessera.sources import store
+from tessera.sources.shared import shared_folder
 from tessera.sources.tables import edges, facts, table, turns, vectors
 
 FLAGSHIP = "hybrid_retrieve"
@@ -168,11 +168,7 @@ def snapshot_publish(spark, d):
 
 
 def _published(spark, state):
-    root = tempfile.mkdtemp(prefix="tessera-store-")
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        import uuid
-
-        root = f"{base}/store-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "store")
     store.publish(state, root, 1)
     count = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
     return count(state, "row").unionByName(count(store.current(spark, root), "snapshot"))
@@ -659,10 +655,7 @@ def stratified_sample(spark, d):
 
 # ---- streaming: rows only ----
 def _stream_folders(spark):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-stream-")
-    return [f"{base}/{k}-{uuid.uuid4().hex}" for k in ("sink", "checkpoint")]
+    return [shared_folder(spark, k) for k in ("sink", "checkpoint")]
 
 
 def _event_stream(spark, d):
