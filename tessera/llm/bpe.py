@@ -5,16 +5,21 @@ words of ordinary text (printable ASCII and Latin-1 letters) are looked up in a
 being merged anew; any other text goes to the library itself. A piece ends where a non-space is followed by a
 space: there both kinds of pre-tokenizer always split, so pieces are independent.
 
-Long texts use tree concatenation: halves are encoded in parallel as rows of their own, then joined pairwise. At
-each join a window grows around the cut until both sides agree. Sides agree at a place where a non-space meets a
-space, and, inside one unbroken run, at token pairs that encode to themselves: adjacent tokens that are each
-other's encoding can stand next to each other in the encoding of the whole.
+Long texts use tree concatenation (byte-level files): halves are encoded in parallel as rows of their own, then
+joined pairwise. At each join the tokens next to the cut are encoded again as one window, which grows until it begins
+and ends with the tokens that the two sides have there. Then every two neighbours in the joined sequence also stand
+side by side in the encoding of a side or of the window; a sequence in which all neighbours can stand side by side is
+the encoding of the whole. A join costs its window, with or without white space in the text.
 
-Defined results: null counts as empty text and has no ids. Texts of any length are encoded whole.
+Piece tables are bounded and emptied when a task ends (``Codec.task``).
+
+Defined results: null counts as empty text and has no ids. Texts of any length are encoded whole. Files with an
+end-of-word mark are encoded and decoded by words, each text in one task, and decoded by the library.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import struct
@@ -22,12 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+#: At most some 30 MB a worker.
+CACHE_PIECES = 150_000
 #: Pieces longer than this are not kept in the table; from LONG_PIECE bytes on they are merged as a tree.
 CACHE_CHARS = 48
 LONG_PIECE = 4096
 #: Texts longer than this are cut in halves until no part is longer.
 LEAF_CHARS = 16_384
+NO_LEAF = (1 << 31) - 1
+#: Tokens on each side of a cut that are encoded again first, and how many must be the same on each side.
+WINDOW_TOKENS = 24
+SAME_TOKENS = 2
 _ODD = re.compile(r"[^\t\n\x0b\x0c\r -~¡-¬®-ÿ]")
 _SPACED = re.compile(r"\s[ ]|^[ ]|[ ]$")
 _BREAK = re.compile(r"(?<=\S)(?=[ \t\n\r])")
@@ -40,6 +50,12 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def marks_words(path: str) -> bool:
+    """Whether a tokenizer file marks ends of words."""
+    with open(path, encoding="utf-8") as f:
+        return bool(json.load(f)["model"]["end_of_word_suffix"])
+
+
 class _Pieces(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes; grows up to a bound."""
 
@@ -91,12 +107,9 @@ class Codec:
             ranks[raw + (end if whole else b"")] = i
         for b in range(256):
             ranks.setdefault(bytes([b]), (1 << 24) + b)
-        self.lengths = np.zeros(max([*self.of_id, *self.special.values()]) + 1, np.int64)
-        for i, raw in self.of_id.items():
-            self.lengths[i] = len(raw)
-        for content, i in self.special.items():
-            self.lengths[i] = len(content.encode())
-        self.vocab_size = len(self.lengths)
+        self.bytes_of = self.of_id | {i: c.encode() for c, i in self.special.items()}
+        self.vocab_size = max(self.bytes_of) + 1
+        self.encoded = 0
         if self.suffix:
             import regex
 
@@ -162,49 +175,46 @@ class Codec:
         first, *rest = text.split(" ")
         return self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
 
+    @contextlib.contextmanager
+    def task(self):
+        """The codec for one task; its piece tables are emptied at the end."""
+        try:
+            yield self
+        finally:
+            for table in (self.after_space, self.at_start, self.words):
+                table.clear()
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, special tokens included. For a vocabulary with an end-of-word mark: words, each with a space."""
-        table = self._table()
-        return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
-
-    def _table(self) -> dict[int, bytes]:
-        if not hasattr(self, "_all"):
-            self._all = self.of_id | {i: c.encode() for c, i in self.special.items()}
-        return self._all
-
-    def join(self, left: str, left_ids: np.ndarray, right: str, right_ids: np.ndarray) -> np.ndarray:
-        """Ids of ``left + right`` from the ids of both: only a window around the cut is encoded again. It grows on
-        each side until it reaches a place where a non-space meets a space (both encodings have a border there) or
-        the side's end."""
-        a, b, reach = 0, len(right), 64
-        while reach < len(left):
-            if found := [m.start() for m in _BREAK.finditer(left[-reach - 1 :]) if m.start() > 0]:
-                a = len(left) - min(reach + 1, len(left)) + found[-1]
-                break
-            reach *= 4
-        reach = 64
+        """The text of ids, special tokens included, as the library gives it."""
+        if self.suffix:
+            return self.library.decode(ids.tolist(), skip_special_tokens=False)
+        return self._raw(ids).decode("utf-8", errors="replace")
+
+    def _raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+    def _starts_character(self, i: int) -> bool:
+        raw = self.bytes_of[int(i)]
+        return not raw or raw[0] & 0xC0 != 0x80
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the text of both, from the ids of both; ``encoded`` counts the bytes that were encoded again."""
+        reach_left = reach_right = WINDOW_TOKENS
         while True:
-            if m := _BREAK.search(right[: reach + 1]):
-                b = m.start()
-                break
-            if reach >= len(right):
-                break
-            reach *= 4
-        window = np.frombuffer(self.encode(left[a:] + right[:b]), "<u4")
-        cut = len(left_ids) - tail_tokens(self.lengths[left_ids], len(left[a:].encode()))
-        skip = tail_tokens(self.lengths[right_ids][::-1], len(right[:b].encode()))
-        return np.concatenate([left_ids[:cut], window, right_ids[skip:]])
-
-
-def tail_tokens(lengths: np.ndarray, n_bytes: int) -> int:
-    """How many of the last tokens hold exactly the last n_bytes."""
-    if n_bytes == 0:
-        return 0
-    sums = np.cumsum(lengths[::-1])
-    k = int(np.searchsorted(sums, n_bytes))
-    if k >= len(sums) or sums[k] != n_bytes:
-        raise ValueError("a window does not begin at a border of tokens")
-    return k + 1
+            i, j = max(0, len(left) - reach_left), min(len(right), reach_right)
+            while i > 0 and not self._starts_character(left[i]):
+                i -= 1
+            while j < len(right) and not self._starts_character(right[j]):
+                j += 1
+            raw = self._raw(left[i:]) + self._raw(right[:j])
+            self.encoded += len(raw)
+            window = np.frombuffer(self.encode(raw.decode()), "<u4")
+            n, m = min(SAME_TOKENS, len(left) - i), min(SAME_TOKENS, j)
+            left_agrees = i == 0 or len(window) > n and (window[:n] == left[i : i + n]).all()
+            right_agrees = j == len(right) or len(window) > m and (window[len(window) - m :] == right[j - m : j]).all()
+            if left_agrees and right_agrees:
+                return np.concatenate([left[:i], window, right[j:]])
+            reach_left, reach_right = reach_left if left_agrees else 2 * reach_left, reach_right if right_agrees else 2 * reach_right
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -246,11 +256,8 @@ def leaves(text: str, size: int = LEAF_CHARS) -> Iterator[str]:
         yield from leaves(text[len(text) // 2 :], size)
 
 
-def join_leaves(codec: Codec, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
+def join_leaves(codec: Codec, parts: list[np.ndarray]) -> np.ndarray:
     """Pairs of neighbours are joined until one is left."""
     while len(parts) > 1:
-        parts = [
-            (parts[i][0] + parts[i + 1][0], codec.join(*parts[i], *parts[i + 1])) if i + 1 < len(parts) else parts[i]
-            for i in range(0, len(parts), 2)
-        ]
-    return parts[0][1]
+        parts = [codec.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]

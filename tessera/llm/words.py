@@ -5,27 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 700_000
 END = 1  # the end token's hash
 
 
-class Words(dict):
-    """Word (lower-case bytes) -> 64-bit hash; a table that grows up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-_WORDS = Words()
-
-
 def hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, in order."""
     words = text.encode().lower().split() if text else []  # bytes: ASCII case and ASCII white space only
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,21 +1,27 @@
 """Shared work space: tables and files that every executor can read.
 
-All intermediate state goes below ``spark.checkpoint.dir``. Only where that setting is unset (tests on
-one machine) a fresh local folder is used and set.
+All intermediate state goes below ``spark.checkpoint.dir``, which every executor and the driver must share (see
+``sources.shared`` for sessions without that setting).
+
+The shuffle files behind a written table are removed once the table is there, and tables that have been read for the
+last time are discarded, so that the disk holds what later steps still need and no more.
 """
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.shared import shared_folder
+
 
 _SHIPPED: set[str] = set()
+#: Spark removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,25 +38,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared folder (not created yet)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    with contextlib.suppress(Exception):  # tidying only: a file system may not offer it
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting that holds within the block only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._tessera_folder
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def file_system(uri: str):
