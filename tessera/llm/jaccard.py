@@ -12,17 +12,22 @@ every group. A class signs in its band's scheme and in the next.
 Signatures that hold few shingles agree by chance. A class needs need = floor(d / 2) + 1 groups, d its largest
 distance to a linked set. If in so many groups every two parts hold two shingles, one of these groups agrees with any
 linked set, and the class is sure with signatures of two shingles or more; else it signs with those of one, and is sure
-if every two parts of so many groups hold one. Shingles that are very frequent in a sample are left out of the domain
-too, which loses nothing as the distance on a smaller domain is no larger. A class that is not sure there also signs on
-the whole domain and, if that is not enough either, signs what holds nothing. A pair is lost only if neither side is
-sure, and then both have signed everything. The sample steers cost, never results.
+if every two parts of so many groups hold one. Shingles of about ``SAMPLE_EVERY * SAMPLE_LEAST`` classes or more are left
+out of the domain too, which loses nothing as the distance on a smaller domain is no larger. That is a number of classes,
+not a share of them, so that the other signatures have no more partners in a larger corpus. A class that is not sure
+there also signs on the whole domain and, if that is not enough either, signs what holds nothing. A pair is lost only if
+neither side is sure, and then both have signed everything. Which shingles are frequent comes from one class in
+``SAMPLE_EVERY``, drawn by its hash; it steers cost, never results.
 
 Signatures go to buckets of about ``BUCKET_SIGNATURES``, packed in binary. Classes that share a signature are a run. A
 run's smallest class leads; pairs of the leader and another class come first (no pairs within the group). Exact bounds
 from binned counts drop pairs that are too far apart, and a class's nearest are verified on their whole sets. Links make
-components. Then only pairs across components are looked at, in blocks of the classes that follow one leader: every pair
-that the bound leaves is verified. No pair of different classes that share a signature is left out unless it is in one
-component already.
+components. Then only pairs across components are looked at, among the classes that follow one leader, in blocks of
+classes of like size: every pair that the bound leaves is verified. No pair of different classes that share a signature
+is left out unless it is in one component already. A block holds about ``BLOCK_BINS`` bins, so a class is copied once for
+some thousands of classes of its size band and the next ones that follow the same leader.
+
+Tables are discarded when their last reader is done.
 
 Components come from min-label propagation with pointer jumping over written tables.
 
@@ -39,10 +44,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tessera.llm.tokens import small_batches
+from tessera.llm.tokens import shipped, slices
 from tessera.llm.words import hashes, mix
-from tessera.llm.work import written
+from tessera.llm.work import discard, written
 
 WORDS = 5
 LEAST_BINS = 64
@@ -51,10 +57,18 @@ GROUPS_PER_SHINGLE = 0.16
 BUCKET_SIGNATURES = 3_000_000
 #: Signatures a task holds before it hands them out.
 HELD_SIGNATURES = 1_500_000
-SAMPLE_DOCUMENTS = 4000
-#: A shingle in this share of the sampled documents is left out of the first domain.
-FREQUENT = 0.001
-BLOCK = 256
+#: One class in so many is in the sample; a shingle in so many sampled classes is left out of the first domain.
+SAMPLE_EVERY = 32
+SAMPLE_LEAST = 3
+#: At most so many shingles (the most frequent ones) are left out: 16 MB.
+MAX_FREQUENT = 1 << 21
+#: Bins of all the sketches in a block, and the most classes in one.
+BLOCK_BINS = 1 << 23
+MAX_BLOCK = 4096
+#: Pairs of one leader that are verified together.
+LEADER_PAIRS = 256
+#: Classes that a task remembers, so as not to describe or sign them again.
+SEEN_CLASSES = 200_000
 #: How many of a class's nearest partners among leaders and followers are verified first.
 FIRST_PARTNERS = 8
 DOC_BUCKETS = 1 << 18
@@ -172,38 +186,71 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+class Seen(set):
+    """The classes a task has met lately; bounded."""
+
+    def first(self, cls: int) -> bool:
+        if cls in self:
+            return False
+        if len(self) >= SEEN_CLASSES:
+            self.clear()
+        self.add(cls)
+        return True
+
+
+def sampled(cls: int) -> bool:
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([cls], np.int64).view(np.uint64) * _ODD[0])[0] % np.uint64(SAMPLE_EVERY)) == 0
+
+
 def described(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, cls, n, and the sketch where the task meets the class for the first time."""
+    """doc_id, cls, n, and, where the task meets the class for the first time, its sketch and, if it is in the sample,
+    its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            names, sizes, sketches = [], [], []
+        seen = Seen()
+        for b in slices(batches):
+            names, sizes, sketches, samples = [], [], [], []
             for t in b.column("body").to_pylist():
                 s = shingles(t)
                 c = class_of(s)
+                fresh = seen.first(c)
                 names.append(c)
                 sizes.append(len(s))
-                sketches.append(None if c in seen else sketch(s))
-                seen.add(c)
+                sketches.append(sketch(s) if fresh else None)
+                samples.append(s.tobytes() if fresh and sampled(c) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "cls", "n", "sketch"])
+                [b.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(samples, pa.binary())],
+                ["doc_id", "cls", "n", "sketch", "sample"])
 
-    return small_batches(docs).select("doc_id", F.col(f"`{text}`").alias("body")).mapInArrow(run, "doc_id long, cls long, n long, sketch binary")
+    rows = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("body"))
+    return rows.mapInArrow(run, "doc_id long, cls long, n long, sketch binary, sample binary")
 
 
-def frequent_shingles(docs: DataFrame, text: str, n_docs: int) -> np.ndarray:
-    """Shingles in many of about SAMPLE_DOCUMENTS sampled documents; steers cost only."""
-    every = max(1, n_docs // SAMPLE_DOCUMENTS)
+def named(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` plus n_shingles and cls, the name of the set of each."""
+    kept = [c for c in shipped(rows).columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column("body").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["s"])
+        for b in slices(batches):
+            sets = [shingles(t) for t in b.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c) for c in kept], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], [*kept, "n_shingles", "cls"])
 
-    sample = docs.select(F.col(f"`{text}`").alias("body")).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    often = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= max(3, FREQUENT * min(n_docs, SAMPLE_DOCUMENTS)))
-    return np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
+    return rows.mapInArrow(run, StructType([*[rows.schema[c] for c in kept], StructField("n_shingles", LongType()), StructField("cls", LongType())]))
+
+
+def frequent_shingles(samples: DataFrame) -> np.ndarray:
+    """Shingles of many sampled classes; steers cost only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            held = [np.frombuffer(x, np.int64) for x in b.column("sample").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], ["s"])
+
+    often = samples.select("sample").mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= SAMPLE_LEAST)
+    most = often.orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s").toArrow()
+    return np.sort(most["s"].to_numpy().view(np.uint64))
 
 
 def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -212,7 +259,7 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         names, held, n = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -231,13 +278,12 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
             return pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*packed)]], ["bucket", "signatures", "counts", "names"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("body").to_pylist():
                 s = shingles(t)
                 c = class_of(s)
-                if not len(s) or c in seen:
+                if not len(s) or not seen.first(c):
                     continue
-                seen.add(c)
                 names.append(c)
                 held.append(signatures(s, shared.value))
                 n += len(held[-1])
@@ -247,7 +293,7 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray, buckets: int) -> Da
         if held:
             yield out()
 
-    return small_batches(docs).select(F.col(f"`{text}`").alias("body")).mapInArrow(run, "bucket int, signatures binary, counts binary, names binary")
+    return shipped(docs).select(F.col(f"`{text}`").alias("body")).mapInArrow(run, "bucket int, signatures binary, counts binary, names binary")
 
 
 def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
@@ -269,17 +315,25 @@ def star_edges(packed: DataFrame, buckets: int) -> DataFrame:
         lead = np.repeat(cls[first], np.diff(np.append(first, len(sig))))
         return np.unique(np.stack([lead[lead != cls], cls[lead != cls]], 1), axis=0)
 
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        pairs = of_bucket(held)
+        for i in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c]) for c in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
+        """Rows come sorted by bucket; one bucket is held at a time."""
+        held, now = [], None
+        for b in slices(batches, 16):
             for bucket, *rest in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(bucket, []).append(rest)
-        for bucket in list(held):
-            pairs = of_bucket(held.pop(bucket))
-            for i in range(0, len(pairs), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + (1 << 16), c]) for c in (0, 1)], ["a", "b"])
+                if bucket != now and held:
+                    yield from out(held)
+                    held = []
+                now = bucket
+                held.append(rest)
+        if held:
+            yield from out(held)
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -287,7 +341,7 @@ def near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
             apart = np.empty(b.num_rows, np.float64)
             for i, (x, y) in enumerate(zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist())):
@@ -306,7 +360,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
     where = asked.join(classes.select("cls", "rep"), "cls").select(F.pmod(F.xxhash64("rep"), F.lit(DOC_BUCKETS)).alias("_bucket")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
@@ -327,43 +381,65 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
 def components(links: DataFrame) -> DataFrame:
     """(cls, label): the smallest class reachable, for every class that has a link."""
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "cls"))
+    held = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "cls"))
     while True:
+        labels = held.select("cls", "label")
         near = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.min("label").alias("_near"))
         step = labels.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("label").alias("_old"), F.least("label", "_near").alias("_new"))
         of = step.select(F.col("cls").alias("_new"), F.col("_new").alias("_root"))
         jumped = written(step.join(of, "_new", "left").select("cls", "_old", F.least(F.col("_new"), F.coalesce("_root", "_new")).alias("label")))
-        labels = jumped.select("cls", "label")
+        discard(held)
+        held = jumped
         if jumped.where("_old <> label").isEmpty():
-            return labels
+            discard(both)
+            return jumped
+
+
+def band_of(n: str):
+    """Place of a size among the bands' lower edges."""
+    return (F.array_position(F.transform(F.array(*map(F.lit, EDGES)), lambda e: e > F.col(n)), True) - 2).cast("int")
+
+
+def block_size(band):
+    """How many classes of a band a block takes."""
+    largest = F.element_at(F.array(*map(F.lit, EDGES)), F.greatest(band, F.lit(0)) + 2)
+    return F.greatest(F.lit(16), F.least(F.lit(MAX_BLOCK), F.floor(F.lit(BLOCK_BINS) / (4 * largest))))
 
 
 def across(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs within the group of one leading class that are in different components and pass the bound. Any two
     classes of a run are in the group of the run's leader."""
     members = stars.select(F.col("a").alias("run"), F.col("b").alias("cls")).unionByName(stars.select(F.col("a").alias("run"), F.col("a").alias("cls")).distinct())
-    known = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = known.groupBy("run").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("m")).where("_lo <> _hi")
-    rows = known.join(mixed.select("run", "m"), "run").join(classes.select("cls", "n", "sketch"), "cls")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    known = members.join(labels.select("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    known = known.join(classes.select("cls", "n", band_of("n").alias("band")), "cls")
+    ends = known.groupBy("run", "band").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("m"))
+    by_run = F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("bands")  # one entry a band: some 100 at most
+    mixed = written(ends.groupBy("run").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), by_run).where("_lo <> _hi").select("run", "bands"))
+    # ``mixed`` is a table of its own, so that the join can split a run with many members
+    rows = known.join(mixed, "run").join(classes.select("cls", "sketch"), "cls")
+    blocks = lambda band: F.ceil(F.coalesce(F.try_element_at("bands", band), F.lit(0)) / block_size(band)).cast("int")
+    name = lambda band, i: F.shiftleft(band, 24) + i
+    own = name(F.col("band"), F.pmod(F.xxhash64("cls"), blocks(F.col("band"))).cast("int"))
+    partner = lambda band: F.when(blocks(band) > 0, F.transform(F.sequence(F.lit(0), F.greatest(blocks(band) - 1, F.lit(0))), lambda i: name(band, i))).otherwise(F.array().cast("array<int>"))
+    near_bands = F.flatten(F.array(*[partner(F.col("band") + x) for x in (-1, 0, 1)]))  # linked sizes are at most one band apart
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(near_bands)).drop("bands")
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def near(cls, label, n, own, run, lo, hi, sketches) -> np.ndarray:
         """Pairs of one block of a run."""
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        wanted = (label[i] != label[j]) & (4 * small >= 3 * large) & ((lo != hi) | (i < j))
-        i, j = i[wanted], j[wanted]
-        if not len(i):
-            return np.rec.fromarrays([np.empty(0, np.int64)] * 5, names="a,b,run,lo,hi")
         bins = 4 * min(map(len, sketches))
         counts = np.stack([bins_of(x, bins) for x in sketches])
-        step = max(1, (1 << 22) // bins)
-        apart = np.concatenate([7 * distance(counts[i[k : k + step]], counts[j[k : k + step]]) / (n[i[k : k + step]] + n[j[k : k + step]]) for k in range(0, len(i), step)])
-        i, j = i[apart <= 1], j[apart <= 1]
+        step, found = max(1, (1 << 22) // bins), [np.empty((2, 0), np.int64)]
+        for k in range(0, len(left), 64):
+            i, j = np.repeat(left[k : k + 64], len(right)), np.tile(right, len(left[k : k + 64]))
+            wanted = (label[i] != label[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((lo != hi) | (i < j))
+            i, j = i[wanted], j[wanted]
+            for z in range(0, len(i), step):
+                x, y = i[z : z + step], j[z : z + step]
+                close = 7 * distance(counts[x], counts[y]) <= n[x] + n[y]
+                found.append(np.stack([x[close], y[close]]))
+        i, j = np.concatenate(found, axis=1)
         a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
         return np.rec.fromarrays([a, b, *(np.full(len(a), x, np.int64) for x in (run, lo, hi))], names="a,b,run,lo,hi")
 
@@ -380,7 +456,7 @@ def across(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
             cls, label, n, own = (np.concatenate([h[c] for h in held]) for c in range(4))
             return near(cls, label, n, own, *key, [x for h in held for x in h[4]])
 
-        for b in batches:
+        for b in slices(batches):
             keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("run", "lo", "hi")], 1)
             cols = [b.column(c).to_numpy() for c in ("cls", "label", "n", "own")]
             sketches = b.column("sketch").to_pylist()
@@ -405,9 +481,11 @@ def across(stars: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
         if found:
             yield out()
 
-    blocks = rows.select("run", "cls", "label", "n", "own", "lo", "hi", "sketch").repartition("run", "lo", "hi").sortWithinPartitions("run", "lo", "hi")
-    found = blocks.mapInArrow(sweep, "a long, b long, run long, lo long, hi long")
-    return found.groupBy("a", "b").agg(F.min(F.struct("run", "lo", "hi")).alias("x")).select("a", "b", "x.*")
+    in_blocks = rows.select("run", "cls", "label", "n", "own", "lo", "hi", "sketch").repartition("run", "lo", "hi").sortWithinPartitions("run", "lo", "hi")
+    found = in_blocks.mapInArrow(sweep, "a long, b long, run long, lo long, hi long")
+    pairs = written(found.groupBy("a", "b").agg(F.min(F.struct("run", "lo", "hi")).alias("x")).select("a", "b", "x.*"))
+    discard(mixed)
+    return pairs
 
 
 def nearest_of_each(pairs: DataFrame, k: int) -> DataFrame:
@@ -418,25 +496,33 @@ def nearest_of_each(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, and cls, the name of its set."""
     rows = written(described(docs, text))
     classes = written(rows.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
-    n_docs, n_shingles = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-n_shingles // BUCKET_SIGNATURES))
-    frequent = frequent_shingles(docs, text, n_docs)
+    frequent = frequent_shingles(rows.where("sample is not null").dropDuplicates(["cls"]))
     stars = written(star_edges(signed(docs, text, frequent, buckets), buckets))
-    chosen = nearest_of_each(near_enough(stars, classes), FIRST_PARTNERS)
-    tried = written(chosen.select("a", "b", F.col("a").alias("run"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("lo"), F.lit(0).cast("long").alias("hi")))
+    chosen = written(nearest_of_each(near_enough(stars, classes), FIRST_PARTNERS))
+    parts = chosen.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).alias("parts"))
+    tried = written(chosen.join(parts, "a").select("a", "b", F.col("a").alias("run"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("lo"), F.lit(0).cast("long").alias("hi")))
+    discard(chosen)
     links = verified(tried, docs, text, classes)
     labels = components(links)
-    rest = written(across(stars, classes, labels).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    left = across(stars, classes, labels)
+    rest = written(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    discard(stars, tried, left)
     if not rest.isEmpty():
         more = verified(rest, docs, text, classes)
         if not more.isEmpty():
+            discard(labels)
             labels = components(links.unionByName(more))
-    whole = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        discard(more)
+    discard(links, rest)
+    whole = classes.join(labels.select("cls", "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = whole.join(names, "label").select("cls", "component_id")
-    return rows.join(named, "cls").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = written(whole.join(names, "label").select("cls", "component_id"))
+    discard(classes, labels)
+    return rows.select("doc_id", "n", "cls").join(named, "cls").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")

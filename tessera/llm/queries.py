@@ -63,7 +63,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return jaccard.near_groups(documents(spark, sf_dir).select("doc_id", "text")).drop("cls")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
