@@ -4,15 +4,16 @@ Each language has a zstandard raw-content dictionary made of labelled text. A te
 by block, with every dictionary; the language with the smallest total wins. A narrow margin to the second is a
 rejection.
 
-Fitting reads a bounded sample: for each language the ``SAMPLE_ROWS`` rows with the smallest hash of doc_id, of each
-at most ``SAMPLE_CHARS`` characters. Every language of the labelled rows is learned; samples are read, and texts
-compressed, for ``LANGUAGES_AT_ONCE`` languages at a time. Prediction reads whole texts, needs no shuffle, and never
-looks at lang, source or doc_id.
+Fitting reads a bounded sample: for each language the rows with the smallest hash of doc_id, whole texts, until there
+are ``SAMPLE_ROWS`` rows or ``DICTIONARY_BYTES`` bytes; a dictionary holds ``DICTIONARY_BYTES`` bytes of them. Rows that
+share a doc_id are ordered by their text, so the sample is the same in every run. Every language of the labelled rows is
+learned; samples are read, and texts compressed, for ``LANGUAGES_AT_ONCE`` languages at a time. Prediction reads whole
+texts, needs no shuffle, and never looks at lang, source or doc_id.
 
 Defined results: null text and text without a letter are ``und`` with score 0 and are not accepted. Ties go to the
 language that sorts first. With one learned language every text with a letter is that language with score 1; with
-none every text is ``und``. Repeated rows are predicted one by one. Columns other than the text are carried through;
-those named like the results are replaced.
+none every text is ``und``. Repeated rows are predicted one by one; an empty table gives an empty table. Columns other
+than the text are carried through under any name; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tessera.llm.tokens import small_batches
+from tessera.llm.tokens import shipped, slices
 from tessera.llm.work import written
 
 SAMPLE_ROWS = 128
-SAMPLE_CHARS = 4096
 LANGUAGES_AT_ONCE = 64
 DICTIONARY_BYTES = 1 << 17
 BLOCK_BYTES = 1 << 12
@@ -51,9 +51,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     """language -> dictionary content, from rows (doc_id, text, lang)."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     names = sorted(r[lang] for r in usable.select(lang).distinct().collect())
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", lang, F.left(text, F.lit(SAMPLE_CHARS)).alias("body")).withColumn("_k", rank).where(F.col("_k") <= SAMPLE_ROWS)
-    chosen = chosen.select(lang, "_k", "body")
+    order = Window.partitionBy(lang).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(text), text)
+    ranked = usable.select(lang, "doc_id", text).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= SAMPLE_ROWS)
+    before = F.sum(F.octet_length(text)).over(Window.partitionBy(lang).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = ranked.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < DICTIONARY_BYTES)
+    chosen = chosen.select(lang, "_k", F.left(text, F.lit(DICTIONARY_BYTES)).alias("body"))
     parts = blocks(names)
     if len(parts) > 1:
         chosen = written(chosen)
@@ -119,16 +121,18 @@ class Classifier:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score and accepted."""
     made = ["lang_pred", "score", "accepted"]
-    rows = small_batches(docs).drop(*made)
-    names = rows.columns
+    kept = [c for c in shipped(docs).columns if c not in made]
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), body.alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dictionaries)
-        for b in batches:
-            found = classify(b.column(text).to_pylist())
+        for b in slices(batches):
+            found = classify(b.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-                [*names, *made])
+                [b.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
+                ["row", *made])
 
-    schema = StructType([*rows.schema.fields, StructField(made[0], StringType()), StructField(made[1], DoubleType()), StructField(made[2], BooleanType())])
-    return rows.mapInArrow(run, schema)
+    schema = StructType([rows.schema["row"], StructField(made[0], StringType()), StructField(made[1], DoubleType()), StructField(made[2], BooleanType())])
+    judged = rows.mapInArrow(run, schema)
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in kept], *made)

@@ -95,7 +95,7 @@ def line_first(docs: DataFrame, text: str = "text") -> DataFrame:
     n_removed_words, base_failed, kept and clean_text (the lines that pass, in order)."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_removed_lines",
             "n_removed_words", "base_failed", "kept", "clean_text"]
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(
         F.transform(F.split(body, "\n", -1), lambda x: F.struct(
             x.alias("line"), F.size(words_of(x)).alias("n"),
@@ -117,12 +117,11 @@ def line_first(docs: DataFrame, text: str = "text") -> DataFrame:
     repeats = let(words_of(body), lambda w: F.struct(
         F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
     kept = [c for c in docs.columns if c not in made]
-    out = docs.select(
-        *[F.col(f"`{c}`") for c in kept], summary.alias("_s"), repeats.alias("_r"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), summary.alias("_s"), repeats.alias("_r"))
     failed = (F.col("_r.n_words") < MIN_WORDS) | (100 * F.col("_r.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_r.n_words"))
     long = lambda c: F.col(c).cast("long")
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col("_row").getField(c).alias(c) for c in kept],
         long("_r.n_words").alias("n_words"), long("_r.word_chars").alias("word_chars"), long("_s.n_symbols").alias("n_symbols"),
         long("_s.n_dup_lines").alias("n_dup_lines"), long("_r.n_repeat_words").alias("n_repeat_words"),
         long("_s.n_lines").alias("n_lines"), long("_s.n_removed_lines").alias("n_removed_lines"),

@@ -11,7 +11,8 @@ to a name of its own attempt; only names that successful tasks returned are in t
 task leaves no trace in the result.
 
 Defined results: null or empty text holds the end id alone; null doc_ids come first; rows that repeat a doc_id follow
-one another; an empty table gives no files and no rows.
+one another; an empty table gives no files and no rows. Columns other than doc_id and the text are not read. Many rows
+of one doc_id (or of none) share a file, however large; readers take it in parts of ``READ_IDS`` ids.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.tokens import small_batches
+from tessera.llm.tokens import shipped, slices
 from tessera.llm.work import file_system, shared_folder, written
 
 MAGIC = b"TESSTOK1"
@@ -34,6 +35,8 @@ BLOCK = 4096
 END_ID = 2
 #: Ids that a reader holds at once.
 READ_IDS = 1 << 20
+#: Characters of text to a file.
+FILE_CHARS = 1 << 26
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -116,26 +119,28 @@ class Reader:
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text", files: int | None = None) -> DataFrame:
     """Encode, append ``end_id``, write; returns the manifest: file_no, file, n_docs, n_ids."""
-    spark = small_batches(docs).sparkSession
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark = shipped(docs).sparkSession
+    if files is None:
+        chars = docs.agg(F.coalesce(F.sum(F.length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // FILE_CHARS))
     folder = shared_folder(spark)
     # borders of ranges: a fixed number of quantiles of doc_id, read without the text
     cuts = np.array(sorted(set(docs.select("doc_id").approxQuantile("doc_id", [i / files for i in range(1, files)], 0.2 / files) if files > 1 else [])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.Codec.of(path)
-        width, end = ("<u2" if codec.vocab_size <= 1 << 16 else "<u4"), bpe.as_bytes([end_id])
-        for b in batches:
-            ids = [np.frombuffer(codec.encode(t) + end, "<u4").astype(width).tobytes() for t in b.column("body").to_pylist()]
-            where = [0 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in b.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(where, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "file_no", "ids"])
+        with bpe.Codec.of(path).task() as codec:
+            width, end = ("<u2" if codec.vocab_size <= 1 << 16 else "<u4"), bpe.as_bytes([end_id])
+            for b in slices(batches):
+                ids = [np.frombuffer(codec.encode(t) + end, "<u4").astype(width).tobytes() for t in b.column("body").to_pylist()]
+                where = [0 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in b.column("doc_id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(where, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "file_no", "ids"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab_size = max(bpe.Codec.of(path).vocab_size, end_id + 1)
         width = "<u2" if bpe.Codec.of(path).vocab_size <= 1 << 16 else "<u4"
         done, now, out, name = [], None, None, ""
         fs, place = file_system(folder)
-        for b in batches:
+        for b in slices(batches):
             for doc, number, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "file_no", "ids"))):
                 if number != now:
                     if out:

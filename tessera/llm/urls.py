@@ -1,17 +1,19 @@
 """URL filters by a sort-merge range join (native: DataFrame functions only).
 
 Reversed host labels and the path make a key, so that a rule covers one interval of keys. Keys of rules and of
-addresses are sorted together and swept once; the sweep holds the stack of rules that are open at the last rule
-seen. Intervals nest or are disjoint, so the rules that cover an address are all on that stack.
+addresses are sorted together into ranges and swept once; the sweep holds the stack of rules that are open at the last
+rule seen. Intervals nest or are disjoint, so the rules that cover an address are all on that stack. A range begins
+with the stack of the last rule before it.
 
 A rule fits its host and all subdomains where the path starts with the rule's path. Hosts and paths are two
 prefixes, so each address is looked up once for each suffix of its host (as many as its labels). Distinct
-(host, path) pairs are looked up, not rows; the sweep is salted by a hash of the key, and the rules are copied
-to each salt, so that one host with a third of all rows spreads over all tasks.
+(host, path) pairs are looked up, not rows; they are dealt by ranges of the key, so one host with a third of all
+addresses spreads over many tasks, and no rule is copied.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule. Repeated rows
 each get their result. Among fitting rules the longest (host and path together) wins, then the longer host,
-then ``block``. An empty rule set or table is fine. Input columns with the names made here are replaced.
+then ``block``. An empty rule set or table is fine, and a url may have any
+length. Input columns may have any name; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.work import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = [
@@ -50,44 +54,49 @@ def reversed_key(host: Column, path: Column) -> Column:
 
 
 def nested(rules: DataFrame) -> DataFrame:
-    """Rules with ``stack``: the rules that cover them, outermost first, themselves last. Rules of one host sort
-    together; a host's rules are a part of the rule table, never of the data."""
+    """Rules as (key, stack): the rules that cover a rule, outermost first, itself last. A rule covers another of its
+    host if its path is a prefix of the other's, so each rule looks up the prefixes of its path: rows grow with the
+    lengths of the paths, not with the square of a host's rules."""
     one = rules.groupBy(F.col("host").alias("_h"), F.col("path").alias("_p")).agg(F.max("verdict").alias("_v"))
-    keyed = one.select(
-        reversed_key(F.col("_h"), F.col("_p")).alias("key"), "_h",
-        F.struct(F.length(F.concat("_h", "_p")).alias("n"), F.length("_h").alias("h"), F.col("_p").alias("path"),
-                 F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict")).alias("_me"),
-    )
-    before = F.collect_list("_me").over(Window.partitionBy("_h").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    return keyed.withColumn("_all", before).select(
-        "key", F.expr("filter(_all, x -> startswith(_me.path, x.path))").alias("stack")
-    )
-
-
-def range_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT, salts: int | None = None) -> DataFrame:
+    me = F.struct(F.length(F.concat("_h", "_p")).alias("n"), F.length("_h").alias("h"), F.col("_p").alias("path"),
+                  F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict"))
+    keyed = one.select("_h", "_p", me.alias("_me"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("_p")), lambda i: F.left(F.col("_p"), i))
+    asks = one.select("_h", F.col("_p").alias("_own"), F.explode(prefixes).alias("_p"))
+    found = asks.join(keyed, ["_h", "_p"]).groupBy("_h", "_own").agg(F.array_sort(F.collect_list("_me")).alias("stack"))
+    return found.select(reversed_key(F.col("_h"), F.col("_own")).alias("key"), "stack")
+
+
+def range_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` plus host, path, rule (null without one) and verdict."""
-    spark = pages.sparkSession
-    salts = salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, path = host_and_path(F.col(f"`{url}`"))
     made = ["host", "path", "rule", "verdict"]
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made], host.alias("host"), path.alias("path"))
+    kept = [c for c in pages.columns if c not in made]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), host.alias("host"), path.alias("path"))
     pairs = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     asked = pairs.select("host", "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_suffix"))
     asked = asked.select("host", "path", reversed_key(F.col("_suffix"), F.col("path")).alias("key"))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)))
-    ruled = nested(rules).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    ruled = nested(rules)
     points = asked.withColumn("stack", F.lit(None).cast(ruled.schema["stack"].dataType)).unionByName(
-        ruled.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "salt", "stack"))
-    sweep = Window.partitionBy("salt").orderBy(F.col("key"), F.col("host").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    swept = points.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("host is not null and open is not null")
+        ruled.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "stack"))
+    # neighbours in the order of keys share a range; a table, so that ranges stay what they are
+    ranged = written(points.repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    last_rule = ranged.where("stack is not null").groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
+    # one row a range: the stack that is open where it begins is that of the last rule in the ranges before
+    before = F.last("stack", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    begins = ranged.select("range").distinct().join(last_rule, "range", "left").withColumn("stack", before).select(
+        F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit("").alias("key"), "stack", "range")
+    order = Window.partitionBy("range").orderBy(F.col("key"), F.col("host").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = ranged.unionByName(begins).withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("host is not null and open is not null")
     suffix = F.substring_index("key", SEPARATOR, 1)
     open_hosts = swept.withColumn("_rev", suffix).withColumn("best", F.expr(
         "array_max(filter(open, x -> startswith(path, x.path) and length(_rev) = x.h "
         "and array_join(reverse(split(_rev, '[.]')), '.') = left(x.rule, x.h)))"))
     best = open_hosts.where("best is not null").groupBy("host", "path").agg(F.max("best").alias("best"))
-    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_verdict"))
+    # a table of its own, so that the join can split an address with many rows
+    best = written(best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_verdict")))
     return rows.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in rows.columns], "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+        *[F.col("_row").getField(c).alias(c) for c in kept], "host", "path", "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
