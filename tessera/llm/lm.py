@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import small_batches
+from tessera.llm.tokens import shipped
 from tessera.llm.words import END, hashes, mix
 from tessera.llm.work import written as _written
 
@@ -108,7 +108,7 @@ def count_grams(training: DataFrame, text: str) -> DataFrame:
         if held:
             yield from out()
 
-    partial = small_batches(training).select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, w long, c long")
+    partial = shipped(training).select(F.col(f"`{text}`").alias("t")).mapInArrow(run, "h long, w long, c long")
     return partial.groupBy("h", "w").agg(F.sum("c").alias("c")).where((F.col("h") == WORD) | (F.col("c") >= MIN_COUNT))
 
 
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(spread), pa.array(np.zeros(len(uid), np.int32)), made], names)
             yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(len(row), doc)], names)
 
-    rows = small_batches(docs).select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("uid", F.monotonically_increasing_id())
+    rows = shipped(docs).select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("uid", F.monotonically_increasing_id())
     asked = rows.mapInArrow(run, "uid long, key long, n int, doc struct<doc_id: long, n_tokens: long, n_known: long, base: double, whole: double>")
     found = asked.join(table, "key", "left").where(F.col("known").isNotNull() | F.col("doc").isNotNull()).select("uid", "n", "base", "whole", "known", F.col("doc.doc_id").alias("doc_id"), F.col("doc.n_tokens").alias("n_tokens"), *[F.col(f"doc.{c}").alias(f"own_{c}") for c in ("n_known", "base", "whole")])
     more = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n")), F.lit(0))

@@ -35,3 +35,26 @@ def test_stages_keep_columns_and_only_remove_rows(spark):
     assert docs.count() == docs.select("text").distinct().count()
     packed = p.STAGES[-1][1](spark, docs, SF)
     assert packed.agg(F.sum("length")).first()[0] == packed.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_near_and_exact_dedup_judge_rows_and_not_ids(spark):
+    import corpus_pipeline as p
+
+    a = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"v{i}" for i in range(40)), " ".join(f"u{i}" for i in range(30))
+    rows = spark.createDataFrame(
+        [(1, a, "x"), (2, a + " more", "x"), (2, other, "x"), (3, third, "x"), (3, third, "x"), (3, third.upper(), "x"), (None, third, "y"), (4, " ", "x"), (4, None, "x")],
+        "doc_id long, text string, `odd.name` string")
+    got = p.near_dedup(spark, rows, SF)
+    assert got.columns == rows.columns
+    assert sorted((r[0] or 0, (r[1] or "").lower()) for r in got.collect()) == [(1, a), (2, other), (3, third), (4, ""), (4, " ")]
+    copies = spark.createDataFrame([(None, a), (None, a), (5, other), (5, other), (4, other), (6, third), (7, None), (8, "")], "doc_id long, text string")
+    assert sorted((r[0] or 0, r[1] or "") for r in p.exact_dedup(spark, copies, SF).collect()) == sorted([(0, a), (5, other), (6, third), (8, "")])
+
+
+def test_empty_table_passes_through(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
