@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null without a direction."""
+    return F.when(norm(a) > 0, F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / n))[0])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for a missing vector, different lengths or a zero norm."""
     size = norm(a) * norm(b)
@@ -66,3 +73,42 @@ def budget_split(total: Column) -> Column:
     reserve = F.least(F.lit(1024), F.floor(total / 4)).cast("long")
     third = F.floor((total - reserve) / 3).cast("long")
     return F.struct(reserve.alias("reserve"), third.alias("stm"), third.alias("mtm"), (total - reserve - 2 * third).alias("ltm"))
+
+
+def legacy_recency(age_days: Column) -> Column:
+    """Halves every seven days."""
+    return F.exp(-age_days * math.log(2) / 7)
+
+
+def legacy_composite(similarity: Column, importance: Column, recent: Column, same_session: Column) -> Column:
+    return similarity + 0.2 * importance + 0.1 * recent + F.when(same_session, 0.05).otherwise(0.0)
+
+
+def importance_value(level: Column) -> Column:
+    return F.when(level == "CRITICAL", 1.0).when(level == "HIGH", 0.75).when(level == "NORMAL", 0.5).otherwise(0.25)
+
+
+def sigmoid(x: Column) -> Column:
+    """Stable for large arguments of either sign."""
+    e = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
+
+
+def value_score(importance: Column, confidence: Column) -> Column:
+    return importance + 0.1 * confidence
+
+
+def compress_fraction(base: Column, utilization: Column) -> Column:
+    return F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.greatest(base, F.least(utilization, F.lit(0.9)))))
+
+
+#: Dollars for 1,000 tokens in and out, by a part of the model's name.
+PRICES = (("large", 0.01, 0.03), ("small", 0.0005, 0.0015), ("mini", 0.00015, 0.0006))
+
+
+def cost(model: Column, tokens_in: Column, tokens_out: Column) -> Column:
+    """0 for a model without a price."""
+    out = F.lit(0.0)
+    for part, a, b in reversed(PRICES):
+        out = F.when(F.contains(model, F.lit(part)), tokens_in / 1000 * a + tokens_out / 1000 * b).otherwise(out)
+    return out

@@ -38,3 +38,11 @@ def answer_match(answer: Column, gold: Column) -> Column:
     a, g = normalise(answer), normalise(gold)
     return (F.when(answer == gold, "exact").when(a == g, "normalized").when((g != "") & F.contains(a, g), "contained")
             .when(overlap(F.array_distinct(tokens(a)), F.array_distinct(tokens(g))) >= 0.7, "overlap").otherwise("none"))
+
+
+def latency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean and p95, the latter the value at place floor(0.95 n) from 1, as the retrieval bench counts it."""
+    w = Window.partitionBy(*keys)
+    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy(value, "id")), "_n": F.count(F.lit(1)).over(w)})
+    place = F.greatest(F.lit(1), F.floor(F.col("_n") * 95 / 100))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("_k") == place, F.col(value))).alias("p95"))

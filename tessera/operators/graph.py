@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def walk(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def walk(seeds: DataFrame, edges: DataFrame, hops: int, predicates: list[str] | None = None, min_weight: float | None = None, cap: int | None = None) -> DataFrame:
     """Paths of up to ``hops`` edges that visit no node twice: (seed, target, depth, path). A loop of equi-joins,
-    one for each hop; the path guard ends cycles."""
+    one for each hop; the path guard ends cycles. Predicates and weights cut the edges first; ``cap`` is the number of
+    paths that a seed reports, nearest first."""
+    if predicates is not None:
+        edges = edges.where(F.col("predicate").isin(predicates))
+    if min_weight is not None:
+        edges = edges.where(F.col("weight") >= min_weight)
     at = seeds.select(F.col("id").alias("seed"), F.col("id").alias("target"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     found = []
     for depth in range(1, hops + 1):
         step = at.join(edges.select(F.col("source").alias("target"), F.col("target").alias("next")), "target").where(~F.array_contains("path", F.col("next")))
         at = step.select("seed", F.col("next").alias("target"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
         found.append(at)
-    return reduce(DataFrame.unionByName, found)
+    paths = reduce(DataFrame.unionByName, found)
+    if cap is None:
+        return paths
+    order = Window.partitionBy("seed").orderBy("depth", F.concat_ws(">", "path"))
+    return paths.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).drop("_k")
+
+
+def live_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges whose target is a live entity, with its name."""
+    there = entities.where("live").select(F.col("id").alias("target"), "name")
+    return edges.join(there, "target")
 
 
 def expand(hits: DataFrame, edges: DataFrame, seeds: int) -> DataFrame:

@@ -9,6 +9,10 @@ from tessera.functions import scoring, text as tx
 
 #: Query tables up to this many rows are broadcast whole; larger ones go in blocks of this size.
 QUERY_BLOCK = 1000
+#: Terms of all queries up to which documents are filtered where they are read.
+MAX_TERMS = 500
+#: Ids that are swept together.
+ID_RANGE = 100_000
 
 
 def rank_by(df: DataFrame, score, k: int, ties=("id",), name: str = "rank") -> DataFrame:
@@ -17,18 +21,34 @@ def rank_by(df: DataFrame, score, k: int, ties=("id",), name: str = "rank") -> D
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def knn(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated query set, in blocks that are small enough to broadcast."""
+def knn(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool = False) -> DataFrame:
+    """Exact cosine top-k of a stated query set, in blocks that are small enough to broadcast; vectors are normalised
+    once, so that a pair costs one dot product. ``same_kind``: only memories of the query's kind."""
+    unit = lambda df, c: df.withColumn(c, scoring.unit(F.col(c)))
+    memory, queries = unit(memory.select("id", "kind", "v"), "v"), unit(queries, "q")
     n = queries.count()
-    if n > QUERY_BLOCK:
-        blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == i) for i in range(-(-n // QUERY_BLOCK))]
-    else:
-        blocks = [queries]
+    parts = max(1, -(-n // QUERY_BLOCK))
     out = None
-    for block in blocks:
-        hits = memory.join(F.broadcast(block)).where(F.col("id") != F.col("query_id")).select("query_id", "id", "kind", scoring.cosine(F.col("v"), F.col("q")).alias("score"))
+    for i in range(parts):
+        block = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries)
+        alike = F.col("id") != F.col("query_id")
+        hits = memory.join(block, alike & (F.col("kind") == F.col("query_kind")) if same_kind else alike)
+        hits = hits.select("query_id", "id", "kind", F.coalesce(scoring.dot(F.col("v"), F.col("q")), F.lit(0.0)).alias("score"))
         out = hits if out is None else out.unionByName(hits)
-    return rank_by(out, F.desc("score"), k)
+    return rank_by(out, F.desc(F.round("score", 12)), k)
+
+
+def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, rank): the k ids next to each query's, from one sorted sweep instead of pairs."""
+    both = memory.select("id", F.lit(False).alias("asks")).unionByName(queries.select(F.col("query_id").alias("id"), F.lit(True).alias("asks")))
+    ids = F.col("id")
+    part = F.floor(ids / ID_RANGE)
+    # an id is read in its own range and in the ranges next to it, whose borders may cut a neighbourhood
+    spread = both.withColumn("_range", F.explode(F.when(F.col("asks"), F.array(part)).otherwise(F.array(part - 1, part, part + 1))))
+    w = Window.partitionBy("_range").orderBy("id", "asks")
+    near = F.collect_list(F.when(~F.col("asks"), ids)).over(w.rowsBetween(-2 * k - 1, 2 * k + 1))
+    found = spread.withColumn("_near", near).where("asks").select(ids.alias("query_id"), F.explode("_near").alias("id")).where("id <> query_id")
+    return rank_by(found.withColumn("gap", F.abs(F.col("id") - F.col("query_id"))), F.col("gap"), k).select("query_id", "id", "rank")
 
 
 def trigram_topk(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -46,8 +66,12 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: floa
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     docs = corpus.select("id", tx.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    wanted = asked.select("term").distinct()
-    tf = docs.select("id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = [r["term"] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if len(terms) <= MAX_TERMS:  # few terms: others go before the arrays are exploded
+        tokens = docs.select("id", "len", F.explode(F.filter("t", lambda x: x.isin(terms))).alias("term"))
+    else:
+        tokens = docs.select("id", "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = tokens.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(df, "term").join(asked, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -13,12 +13,12 @@ def members(facts: DataFrame, since: str | None = None) -> DataFrame:
     of a time scope."""
     if since:
         facts = facts.where(F.col("occurred_at") >= F.lit(since).cast("timestamp"))
-    first = F.min_by(F.struct("obj", "quantity", "unit"), F.col("pos"))
+    first = F.min_by(F.struct("obj", "quantity", "unit"), F.struct("pos", "quantity", "unit"))
     return facts.groupBy("subject", "predicate", normalise(F.col("obj")).alias("member")).agg(first.alias("x"), F.min("pos").alias("pos")).select("subject", "predicate", "member", "pos", "x.quantity", "x.unit")
 
 
 def summarise(facts: DataFrame, since: str | None = None, min_count: int = 1) -> DataFrame:
-    unit = F.min_by(F.when(F.col("unit") != "", F.col("unit")), F.when(F.col("unit") != "", F.col("pos")))
+    unit = F.min_by(F.when(F.col("unit") != "", F.col("unit")), F.when(F.col("unit") != "", F.struct("pos", "unit")))
     return members(facts, since).groupBy("subject", "predicate").agg(
         F.count(F.lit(1)).alias("members"), F.sum("quantity").alias("total"), unit.alias("unit")).where(F.col("members") >= min_count)
 

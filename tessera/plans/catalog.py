@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from tessera.functions import scoring as sc
 from tessera.functions import text as tx
 from tessera.operators import budget, evaluation, graph, policy, promotion, retrieval, synthesis, temporal
-from tessera.plans.literals import ANSWERS, SENTENCES, STRUCTURED, VOTES, values
+from tessera.plans.literals import ANSWERS, STRUCTURED, VOTES, values
 from tessera.sources import store
 from tessera.sources.shared import shared_folder
 from tessera.sources.tables import edges, facts, table, turns, vectors
 
 FLAGSHIP = "hybrid_retrieve"
 QUERIES, ORACLES = {}, {}
-VALID, KNOWN = "2024-06-01 00:00:00", "2024-06-10 00:00:00"
-NOW = "2025-01-01 00:00:00"
+#: Events lie in January 2024 and are recorded until the end of February.
+VALID, KNOWN = "2024-01-15 00:00:00", "2024-01-20 00:00:00"
+NOW = "2024-02-01 00:00:00"
 
 
 def query(sql: str | None = None):
@@ -31,6 +32,10 @@ def query(sql: str | None = None):
     return register
 
 
+def sql_text(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
 def us(c: str):
     return F.unix_micros(c).alias(c)
 
@@ -79,9 +84,9 @@ def valid_interval_filter(spark, d):
     return temporal.intervals(facts(spark, d)).where(temporal.valid_at(temporal.at(VALID))).select("id", "subject", "attribute", "value")
 
 
-@query(f"with {FACTS} select id, subject, attribute, value, epoch_us(valid_from) as valid_from from f where valid_from >= timestamp '2024-03-01' and valid_from < timestamp '2024-04-01'")
+@query(f"with {FACTS} select id, subject, attribute, value, epoch_us(valid_from) as valid_from from f where valid_from >= timestamp '2024-01-10' and valid_from < timestamp '2024-01-12'")
 def timeline_window(spark, d):
-    return temporal.timeline(facts(spark, d), "2024-03-01", "2024-04-01").select("id", "subject", "attribute", "value", us("valid_from"))
+    return temporal.timeline(facts(spark, d), "2024-01-10", "2024-01-12").select("id", "subject", "attribute", "value", us("valid_from"))
 
 
 @query(f"with {FACTS}, a as (select id as ask_id, subject, attribute, recorded_at as t from f where id % 20 = 0) select ask_id, a.subject, a.attribute, arg_max(f.id, (f.valid_from, f.recorded_at, f.id)) as fact_id, arg_max(f.value, (f.valid_from, f.recorded_at, f.id)) as value from a left join f on a.subject = f.subject and a.attribute = f.attribute and f.valid_from <= a.t group by all")
@@ -91,19 +96,19 @@ def asof_join_queries(spark, d):
     return temporal.as_of_join(asked, f, "t")
 
 
-@query(f"with {FACTS} select user_id.subject as subject, coalesce(x.id, -1) as id from (select distinct subject from f) user_id left join (select subject, arg_max(id, (valid_from, recorded_at, id)) id from f where attribute = (select min(attribute) from f) and valid_from <= timestamp '2024-02-01' group by subject) x using (subject)")
+@query(f"with {FACTS} select user_id.subject as subject, coalesce(x.id, -1) as id from (select distinct subject from f) user_id left join (select subject, arg_max(id, (valid_from, recorded_at, id)) id from f where attribute = (select min(attribute) from f) and valid_from <= timestamp '2024-01-03' group by subject) x using (subject)")
 def current_or_absent(spark, d):
     f = facts(spark, d)
     first = f.agg(F.min("attribute").alias("attribute"))
     one = f.join(F.broadcast(first), "attribute", "left_semi")  # one row
-    found = temporal.as_of(one, valid="2024-02-01 00:00:00", keys=("subject",)).select("subject", "id")
+    found = temporal.as_of(one, valid="2024-01-03 00:00:00", keys=("subject",)).select("subject", "id")
     return f.select("subject").distinct().join(found, "subject", "left").select("subject", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
-@query(f"with {FACTS} select id, epoch_us(valid_from) as valid_from, importance from f where valid_from < timestamp '2024-05-01' and importance <= 0.3 and access_count <= 1 order by valid_from, id limit 100")
+@query(f"with {FACTS} select id, epoch_us(valid_from) as valid_from, importance from f where valid_from < timestamp '2024-01-12' and importance <= 0.3 and access_count <= 1 order by valid_from, id limit 100")
 def prune_dry_run(spark, d):
     rows = facts(spark, d).withColumn("last_access", F.lit(None).cast("timestamp"))
-    return temporal.prune(rows, "2024-05-01", 0.3, 1, 100).select("id", us("valid_from"), "importance")
+    return temporal.prune(rows, "2024-01-12", 0.3, 1, 100).select("id", us("valid_from"), "importance")
 
 
 @query(f"with {FACTS} select id, subject, rank from (select *, row_number() over (partition by subject order by importance desc, valid_from desc, id desc)::int as rank from f) where rank > 20")
@@ -162,11 +167,6 @@ def fill_embeddings(spark, d):
     return _texts(spark, d).select("id").join(have, "id", "left").select("id", F.coalesce("dim", F.lit(0)).alias("dim"))
 
 
-@query("select 'row' as kind, count(*) as n from documents where doc_id % 3 <> 0 union all select 'snapshot', count(*) from documents where doc_id % 3 <> 0")
-def snapshot_publish(spark, d):
-    return _published(spark, _texts(spark, d).where("id % 3 <> 0"))
-
-
 def _published(spark, state):
     root = shared_folder(spark, "store")
     store.publish(state, root, 1)
@@ -175,7 +175,7 @@ def _published(spark, state):
 
 
 @query("select 'row' as kind, count(*) as n from documents union all select 'snapshot', count(*) from documents")
-def snapshot_publish_all(spark, d):
+def snapshot_publish(spark, d):
     return _published(spark, _texts(spark, d))
 
 
@@ -200,13 +200,16 @@ def tag_set_if_absent(spark, d):
 
 # ---- vectors and retrieval ----
 def _queries(spark, d):
-    return vectors(spark, d).where("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("kind").alias("query_kind"))
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("kind").alias("query_kind"))
 
 
-KNN = """q as (select vec_id as query_id, embedding::double[] as q, label as query_kind from embeddings where vec_id % 25 = 0),
+KNN = """q as (select vec_id as query_id, embedding::double[] as q, label as query_kind from embeddings where vec_id % 20 = 0),
  hits as (select query_id, vec_id as id, label as kind, query_kind, list_cosine_similarity(q, embedding::double[]) as score from q, embeddings where vec_id <> query_id)"""
 
 
+ALL_KNN = KNN.replace(" where vec_id % 20 = 0", "")
+
+
 @query(f"with {KNN} select query_id, id, rank::int as rank, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, id) rank from hits) where rank <= 10")
 def knn_cosine_topk(spark, d):
     return retrieval.knn(_queries(spark, d).drop("query_kind"), vectors(spark, d), 10).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
@@ -219,13 +222,13 @@ def knn_within_kind(spark, d):
     return retrieval.rank_by(same, F.desc("score"), 5).select("query_id", "id", "rank")
 
 
-GRAM = """g as (select doc_id, list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) as grams from documents where text is not null)"""
+GRAM = r"""g as (select doc_id, list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) as grams from documents where text is not null)"""
 
 
-@query(f"with {GRAM}, p as (select a.doc_id as query_id, b.doc_id as id, len(list_intersect(a.grams, b.grams)) as c, len(a.grams) as na, len(b.grams) as nb from g a, g b where a.doc_id % 100 = 0), s as (select *, c / (na + nb - c)::double as score from p where c > 0) select query_id, id, rank::int as rank, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s where score >= 0.25) where rank <= 5")
+@query(f"with {GRAM}, p as (select a.doc_id as query_id, b.doc_id as id, len(list_intersect(a.grams, b.grams)) as c, len(a.grams) as na, len(b.grams) as nb from g a, g b where a.doc_id % 20 = 0), s as (select *, c / (na + nb - c)::double as score from p where c > 0) select query_id, id, rank::int as rank, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s where score >= 0.25) where rank <= 5")
 def trigram_topk(spark, d):
     rows = _texts(spark, d).where("text is not null").select("id", tx.trigrams(F.col("text")).alias("grams"))
-    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "grams")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "grams")
     return retrieval.trigram_topk(asked, rows, 5, 0.25).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -249,8 +252,9 @@ def bm25_topk(spark, d):
 def rrf_two_channel(spark, d):
     q, m = _queries(spark, d).drop("query_kind"), vectors(spark, d)
     dense = retrieval.knn(q, m, 30)
-    near = m.join(F.broadcast(q.select("query_id"))).where("id <> query_id").withColumn("gap", F.abs(F.col("id") - F.col("query_id")))
-    return retrieval.fuse([dense, retrieval.rank_by(near, F.col("gap"), 30)], 10).select("query_id", "id", "position", F.round("rrf", 9).alias("rrf"))
+    # the 30 nearest ids lie within 30 places on either side
+    near = retrieval.neighbours_by_id(q.select("query_id"), m.select("id"), 30)
+    return retrieval.fuse([dense, near], 10).select("query_id", "id", "position", F.round("rrf", 9).alias("rrf"))
 
 
 @query(f"""with {KNN}, {GRAM}, m as (select vec_id as id, (vec_id % 100) / 100.0::double as importance, (vec_id % 500)::double as age, (vec_id % 5) as acc from embeddings join g on doc_id = vec_id),
@@ -266,7 +270,7 @@ def hybrid_retrieve(spark, d):
     grams = _texts(spark, d).where("text is not null").select("id", tx.trigrams(F.col("text")).alias("grams"))
     m = vectors(spark, d).join(grams, "id").withColumns({
         "importance": F.pmod("id", F.lit(100)) / 100.0, "age_hours": F.pmod("id", F.lit(500)).cast("double"), "access_count": F.pmod("id", F.lit(5))})
-    q = m.where("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "grams")
+    q = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "grams")
     return retrieval.hybrid(q, m, 10, 30).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -286,12 +290,13 @@ def recency_decay(spark, d):
     return f.select("id", F.round(sc.recency(F.col("age"), F.col("access_count")), 9).alias("recency"), F.round(sc.half_life(F.col("age")), 9).alias("half_life"))
 
 
-@query(f"with {FACTS}, a as (select id, importance, value, min(value) over w lo, max(value) over w hi, case id % 3 when 0 then 'STM' when 1 then 'MTM' else 'LTM' end as layer from f window w as (partition by subject)), s as (select *, least(1.0::double, greatest(0.0::double, 0.45::double * (case when hi = lo then 1.0 else (value - lo) / (hi - lo) end) + 0.25::double * importance + 0.2::double * 0.5 + 0.1::double)) as score from a) select id, round(score, 9) as score, round(score * case layer when 'STM' then 1.05::double when 'LTM' then 1.1::double else 1.0::double end, 9) as boosted from s")
+@query(f"with {FACTS}, a as (select id, importance, value, least(1.0::double, exp(-greatest((epoch_us(timestamp '{NOW}') - epoch_us(valid_from)) / 3600000000.0::double, 0.0::double) / 168.0::double) * (1.0::double + ln(1.0::double + access_count))) as rec, min(value) over w lo, max(value) over w hi, case id % 3 when 0 then 'STM' when 1 then 'MTM' else 'LTM' end as layer from f window w as (partition by subject)), s as (select *, least(1.0::double, greatest(0.0::double, 0.45::double * (case when hi = lo then 1.0 else (value - lo) / (hi - lo) end) + 0.25::double * importance + 0.2::double * rec + 0.1::double)) as score from a) select id, round(score, 9) as score, round(score * case layer when 'STM' then 1.05::double when 'LTM' then 1.1::double else 1.0::double end, 9) as boosted from s")
 def composite_score(spark, d):
     w = Window.partitionBy("subject")
     f = facts(spark, d).withColumn("relevance", sc.minmax(F.col("value"), F.min("value").over(w), F.max("value").over(w), 1.0))
     layer = F.element_at(F.array(F.lit("STM"), F.lit("MTM"), F.lit("LTM")), (F.pmod("id", F.lit(3)) + 1).cast("int"))
-    f = f.withColumn("score", sc.composite(F.col("relevance"), F.col("importance"), F.lit(0.5), F.lit(1.0)))
+    age = (F.unix_micros(temporal.at(NOW)) - F.unix_micros("valid_from")) / 3_600_000_000.0
+    f = f.withColumn("score", sc.composite(F.col("relevance"), F.col("importance"), sc.recency(age, F.col("access_count")), F.lit(1.0)))
     return f.select("id", F.round("score", 9).alias("score"), F.round(sc.layer_boost(F.col("score"), layer), 9).alias("boosted"))
 
 
@@ -307,13 +312,13 @@ def budget_split(spark, d):
 
 
 # ---- graph ----
-EDGES = "e as (select 'n' || n_nationkey as source, 'r' || n_regionkey as target from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'r' || n_regionkey, 'n' || min(n_nationkey) from nation group by n_regionkey)"
+EDGES = "e as (select 'n' || n_nationkey as source, 'r' || n_regionkey as target from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier union all select 'o' || o_orderkey, 'c' || o_custkey from orders union all (select distinct 'o' || l_orderkey, 'p' || l_partkey from lineitem) union all (select distinct 'o' || l_orderkey, 's' || l_suppkey from lineitem) union all select 'r' || n_regionkey, 'n' || min(n_nationkey) from nation group by n_regionkey)"
 
 
-@query(f"with recursive {EDGES}, w as (select 'n' || n_nationkey as seed, 'n' || n_nationkey as target, 0 as depth, ['n' || n_nationkey] as path from nation union all select seed, e.target, depth + 1, list_append(path, e.target) from w join e on e.source = w.target where depth < 4 and not list_contains(path, e.target)) select seed, target, depth::int as depth, array_to_string(path, '>') as path from w where depth > 0")
+@query(f"with recursive {EDGES}, w as (select 'o' || o_orderkey as seed, 'o' || o_orderkey as target, 0 as depth, ['o' || o_orderkey] as path from orders union all select seed, e.target, depth + 1, list_append(path, e.target) from w join e on e.source = w.target where depth < 5 and not list_contains(path, e.target)) select seed, target, depth::int as depth, array_to_string(path, '>') as path from w where depth > 0")
 def graph_walk_cycle_guard(spark, d):
-    seeds = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    return graph.walk(seeds, edges(spark, d), 4).select("seed", "target", "depth", F.concat_ws(">", "path").alias("path"))
+    seeds = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    return graph.walk(seeds, edges(spark, d), 5).select("seed", "target", "depth", F.concat_ws(">", "path").alias("path"))
 
 
 HITS = "h as (select r_regionkey as query_id, 'c' || c_custkey as id, row_number() over (partition by r_regionkey order by c_acctbal desc, c_custkey) as rank from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey qualify rank <= 20)"
@@ -402,41 +407,72 @@ def _candidates(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     names = F.array(*[F.lit(t) for t in policy.TYPES])
     kind = F.element_at(names, (F.pmod("doc_id", F.lit(len(policy.TYPES))) + 1).cast("int"))
-    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").select(F.col("doc_id").alias("id"), kind.alias("candidate_type"), "toxic", "text")
+    until = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.timestamp_micros(F.unix_micros(temporal.at(VALID)) + F.pmod("doc_id", F.lit(60)) * 86_400_000_000))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").select(F.col("doc_id").alias("id"), kind.alias("candidate_type"), "toxic", "text", until.alias("valid_until"))
     return rows.withColumn("sensitivity", policy.sensitivity(F.col("candidate_type"), F.col("toxic")))
 
 
-POL = "pol(policy, priority, ct, action, scope, ttl, redact, xs, proj) as (values " + ", ".join(
-    f"('{p[0]}', {p[1]}, '{t}', '{p[3]}', '{p[4]}', {'null' if p[5] is None else p[5]}, {p[7]}, {p[8]}, {p[9]!r})" for p in policy.POLICIES for t in p[2]) + ")"
-CAND = f"c as (select doc_id as id, ({policy.TYPES!r})[doc_id % {len(policy.TYPES)} + 1] as candidate_type, case when toxic = 1 then 'confidential' when doc_id % {len(policy.TYPES)} = {policy.TYPES.index('sensitive_data')} then 'restricted' else 'internal' end as sensitivity, text from documents join labels using (doc_id))"
-MATCH = "m as (select c.id, pol.* from c join pol on c.candidate_type = ct or (policy = 'sensitivity_v1' and sensitivity in ('confidential', 'restricted') and c.candidate_type <> 'sensitive_data'))"
+CAND = f"c as (select doc_id as id, ({policy.TYPES!r})[doc_id % {len(policy.TYPES)} + 1] as candidate_type, case when toxic = 1 then 'confidential' when doc_id % {len(policy.TYPES)} = 11 then 'restricted' else 'private' end as sensitivity, text, case when doc_id % 2 = 0 then timestamp '{VALID}' + to_days((doc_id % 60)::int) end as until from documents join labels using (doc_id))"
+# written out by hand: what each policy returns
+PLAN = f"""p as (
+ select id, 'sensitivity_v1' as policy, 100 as priority, case when sensitivity = 'restricted' or candidate_type = 'sensitive_data' then 'ask_user' else 'store' end as action, 'ltm' as scope, 'archive' as on_expiry, 'ignore_duplicate' as upd, 'ask_user' as con,
+  sensitivity = 'restricted' or candidate_type = 'sensitive_data' as approval, true as redact, true as encrypt, false as xs, false as team, false as ev, null::bigint as ttl, null::bigint as expires, ['canonical'] as proj from c where candidate_type = 'sensitive_data' or sensitivity in ('confidential', 'restricted')
+ union all select id, 'correction_v1', 85, 'supersede', 'ltm', 'mark_expired', 'supersede', 'supersede_old', false, false, false, true, false, true, null, null, ['canonical', 'vector', 'temporal'] from c where candidate_type = 'correction'
+ union all select id, 'decision_v1', 80, 'store', 'ltm', 'mark_expired', 'supersede', 'supersede_old', false, false, false, true, false, true, null, null, ['canonical', 'vector', 'temporal'] from c where candidate_type in ('decision', 'code_decision')
+ union all select id, 'task_urgency_v1', 75, 'store', 'task_store', 'compact', 'append_only', 'keep_both', false, false, false, true, false, true, greatest(0, epoch(coalesce(until + interval 1 day, timestamp '{NOW}' + interval 7 day))::bigint - epoch(timestamp '{NOW}')::bigint), epoch(coalesce(until + interval 1 day, timestamp '{NOW}' + interval 7 day))::bigint, ['canonical', 'task_queue', 'temporal'] from c where candidate_type in ('task', 'deadline')
+ union all select id, 'user_preference_v1', 70, 'store', 'ltm', 'mark_expired', 'versioned', 'keep_both', false, false, false, true, false, true, null, null, ['canonical', 'vector'] from c where candidate_type = 'user_preference'
+ union all select id, 'procedural_v1', 65, 'store', 'ltm', 'mark_expired', 'merge', 'trust_newer', false, false, false, true, false, true, null, null, ['canonical', 'vector'] from c where candidate_type = 'procedure'
+ union all select id, 'code_v1', 65, 'store', 'code_index', 'mark_expired', 'versioned', 'trust_newer', false, false, false, true, false, true, null, null, ['code_symbol', 'canonical', 'vector'] from c where candidate_type in ('code_symbol', 'code_decision')
+ union all select id, 'meeting_v1', 60, 'store', 'episode_store', 'compact', 'append_only', 'keep_both', false, false, false, true, true, true, 2592000, epoch(timestamp '{NOW}')::bigint + 2592000, ['raw_evidence', 'canonical', 'temporal'] from c where candidate_type = 'meeting_episode'
+ union all select id, 'default_fact_v1', 10, 'store', 'ltm', 'mark_expired', 'versioned', 'mark_conflict', false, false, false, true, false, true, null, null, ['canonical', 'vector'] from c where candidate_type in ('fact', 'document_knowledge', 'unknown'))"""
 
 
-@query(f"with {POL}, {CAND}, {MATCH} select id, policy, priority from m")
+@query(f"with {CAND}, {PLAN} select id, policy, priority, action, approval, ttl, expires from p")
 def policy_match(spark, d):
-    return policy.match(_candidates(spark, d)).select("id", "policy", "priority")
+    return policy.match(_candidates(spark, d), temporal.at(NOW)).select("id", "policy", "priority", "action", "approval", "ttl", "expires")
 
 
-MERGED = f"""{POL}, {CAND}, {MATCH}, g as (select id, arg_max(action, (priority, policy)) as action, arg_max(scope, (priority, policy)) as scope, bool_or(redact) as redact, bool_and(xs) as cross_session, min(ttl)::int as ttl_days,
- string_agg(policy, ',' order by priority desc, policy desc) as policies, array_to_string(list_sort(list_distinct(flatten(list(proj)))), ',') as projections from m group by id)"""
+MERGED = f"""{CAND}, {PLAN}, g as (select id, arg_max(action, priority) as action, arg_max(scope, priority) as scope, arg_max(on_expiry, priority) as on_expiry, arg_max(upd, priority) as upd, arg_max(con, priority) as con,
+ bool_or(approval) as approval, bool_or(redact) as redact, bool_or(encrypt) as encrypt, bool_and(xs) as xs, bool_and(team) as team, bool_and(ev) as ev, min(ttl) as ttl, min(expires) as expires, string_agg(policy, ',' order by priority desc) as policies,
+ list_reduce(list(proj order by priority desc), lambda x, y: list_concat(x, list_filter(y, lambda z: not list_contains(x, z)))) as proj from p group by id),
+ plan as (select c.id, c.candidate_type, coalesce(action, 'ignore') as action, coalesce(scope, 'ltm') as scope, coalesce(on_expiry, 'mark_expired') as on_expiry, coalesce(upd, 'ignore_duplicate') as upd, coalesce(con, 'keep_both') as con, coalesce(approval, false) as approval,
+ coalesce(redact, false) as redact, coalesce(encrypt, false) as encrypt, coalesce(xs, true) as xs, coalesce(team, false) as team, coalesce(ev, true) as ev, ttl, expires, coalesce(policies, '') as policies, coalesce(proj, []) as proj, text from c left join g using (id))"""
 
 
-@query(f"with {MERGED} select c.id, c.candidate_type, coalesce(action, 'ignore') as action, coalesce(scope, 'none') as scope, coalesce(redact, false) as redact, coalesce(cross_session, false) as cross_session, ttl_days, coalesce(policies, '') as policies, coalesce(projections, '') as projections from c left join g using (id)")
+@query(f"with {MERGED} select id, candidate_type, action, scope, on_expiry, upd as \"update\", con as \"conflict\", approval, redact, encrypt, xs as cross_session, team, ev as evidence, ttl, expires, policies, array_to_string(proj, ',') as projections, 'private' as derived_sensitivity from plan")
 def policy_merge(spark, d):
-    return policy.merge(_candidates(spark, d))
+    return policy.merge(_candidates(spark, d), temporal.at(NOW))
+
 
+@query(f"""with {MERGED} select id, case action when 'ask_user' then 'approvals' else 'canonical' end as "table", case when action = 'ask_user' then '' else array_to_string(list_filter([case when list_contains(proj, 'task_queue') then 'task_queue' end, case when list_contains(proj, 'code_symbol') then 'code_symbol_index' end, case when list_contains(proj, 'raw_evidence') then 'evidence_store' end], lambda z: z is not null), ',') end as tags from plan where action <> 'ignore'""")
+def policy_projections(spark, d):
+    return policy.routed(policy.merge(_candidates(spark, d), temporal.at(NOW)))
 
-@query(f"with {MERGED} select coalesce(scope, 'none') as scope, coalesce(action, 'ignore') as action, count(*) as n, sum((length(case when coalesce(redact, false) then '[redacted ' || c.candidate_type || ']' else text end)))::bigint as chars from c left join g using (id) group by all")
+
+@query(f"with {MERGED} select scope, action, count(*) as n, sum((length(case when redact then '[redacted ' || candidate_type || ']' else text end)))::bigint as chars from plan group by all")
 def policy_route(spark, d):
     c = _candidates(spark, d)
-    plans = policy.merge(c).join(c.select("id", "text"), "id")
+    plans = policy.merge(c, temporal.at(NOW)).join(c.select("id", "text"), "id")
     stored = policy.redacted(F.col("text"), F.col("redact"), F.col("candidate_type"))
     return plans.groupBy("scope", "action").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(stored)).alias("chars"))
 
 
-@query(f"with {CAND} select sensitivity, count(*) as n from c group by sensitivity")
+@query(f"with {CAND}, {PLAN} select c.id, case when bool_or(encrypt or approval) then 'restricted' when bool_or(redact or not xs) then 'confidential' else 'private' end as sensitivity from c left join p using (id) group by c.id")
 def derived_sensitivity(spark, d):
-    return _candidates(spark, d).groupBy("sensitivity").agg(F.count(F.lit(1)).alias("n"))
+    """How sensitive all the plans of a candidate say it is."""
+    c = _candidates(spark, d)
+    level = policy.match(c, temporal.at(NOW)).groupBy("id").agg(F.max(policy.inferred()).alias("level"))
+    names = F.array(*[F.lit(k) for k in policy.SENSITIVITY])
+    return c.join(level, "id", "left").select("id", F.element_at(names, F.coalesce("level", F.lit(1)) + 1).alias("sensitivity"))
+
+
+@query(f"with {MERGED} select id as candidate_id, action, policies, len(string_split(policies, ','))::int as n from plan")
+def decision_traces(spark, d):
+    """Every evaluation leaves a trace, appended to a table."""
+    path = shared_folder(spark, "traces")
+    plans = policy.merge(_candidates(spark, d), temporal.at(NOW))
+    plans.select(F.col("id").alias("candidate_id"), "action", "policies", F.size(F.split("policies", ",")).alias("n")).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 # ---- promotion ----
@@ -453,12 +489,15 @@ def restatement_check(spark, d):
     return _texts(spark, d).withColumn("key", F.md5("text")).join(first, ["namespace", "key"]).where("first < id").select("id")
 
 
-DECIDE = f"{KNN}, best as (select query_id as id, max(score) as sim from hits group by query_id), x as (select id, sim, id % 2 = 1 as retraction from best), dd as (select id, round(sim, 9) as sim, case when retraction and sim >= 0.5 then 'DELETE' when retraction then 'NOOP' when sim < 0.5 then 'ADD' when sim > 0.97 then 'NOOP' else 'UNDECIDED' end as op from x)"
+DECIDE = f"{ALL_KNN}, best as (select query_id as id, greatest(0.0::double, least(1.0::double, (max(score) - 0.25::double) * 4.5::double)) as sim from hits group by query_id), x as (select id, sim, id % 2 = 1 as retraction from best), dd as (select id, round(sim, 9) as sim, case when retraction and sim >= 0.5 then 'DELETE' when retraction then 'NOOP' when sim < 0.5 then 'ADD' when sim > 0.97 then 'NOOP' else 'UNDECIDED' end as op from x)"
 
 
-def _decided(spark, d, asked=None):
-    hits = retrieval.knn(_queries(spark, d).drop("query_kind") if asked is None else asked, vectors(spark, d), 1)
-    return hits.select(F.col("query_id").alias("id"), F.round("score", 9).alias("sim"), promotion.decide(F.pmod("query_id", F.lit(2)) == 1, F.col("score")).alias("op"))
+def _decided(spark, d):
+    asked = vectors(spark, d).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    hits = retrieval.knn(asked, vectors(spark, d), 1)
+    # cosines of these vectors, stretched over the scale on which the decider's thresholds lie
+    sim = sc.clamp01((F.col("score") - 0.25) * 4.5)
+    return hits.select(F.col("query_id").alias("id"), F.round(sim, 9).alias("sim"), promotion.decide(F.pmod("query_id", F.lit(2)) == 1, sim).alias("op"))
 
 
 @query(f"with {DECIDE} select * from dd")
@@ -471,23 +510,6 @@ def promotion_report(spark, d):
     return promotion.report(_decided(spark, d))
 
 
-def _decided_all(spark, d):
-    return _decided(spark, d, vectors(spark, d).select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-
-
-DECIDE_ALL = DECIDE.replace(" where vec_id % 25 = 0", "")
-
-
-@query(f"with {DECIDE_ALL} select * from dd")
-def promotion_decision_all(spark, d):
-    return _decided_all(spark, d)
-
-
-@query(f"""with {DECIDE_ALL} select count(*) filter (where op = 'ADD') as "add", count(*) filter (where op = 'DELETE') as "delete", count(*) filter (where op = 'NOOP') as noop, count(*) filter (where op = 'UNDECIDED') as undecided, count(*) as total from dd""")
-def promotion_report_all(spark, d):
-    return promotion.report(_decided_all(spark, d))
-
-
 @query(f"with {TURNS} select session, count(*) as waiting, count(*) >= 5 as fires from t group by session")
 def trigger_accumulation(spark, d):
     return promotion.accumulated(turns(spark, d), 5)
@@ -499,24 +521,31 @@ def trigger_new_entity(spark, d):
 
 
 # ---- synthesis ----
-SF = f"sf as (select pos, subject, predicate, obj, quantity, unit, occurred_at::timestamp as occurred_at from {values(STRUCTURED)} as s(pos, subject, predicate, obj, quantity, unit, occurred_at))"
+SF = f"sf as (select pos, subject, predicate, obj, quantity::bigint as quantity, unit, occurred_at::timestamp as occurred_at from {values(STRUCTURED)} as s(pos, subject, predicate, obj, quantity, unit, occurred_at) union all select 100 + l_orderkey * 10 + l_linenumber, 'c' || o_custkey, case l_returnflag when 'A' then 'purchase' when 'N' then 'gift order' else 'return from shop' end, case when l_linenumber % 2 = 0 then 'Part  ' else 'part ' end || l_partkey % 40, l_quantity::bigint, case when l_linenumber % 3 = 0 then '' else 'pieces' end, case when l_orderkey % 9 = 0 then null else l_shipdate end from lineitem join orders on l_orderkey = o_orderkey)"
 
 
-def _structured(spark):
-    return spark.sql(f"select pos, subject, predicate, obj, quantity, unit, cast(occurred_at as timestamp) occurred_at from {values(STRUCTURED)} as s(pos, subject, predicate, obj, quantity, unit, occurred_at)")
+def _structured(spark, d):
+    """Structured facts: what customers bought, and literals."""
+    literal = spark.sql(f"select cast(pos as long) pos, subject, predicate, obj, cast(quantity as long) quantity, unit, cast(occurred_at as timestamp) occurred_at from {values(STRUCTURED)} as s(pos, subject, predicate, obj, quantity, unit, occurred_at)")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    even = lambda n: F.pmod("l_linenumber", F.lit(n)) == 0
+    return literal.unionByName(rows.select(
+        (100 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("pos"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.when(F.col("l_returnflag") == "A", "purchase").when(F.col("l_returnflag") == "N", "gift order").otherwise("return from shop").alias("predicate"),
+        F.concat(F.when(even(2), "Part  ").otherwise("part "), F.pmod("l_partkey", F.lit(40)).cast("string")).alias("obj"), F.col("l_quantity").cast("long").alias("quantity"),
+        F.when(even(3), "").otherwise("pieces").alias("unit"), F.when(F.pmod("l_orderkey", F.lit(9)) != 0, F.col("l_shipdate")).alias("occurred_at")))
 
 
-SYNTH = r"""m as (select subject, predicate, regexp_replace(lower(trim(obj)), '[ \t\n\r]+', ' ', 'g') as member, min(pos) as pos, arg_min(quantity, pos) as quantity, arg_min(unit, pos) as unit from sf {} group by all) select subject, predicate, count(*) as members, sum(quantity)::bigint as total, arg_min(unit, pos) filter (where unit <> '') as unit from m group by all"""
+SYNTH = r"""m as (select subject, predicate, regexp_replace(lower(trim(obj)), '[ \t\n\r]+', ' ', 'g') as member, min(pos) as pos, arg_min(quantity, (pos, quantity, unit)) as quantity, arg_min(unit, (pos, quantity, unit)) as unit from sf {} group by all) select subject, predicate, count(*) as members, sum(quantity)::bigint as total, arg_min(unit, (pos, unit)) filter (where unit <> '') as unit from m group by all"""
 
 
 @query(f"with {SF}, " + SYNTH.format(""))
 def synth_count_sum(spark, d):
-    return synthesis.summarise(_structured(spark))
+    return synthesis.summarise(_structured(spark, d))
 
 
-@query(f"with {SF}, " + SYNTH.format("where occurred_at >= timestamp '2023-01-01'"))
+@query(f"with {SF}, " + SYNTH.format("where occurred_at >= timestamp '1999-01-01'"))
 def synth_scoped(spark, d):
-    return synthesis.summarise(_structured(spark), since="2023-01-01")
+    return synthesis.summarise(_structured(spark, d), since="1999-01-01")
 
 
 @query(f"with {FACTS} select id, row_number() over (partition by subject, attribute order by valid_from desc, id desc) = 1 as is_current from f")
@@ -529,84 +558,7 @@ def max_per_session_sum(spark, d):
     return synthesis.max_per_session_sum(turns(spark, d))
 
 
-# ---- text rules ----
-def _sentences(spark):
-    return spark.sql(f"select * from {values(SENTENCES)} as s(id, text)")
-
-
-SENT = f"s(id, text) as {values(SENTENCES)}"
-
-
-def case(rules, default="null", column="text") -> str:
-    quoted = [(label, p.replace("'", "''")) for label, p in rules]
-    return "case " + " ".join(f"when regexp_matches({column}, '{p}') then '{label}'" for label, p in quoted) + f" else {default} end"
-
-
-@query(f"with {SENT} select id, regexp_matches(text, '{tx.SECRET}') as secret, regexp_matches(text, '{tx.RETRACTION}') as retraction from s")
-def secret_and_retraction_flags(spark, d):
-    return _sentences(spark).select("id", F.col("text").rlike(tx.SECRET).alias("secret"), F.col("text").rlike(tx.RETRACTION).alias("retraction"))
-
-
-@query(rf"with {SENT} select id, case when contains(text, '?') or regexp_matches(text, '{tx.SECRET}') or regexp_matches(text, '{tx.TRANSIENT}') or len(regexp_extract_all(text, '[^ \t\n\r]+')) < 2 or length(text) > 300 then null else {case(tx.CAPTURE)} end as label from s")
-def capture_label(spark, d):
-    return _sentences(spark).select("id", tx.capture_label(F.col("text")).alias("label"))
-
-
-@query(f"with {SENT} select id, {case(tx.ATTRIBUTES)} as attribute, case " + " ".join(f"when regexp_matches(text, '{p}') then regexp_extract(text, '{p}', 1)" for _, p in tx.ATTRIBUTES) + " end as value from s")
-def attribute_extract(spark, d):
-    return _sentences(spark).select("id", tx.attribute(F.col("text")).alias("attribute"), tx.attribute_value(F.col("text")).alias("value"))
-
-
-@query(f"with {SENT} select id, {case(tx.QUESTION_TYPES, chr(39) + 'fact' + chr(39))} as question_type from s where contains(text, '?')")
-def question_type(spark, d):
-    return _sentences(spark).where(F.col("text").contains("?")).select("id", tx.first_label(F.col("text"), tx.QUESTION_TYPES, "fact").alias("question_type"))
-
-
-@query(f"with {SENT}, p as (select id, unnest(regexp_split_to_array(text, '[.!?;]+')) as clause from s) select id, trim(clause) as clause from p where trim(clause) <> ''")
-def clause_split(spark, d):
-    return _sentences(spark).select("id", F.explode(tx.clauses(F.col("text"))).alias("clause"))
-
-
-# The same rules over every text of conversations and documents, and over the literals, so that each rule fires.
-ALL_TEXTS = f"s(id, text) as (select 'c' || conv_id || '/' || turn, text from conversations union all select 'd' || doc_id, text from documents union all select 's' || id, text from {values(SENTENCES)} as l(id, text))"
-
-
-def _all_texts(spark, d):
-    name = lambda letter, *parts: F.concat(F.lit(letter), *[F.lit(p) if p == "/" else F.col(p).cast("string") for p in parts]).alias("id")
-    return (table(spark, d, "conversations").select(name("c", "conv_id", "/", "turn"), "text")
-            .unionByName(table(spark, d, "documents").select(name("d", "doc_id"), "text")).unionByName(_sentences(spark).select(name("s", "id"), "text")))
-
-
-def _over_all(name: str) -> str:
-    return ORACLES[name].replace(SENT, ALL_TEXTS)
-
-
-@query(_over_all("secret_and_retraction_flags"))
-def secret_and_retraction_flags_all(spark, d):
-    return _all_texts(spark, d).select("id", F.col("text").rlike(tx.SECRET).alias("secret"), F.col("text").rlike(tx.RETRACTION).alias("retraction"))
-
-
-@query(_over_all("capture_label"))
-def capture_label_all(spark, d):
-    return _all_texts(spark, d).select("id", tx.capture_label(F.col("text")).alias("label"))
-
-
-@query(_over_all("attribute_extract"))
-def attribute_extract_all(spark, d):
-    return _all_texts(spark, d).select("id", tx.attribute(F.col("text")).alias("attribute"), tx.attribute_value(F.col("text")).alias("value"))
-
-
-@query(_over_all("question_type"))
-def question_type_all(spark, d):
-    return _all_texts(spark, d).where(F.col("text").contains("?")).select("id", tx.first_label(F.col("text"), tx.QUESTION_TYPES, "fact").alias("question_type"))
-
-
-@query(_over_all("clause_split"))
-def clause_split_all(spark, d):
-    return _all_texts(spark, d).select("id", F.explode(tx.clauses(F.col("text"))).alias("clause"))
-
-
-@query(f"select doc_id as id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))::int as tokens, regexp_matches(text, '{tx.SECRET}') as secret from documents")
+@query(f"select doc_id as id, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))::int as tokens, regexp_matches(text, '{sql_text(tx.SECRET)}') as secret from documents")
 def document_tokens(spark, d):
     return _texts(spark, d).select("id", F.size(tx.tokens(F.col("text"))).alias("tokens"), F.col("text").rlike(tx.SECRET).alias("secret"))
 
@@ -632,18 +584,24 @@ def failure_buckets(spark, d):
     return evaluation.histogram(table(spark, d, "labels").select(F.expr(BUCKET).alias("bucket")), "bucket", BUCKETS)
 
 
-@query(rf"with v(question, pos, answer) as {values(VOTES)}, c as (select question, regexp_replace(lower(trim(answer)), '[ \t\n\r]+', ' ', 'g') as k, count(*) as n, min(pos) as pos from v group by all) select question, arg_max(k, (k <> '', n, -pos)) as answer from c group by question")
+@query(rf"with v as (select question::bigint as question, pos::bigint as pos, answer from {values(VOTES)} as t(question, pos, answer) union all select 100 + l_partkey, l_orderkey * 10 + l_linenumber, case l_linenumber % 3 when 0 then ' ' || l_returnflag || ' ' when 1 then lower(l_returnflag) else '' end from lineitem), c as (select question, regexp_replace(lower(trim(answer)), '[ \t\n\r]+', ' ', 'g') as k, count(*) as n, min(pos) as pos from v group by all) select question, arg_max(k, (k <> '', n, -pos)) as answer from c group by question")
 def majority_vote(spark, d):
-    return evaluation.majority(spark.sql(f"select * from {values(VOTES)} as v(question, pos, answer)"))
+    literal = spark.sql(f"select cast(question as long) question, cast(pos as long) pos, answer from {values(VOTES)} as v(question, pos, answer)")
+    kind = F.pmod("l_linenumber", F.lit(3))
+    answer = F.when(kind == 0, F.concat(F.lit(" "), "l_returnflag", F.lit(" "))).when(kind == 1, F.lower("l_returnflag")).otherwise("")
+    rows = table(spark, d, "lineitem").select((100 + F.col("l_partkey")).alias("question"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("pos"), answer.alias("answer"))
+    return evaluation.majority(literal.unionByName(rows))
 
 
 NORM = r"regexp_replace(lower(trim({0})), '[ \t\n\r]+', ' ', 'g')"
 TOK = r"list_distinct(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'))"
 
 
-@query(f"with x(id, answer, gold) as {values(ANSWERS)}, y as (select *, {NORM.format('answer')} as a, {NORM.format('gold')} as g from x), z as (select *, {TOK.format('a')} as ta, {TOK.format('g')} as tg from y) select id, case when answer = gold then 'exact' when a = g then 'normalized' when g <> '' and contains(a, g) then 'contained' when len(list_intersect(ta, tg)) / greatest(1, len(list_distinct(list_concat(ta, tg)))) >= 0.7 then 'overlap' else 'none' end as verdict from z")
+@query(f"with x as (select 's' || id as id, answer, gold from {values(ANSWERS)} as t(id, answer, gold) union all select 'c' || conv_id || '/' || turn, text, left(lag(text) over (partition by conv_id order by turn), 40) from conversations), y as (select *, {NORM.format('answer')} as a, {NORM.format('gold')} as g from x), z as (select *, {TOK.format('a')} as ta, {TOK.format('g')} as tg from y) select id, case when answer = gold then 'exact' when a = g then 'normalized' when g <> '' and contains(a, g) then 'contained' when len(list_intersect(ta, tg)) / greatest(1, len(list_distinct(list_concat(ta, tg)))) >= 0.7 then 'overlap' else 'none' end as verdict from z")
 def answer_ladder(spark, d):
-    rows = spark.sql(f"select * from {values(ANSWERS)} as x(id, answer, gold)")
+    literal = spark.sql(f"select concat('s', id) id, answer, gold from {values(ANSWERS)} as x(id, answer, gold)")
+    t = turns(spark, d).withColumn("gold", F.left(F.lag("text").over(Window.partitionBy("session").orderBy("seq")), F.lit(40)))
+    rows = literal.unionByName(t.select(F.concat(F.lit("c"), F.col("session").cast("string"), F.lit("/"), F.col("seq").cast("string")).alias("id"), F.col("text").alias("answer"), "gold"))
     return rows.select("id", evaluation.answer_match(F.col("answer"), F.col("gold")).alias("verdict"))
 
 
@@ -691,3 +649,6 @@ def stream_promote(spark, d):
     sink, checkpoint = _stream_folders(spark)
     sessions.promote_batches(_event_stream(spark, d).select("event_id", "user_id", "value"), sink, checkpoint)
     return spark.read.parquet(sink)
+
+
+from tessera.plans import evals, memory, rules  # noqa: E402, F401  (registers its queries)

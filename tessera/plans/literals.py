@@ -1,11 +1,18 @@
 """Small literal tables that both engines read as VALUES."""
 
-SENTENCES = [
-    (1, "I live in Lisbon. My cat is small."), (2, "My name is Ada"), (3, "I work at Initech; I drive a Volvo"), (4, "Please forget that"),
-    (5, "password: hunter2secret"), (6, "How many tanks do I have?"), (7, "I really like green tea"), (8, "I am in Rome today"), (9, "Where did I park?"),
-    (10, "I no longer eat fish"), (11, "Who is my dentist?"), (12, "When is the meeting?"), (13, "ok"), (14, "What is my current address?"),
-    (15, "I joined Globex! It is fun"), (16, "Can you recommend a book?"), (17, "the api_key=abc123xyz is here"), (18, "I own two bikes"),
-]
+SENTENCES = list(enumerate([
+    "I live in Lisbon. My cat is small.", "My name is Ada", "I work at Initech; I drive a Volvo", "Please forget that", "password: hunter2secret",
+    "How many tanks do I have?", "I really like green tea", "I am on the train", "Where did I park?", "I no longer eat fish", "Who is my dentist?",
+    "When is the meeting?", "ok", "What is my current address?", "I joined Globex! It is fun", "Can you recommend a book?", "the api_key=abc123xyz is here",
+    "I own two bikes", "I moved from Porto to Berlin. I moved from Porto to Berlin", "I use Neovim with a tmux setup", "I switched from Neovim to Zed",
+    "My favorite color is green, my sister lives in Oslo, we have two dogs", "We went to Bhilai, India", "I always squash before merging",
+    "I handle all our deployments", "I broke every build today", "My opinion is that it ships", "My build is failing", "Sou vegetariano", "Ich bin müde",
+    "I am using Python at work", "I am running the tests", "I have a dentist appointment on Thursday", "We decided to ship on Friday. Remind me to call Ana.",
+    "User prefers dark mode, every time", "Actually I meant the blue one", "The standup is at nine every day", "token = ghp_abcdefghijklmnopqrstuvwx is my key, remind me later",
+    "Ada works at Initech and Bo uses Spark", "Nimbus was built long ago", "Ann created Orbit", "that was wrong", "I was never in Rome", "4111 1111 1111 1111",
+    "123-45-6789", "postgres://u:pw@host/db", "How long did it take to paint?", "Which do you prefer?", "What is the name of the lake?", "Did I ever mention a dog?",
+    "What changed before and after?", "How much did I spend in total?", "I left Nimbus Data and joined Stripe", "My dentist's phone is 555-0100",
+], 1))
 STRUCTURED = [
     (1, "user", "owns", "Tank A", 1, "tanks", "2023-01-05"), (2, "user", "owns", "tank  a", 4, "tanks", "2023-02-05"), (3, "user", "owns", "Tank B", 1, "", "2022-05-01"),
     (4, "user", "played", "Game X", 40, "hours", "2023-03-01"), (5, "user", "played", "Game Y", 60, "hours", "2021-03-01"), (6, "user", "played", "Game Z", 40, "hours", None),

@@ -46,13 +46,14 @@ def live_text_dedupe(rows: DataFrame, text: str, order: list) -> DataFrame:
 
 
 def publish(state: DataFrame, root: str, version: int) -> str:
-    """Write a snapshot and then point the manifest at it."""
+    """Write a snapshot, and then its line to the manifest. Lines are only ever added, so a reader finds the old version or
+    the new one, never none."""
     state.write.parquet(f"{root}/snapshots/{version:08d}")
     spark = state.sparkSession
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").json(f"{root}/manifest")
     return f"{root}/snapshots/{version:08d}"
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/manifest").first()["version"]
+    version = spark.read.schema("version long").json(f"{root}/manifest").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/snapshots/{version:08d}")
