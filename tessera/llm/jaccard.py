@@ -65,8 +65,8 @@ MAX_FREQUENT = 1 << 21
 #: Bins of all the sketches in a block, and the most classes in one.
 BLOCK_BINS = 1 << 23
 MAX_BLOCK = 4096
-#: Pairs of one leader that are verified together.
-LEADER_PAIRS = 256
+#: Pairs of one block that are verified together.
+PART_PAIRS = 512
 #: Classes that a task remembers, so as not to describe or sign them again.
 SEEN_CLASSES = 200_000
 #: How many of a class's nearest partners among leaders and followers are verified first.
@@ -372,8 +372,10 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("body")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(DOC_BUCKETS)))
     near = rows.join(F.broadcast(where), "_bucket", "left_semi")  # at most DOC_BUCKETS rows
     sets = near.select("body").mapInArrow(run, "cls long, shingles binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"])
-    # a set moves once for each block that asks for it, not once for each pair
-    block = ["run", "lo", "hi"]
+    # a set moves once for each part of a block that asks for it, not once for each pair; parts have a bounded size
+    sizes = pairs.groupBy("run", "lo", "hi").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).alias("_parts"))
+    pairs = pairs.join(sizes, ["run", "lo", "hi"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))).drop("_parts")
+    block = ["run", "lo", "hi", "part"]
     needs = pairs.select(*[F.col(c).alias(f"_{c}") for c in block], F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
     return written(pairs.select(*block, "a", "b").groupBy(*block).cogroup(needs.groupBy(*[f"_{c}" for c in block])).applyInArrow(check, "a long, b long"))
 
@@ -505,14 +507,12 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     frequent = frequent_shingles(rows.where("sample is not null").dropDuplicates(["cls"]))
     stars = written(star_edges(signed(docs, text, frequent, buckets), buckets))
     chosen = written(nearest_of_each(near_enough(stars, classes), FIRST_PARTNERS))
-    parts = chosen.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_PAIRS).alias("parts"))
-    tried = written(chosen.join(parts, "a").select("a", "b", F.col("a").alias("run"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("lo"), F.lit(0).cast("long").alias("hi")))
-    discard(chosen)
+    tried = chosen.select("a", "b", F.col("a").alias("run"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
     links = verified(tried, docs, text, classes)
     labels = components(links)
     left = across(stars, classes, labels)
     rest = written(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    discard(stars, tried, left)
+    discard(stars, chosen, left)
     if not rest.isEmpty():
         more = verified(rest, docs, text, classes)
         if not more.isEmpty():

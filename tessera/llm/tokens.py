@@ -10,6 +10,9 @@ other than doc_id and the text are not read, so they may have any name.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,20 @@ def shipped(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows."""
+    """The batches in parts of at most ``rows`` rows. At the end the worker, which waits for other tasks, hands its free
+    memory back."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    b = None
+    tidy()
+
+
+def tidy() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = bpe.LEAF_CHARS) -> DataFrame:
