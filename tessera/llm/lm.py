@@ -10,7 +10,8 @@ that path. So a traversal asks for the keys of its words and bigrams and adds up
 
 Keys are dealt to buckets by their first bits. Counts and questions travel packed: a row holds the sorted keys of one
 bucket that one chunk of texts has, so a hot word or bigram is one key a chunk. A task holds one bucket of the table and
-streams the questions past it; partial sums of a chunk go back to the chunk. The hottest rows of the table (from
+streams the questions past it; partial sums of a chunk go back to the chunk. Texts are read ``ROUNDS`` times, each time
+for a part of the keys, so that the questions of one round alone are on disk. The hottest rows of the table (from
 ``MIN_WORD`` and ``MIN_BIGRAM`` of the training tokens, so at most 1 / MIN_WORD words and 1 / MIN_BIGRAM bigrams) are
 also held in memory, which saves questions and changes no score.
 
@@ -46,6 +47,8 @@ CHUNK_TOKENS = 1 << 20
 CHUNK_TEXTS = 1 << 16
 #: Bytes of text, and keys of the table, to a bucket.
 BUCKET_BYTES = 1 << 23
+#: Passes over the texts to score (a power of two).
+ROUNDS = 2
 BUCKET_KEYS = 1 << 21
 START = 2  # the state before the first word
 WORD = 0  # in place of the history: a count of the word itself
@@ -215,15 +218,18 @@ class Model:
         self.keys, self.base, self.whole = keys[order], rows["base"].to_numpy()[order], rows["whole"].to_numpy()[order]
         self.unknown, self.start = float(np.log10(SMOOTH / denominator)), start
 
-    def traverse(self, texts: list[np.ndarray]) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """([n_tokens, n_known, base, whole] of what is in memory, (key, text) of what is not, sorted by key)."""
+    def traverse(self, texts: list[np.ndarray], turn: int) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """([n_tokens, n_known, base, whole] of what is in memory, (key, text) of what is not, sorted by key), for the keys
+        of a round; what every text has counts in round 0."""
         n_tokens = np.array([len(t) for t in texts], np.int64)
         w, h = np.concatenate(texts), np.concatenate([histories(t) for t in texts])
-        text = np.repeat(np.arange(len(texts), dtype=np.uint16), n_tokens)
-        floor = n_tokens * self.unknown
-        sums = [n_tokens, np.zeros(len(texts), np.int64), floor, floor + self.start]
+        whose = np.repeat(np.arange(len(texts), dtype=np.uint16), n_tokens)
+        floor = n_tokens * (0.0 if turn else self.unknown)
+        sums = [n_tokens, np.zeros(len(texts), np.int64), floor, floor + (0.0 if turn else self.start)]
         asked = []
-        for key in (w, pair_keys(h, w)):
+        for every in (w, pair_keys(h, w)):
+            mine = (every & np.uint64(ROUNDS - 1)) == turn
+            key, text = every[mine], whose[mine]
             place = places(key, self.keys)
             hit = place >= 0
             for i, more in enumerate(summed(text[hit], self.base[place[hit]], self.whole[place[hit]], len(texts)), 1):
@@ -287,9 +293,18 @@ def cells(rows: list[tuple]) -> pa.RecordBatch:
 
 def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: one row for each row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-table.count() // BUCKET_KEYS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-table.count() // (ROUNDS * BUCKET_KEYS)))
+    parts = [written(one_round(docs, shared, table.where(F.col("key").bitwiseAND(ROUNDS - 1) == turn), turn, buckets, text)) for turn in range(ROUNDS)]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("chunk", "place").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")]).drop("chunk", "place")
+
+
+def one_round(docs: DataFrame, shared, table: DataFrame, turn: int, buckets: int, text: str) -> DataFrame:
+    """(chunk, place, doc_id, n_tokens, n_known, base_score, score): what the keys of a round add to each row."""
 
     def part_of_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -317,7 +332,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str
         ids, held, n = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sums, (key, who) = shared.value.traverse(held)
+            sums, (key, who) = shared.value.traverse(held, turn)
             names = np.array([i or 0 for i in ids], np.int64).tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
             n_tokens, n_known, base, whole = sums
             yield cells([(chunk % buckets, TEXTS, chunk, names, np.stack([n_tokens, n_known]).tobytes(), base.tobytes(), whole.tobytes())])
@@ -366,9 +381,10 @@ def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str
         now = None
 
         def out() -> pa.RecordBatch:
-            ids, null, n_tokens, n_known, base, whole = now
+            ids, null, n_tokens, n_known, base, whole, chunk = now
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), mask=null), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(whole)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                [pa.array(np.full(len(ids), chunk, np.int64)), pa.array(np.arange(len(ids))), pa.array(ids, pa.int64(), mask=null), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(whole)],
+                ["chunk", "place", "doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         for b in slices(batches, 8):
             for row in b.to_pylist():
@@ -378,7 +394,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str
                     n = len(row["base"]) // 8
                     n_tokens, n_known = np.frombuffer(row["text"], np.int64).reshape(2, n)
                     now = (np.frombuffer(row["key"], np.int64, n), np.frombuffer(row["key"], np.uint8, n, 8 * n).astype(bool), n_tokens, n_known.copy(),
-                           np.frombuffer(row["base"]).copy(), np.frombuffer(row["whole"]).copy())
+                           np.frombuffer(row["base"]).copy(), np.frombuffer(row["whole"]).copy(), row["chunk"])
                 else:
                     who = np.frombuffer(row["key"], np.uint16)
                     now[3][who] += np.frombuffer(row["text"], np.uint32)
@@ -391,4 +407,4 @@ def score(docs: DataFrame, model: Model, table: DataFrame, total: int, text: str
     both = table.mapInArrow(part_of_table, CELLS).unionByName(rows.mapInArrow(ask, CELLS))
     answered = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(look_up, CELLS)
     by_chunk = answered.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
-    return by_chunk.mapInArrow(collect, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return by_chunk.mapInArrow(collect, "chunk long, place long, doc_id long, n_tokens long, n_known long, base_score double, score double")
