@@ -156,3 +156,14 @@ def evict(turns: DataFrame, limit: int) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("session"))
     gone = F.row_number().over(Window.partitionBy("session").orderBy(rank, "seq"))
     return turns.withColumns({"_n": n, "_k": gone}).where(F.col("_k") > F.col("_n") - limit).drop("_n", "_k")
+
+
+def chain(turns: DataFrame, budget: int, keep: int) -> DataFrame:
+    """Strategies one after another, each only for bundles (sessions) that do not fit yet: the last ``keep`` turns, then
+    the newest turns within the budget."""
+    part = Window.partitionBy("session")
+    newest = part.orderBy(F.desc("seq"))
+    rows = turns.withColumns({"_total": F.sum("tokens").over(part), "_k": F.row_number().over(newest)}).where((F.col("_total") <= budget) | (F.col("_k") <= keep))
+    used = F.sum("tokens").over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_left": F.sum("tokens").over(part), "_used": used})
+    return rows.where((F.col("_left") <= budget) | (F.col("_used") <= budget)).drop("_total", "_k", "_left", "_used")

@@ -88,6 +88,17 @@ def fuse(channels: list[DataFrame], k: int) -> DataFrame:
     return rank_by(fused, F.desc(F.round("rrf", 12)), k, ("best", "id"), "position")
 
 
+def fuse_first_seen(channels: list[DataFrame], k: int) -> DataFrame:
+    """Reciprocal-rank fusion whose ties go to the hit that the channels, in their order, name first. An empty channel
+    adds nothing."""
+    rows = None
+    for i, c in enumerate(channels):
+        some = c.select("query_id", "id", "rank", F.lit(i).alias("channel"))
+        rows = some if rows is None else rows.unionByName(some)
+    fused = rows.groupBy("query_id", "id").agg(F.sum(scoring.rrf(F.col("rank"))).alias("rrf"), F.min(F.struct("channel", "rank")).alias("seen"))
+    return rank_by(fused, F.desc(F.round("rrf", 12)), k, ("seen", "id"), "position")
+
+
 def hybrid(queries: DataFrame, memory: DataFrame, k: int, pool: int) -> DataFrame:
     """Dense and lexical channels, fused, normalised and scored with importance and recency."""
     dense = knn(queries.select("query_id", "q"), memory.select("id", "kind", "v"), pool)
