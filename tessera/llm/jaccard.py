@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tessera.llm.exact import FEW_GROUPS
 from tessera.llm.tokens import shipped, slices
 from tessera.llm.words import hashes, mix
 from tessera.llm.work import discard, written
@@ -374,7 +375,9 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, classes: DataFrame) -
     sets = near.select("body").mapInArrow(run, "cls long, shingles binary").join(asked, "cls", "left_semi").dropDuplicates(["cls"])
     # a set moves once for each part of a block that asks for it, not once for each pair; parts have a bounded size
     sizes = pairs.groupBy("run", "lo", "hi").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).alias("_parts"))
-    pairs = pairs.join(sizes, ["run", "lo", "hi"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts"))).drop("_parts")
+    large = written(sizes.where("_parts > 1"))
+    pairs = pairs.join(F.broadcast(large) if large.count() <= FEW_GROUPS else large, ["run", "lo", "hi"], "left")
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     block = ["run", "lo", "hi", "part"]
     needs = pairs.select(*[F.col(c).alias(f"_{c}") for c in block], F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls")
     return written(pairs.select(*block, "a", "b").groupBy(*block).cogroup(needs.groupBy(*[f"_{c}" for c in block])).applyInArrow(check, "a long, b long"))
