@@ -30,7 +30,7 @@ from tessera.llm.work import written
 CAPACITY = 2048
 END_ID = 1
 #: Pieces of one length and salt that are ranked together.
-SALT_PIECES = 1 << 20
+SALT_PIECES = 1 << 9
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
