@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
+from tessera.llm import audit, exact, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
 from tessera.llm.work import documents, pages
 
 
@@ -75,6 +75,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_output": op10_token_output,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -153,5 +158,36 @@ from hp left join (select * from m where k = 1) using (rid)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id is not distinct from max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))
+""",
+    "op12_filter_audit": rf"""
+with d as (select *, coalesce(text, '') as body, {_WORDS.format('text')} as words, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by 1),
+m as (
+  select coalesce(source, '') as part, coalesce(good, 0) as good, coalesce(bad, 0) as bad,
+         [len(words) < {audit.MIN_WORDS}, 100 * len(list_distinct(words)) < {audit.MIN_DISTINCT_PERCENT} * len(words),
+          100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITALS_PERCENT} * length(body),
+          regexp_matches(body, '{audit.SYMBOLS}'), coalesce(doc_id > first, false)] as fails
+  from d left join l using (doc_id)
+),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(bad) as bad from m group by 1, 2),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 3, 4, 5]) as i),
+o as (
+  select [a.i, b.i, c.i, d.i, e.i] as o, a.x || b.x || c.x || d.x || e.x as filter_order from f a, f b, f c, f d, f e
+  where b.i <> a.i and c.i not in (a.i, b.i) and d.i not in (a.i, b.i, c.i) and e.i not in (a.i, b.i, c.i, d.i)
+),
+s as (select *, unnest([1, 2, 3, 4, 5]) as step from o),
+r as (
+  select part, filter_order, step, o[step] as filter, n, good, bad, fails[o[step]] as now,
+         list_bool_or([false] || [fails[o[j]] for j in range(1, step)]) as gone,
+         len([1 for j in range(1, 6) if fails[j]]) as n_fails from c, s
+),
+a as (
+  select part, filter_order, step::int as step, any_value(filter) as filter, sum(n) filter (where not gone and not now)::bigint as kept,
+         coalesce(sum(n) filter (where not gone and now), 0)::bigint as removed, coalesce(sum(n) filter (where gone and now), 0)::bigint as redundant,
+         coalesce(sum(n) filter (where now and n_fails = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (where not gone and now), 0)::bigint as good_lost,
+         coalesce(sum(bad) filter (where not gone and now), 0)::bigint as toxic_lost
+  from r group by 1, 2, 3
+)
+select * exclude (filter) replace (coalesce(kept, 0) as kept), sum(removed) over (partition by part, filter)::bigint as shapley from a
 """,
 }
