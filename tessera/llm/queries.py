@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audit, exact, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
+from tessera.llm import audit, exact, extraction, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
 from tessera.llm.work import documents, pages
 
 
@@ -79,6 +79,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(pages(spark, sf_dir).select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_output": op10_token_output,
     "op12_filter_audit": op12_filter_audit,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
