@@ -84,10 +84,12 @@ class Block(NamedTuple):
 
 def markup(page: str) -> Iterator[tuple[str, str, str]]:
     """(name, attributes, "") of start tags, ("/name", "", "") of end tags and ("", "", text), in order."""
-    at, size = 0, len(page)
+    at, size, tag_end = 0, len(page), page.find(">")
     while at < size:
         begin = page.find("<", at)
-        if begin < 0 or page.find(">", begin) < 0 and not page.startswith("<!--", begin):
+        if 0 <= tag_end < begin:
+            tag_end = page.find(">", begin)
+        if begin < 0 or tag_end < 0 and not page.startswith("<!--", begin):
             yield "", "", page[at:]
             return
         if begin > at:
@@ -99,7 +101,7 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
         name = NAME.match(page, begin + 1)
         if name is None:
             if page[begin + 1] in "!?/":
-                at = page.find(">", begin) + 1
+                at = tag_end + 1
             else:
                 yield "", "", "<"
                 at = begin + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audit, exact, extraction, jaccard, language, lm, packing, quality, tokenfile, tokens, urls, warc
+from tessera.llm import audit, exact, extraction, jaccard, language, lm, negatives, packing, quality, tokenfile, tokens, urls, warc
 from tessera.llm.work import documents, pages
 
 
@@ -75,6 +75,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(tokenfile.write(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("word_bpe_49k.json")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.prepared(rows.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_output": op10_token_output,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
     "op13_html_extraction": op13_html_extraction,
 }
@@ -163,6 +170,25 @@ from hp left join (select * from m where k = 1) using (rid)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        doc_id is not distinct from max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window w as (partition by coalesce(text, ''))
+""",
+    "op11_hard_negatives": f"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor({negatives.SCALE} * x::double)::bigint for x in embedding] as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+),
+a as (select * from e where vec_id % 100 = 0),
+s as (
+  select a.vec_id as anchor_id, e.vec_id, e.label = a.label as same, list_dot_product(a.v::double[], e.v::double[])::bigint as score
+  from a join e on e.vec_id <> a.vec_id
+),
+p as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same),
+n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and {negatives.LEAST_PERCENT} * p.score <= 100 * s.score and s.score <= p.score
+  where p.k <= {negatives.POSITIVES}
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= {negatives.NEGATIVES}
 """,
     "op12_filter_audit": rf"""
 with d as (select *, coalesce(text, '') as body, {_WORDS.format('text')} as words, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
