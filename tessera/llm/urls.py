@@ -7,8 +7,8 @@ with the stack of the last rule before it.
 
 A rule fits its host and all subdomains where the path starts with the rule's path. Hosts and paths are two
 prefixes, so each address is looked up once for each suffix of its host (as many as its labels). Distinct
-(host, path) pairs are looked up, not rows; they are dealt by ranges of the key, so one host with a third of all
-addresses spreads over many tasks, and no rule is copied.
+(host, path) pairs are looked up, not rows; they are dealt by ranges of the key and then of host and path, so neither a
+host with a third of all addresses nor a key that all hosts of a domain share fills a task, and no rule is copied.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule. Repeated rows
 each get their result. Among fitting rules the longest (host and path together) wins, then the longer host,
@@ -67,6 +67,13 @@ def nested(rules: DataFrame) -> DataFrame:
     return found.select(reversed_key(F.col("_h"), F.col("_own")).alias("key"), "stack")
 
 
+def in_ranges(points: DataFrame) -> DataFrame:
+    """``points`` plus the range of each: neighbours in the order of keys share one. Points of one key are ordered by host and
+    path, a rule's before them (it has no host), so that many under one key are cut too. A table, so that ranges stay
+    what they are."""
+    return written(points.repartitionByRange("key", "host", "path").withColumn("range", F.spark_partition_id()))
+
+
 def range_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` plus host, path, rule (null without one) and verdict."""
     host, path = host_and_path(F.col(f"`{url}`"))
@@ -82,8 +89,7 @@ def range_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ruled = nested(rules)
     points = asked.withColumn("stack", F.lit(None).cast(ruled.schema["stack"].dataType)).unionByName(
         ruled.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "stack"))
-    # neighbours in the order of keys share a range; a table, so that ranges stay what they are
-    ranged = written(points.repartitionByRange("key").withColumn("range", F.spark_partition_id()))
+    ranged = in_ranges(points)
     last_rule = ranged.where("stack is not null").groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
     # one row a range: the stack that is open where it begins is that of the last rule in the ranges before
     before = F.last("stack", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))

@@ -335,3 +335,18 @@ def test_shared_folder_setting_is_used(spark):
 
     assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     assert F is not None
+
+
+def test_url_ranges_cut_a_shared_key(spark):
+    """Home pages of many hosts share the key of their domain; they spread over the ranges, and verdicts stay right."""
+    frame = spark.range(8000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"))
+    keyed = frame.select(urls.reversed_key(F.lit("com"), F.lit("/")).alias("key"), F.concat(F.lit("h"), "page_id", F.lit(".com")).alias("host"), F.lit("/").alias("path"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in urls.in_ranges(keyed).groupBy("range").count().collect()]
+        rules = [("com", "/", "block"), ("h7.com", "/", "allow"), ("com", "/x", "allow")]
+        got = urls.range_join(frame, urls.rules_frame(spark, rules)).groupBy("rule", "verdict").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 8000 and max(sizes) <= 2 * 8000 / len(sizes) and len(sizes) > 1
+    assert {tuple(r) for r in got} == {("com/", "block", 7999), ("h7.com/", "allow", 1)}

@@ -40,7 +40,7 @@ PAGES = {
     "layout classes": (f"<body class='has-sidebar'><article class='post with-ads'><p>{LONG}</p><p class='cookieNotice'>{OTHER}</p></article>", [LONG]),
     "link lists in an article": (f"<article><p>{LONG}</p><ul><li><a>{OTHER}</a></li></ul><p>{OTHER}</p></article>", [LONG, OTHER]),
     "text only": (LONG, [LONG]), "nothing": ("<body><nav>x</nav>", []), "open comment": (f"<article>{LONG}<!-- {OTHER}", [LONG]), "open script": (f"<article>{LONG}<script>{OTHER}", [LONG]),
-    "no end": (f"<article>{LONG}<p", [LONG + "<p"]), "only opened": ("<p", ["<p"]), "closers only": ("</div></p></article>" + LONG, [LONG]), "comment word": (f"<article class=comment>{LONG}</article><p>{OTHER}", [OTHER]),
+    "no end": (f"<article>{LONG}<p", [LONG + "<p"]), "only opened": ("<p", []), "closers only": ("</div></p></article>" + LONG, [LONG]), "comment word": (f"<article class=comment>{LONG}</article><p>{OTHER}", [OTHER]),
 }
 
 
