@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,56 +81,6 @@ def dedupe(bundle: DataFrame, threshold: float = DEDUPE_THRESHOLD, min_items: in
     return bundle.groupBy("query_id").applyInPandas(run, bundle.schema)
 
 
-#: Words that do not count, where a sentence ends, and what a word is.
-STOP_WORDS = frozenset(
-    "a an the and or but if while of at by for with about against between into through during before after above below to from up down in out on off over under "
-    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will "
-    "just don should now is are was were be been being have has had do does did i you he she it we they them this that these those my your his her its our their "
-    "what which who whom me him us as".split())
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z(\"\[])")
-WORD = re.compile(r"[A-Za-z][A-Za-z0-9'-]*")
-CHARS_PER_TOKEN = 4
-
-
-def truncated(text: str, max_tokens: int) -> str:
-    """The text, cut at four characters a token if it has too many words."""
-    if max_tokens <= 0 or not text:
-        return ""
-    return text if len(text.split()) <= max_tokens else text[: max_tokens * CHARS_PER_TOKEN].rstrip() + "…"
-
-
-def extractive(text: str | None, max_tokens: int = 500, bias: float = 0.15) -> str:
-    """Sentences of the most frequent words, with a bonus for early ones; the best first while they fit (longer ones are
-    passed over), in their order."""
-    found = [s.strip() for s in SENTENCE_END.split(text or "") if s.strip()]
-    words = [[w for w in map(str.lower, WORD.findall(s)) if w not in STOP_WORDS and len(w) > 2] for s in found]
-    counts = Counter(w for ws in words for w in ws)
-    if not counts:
-        return truncated(" ".join(found), max_tokens)
-    top, last = max(counts.values()), max(1, len(found) - 1)
-    score = [(sum(counts[w] / top for w in ws) / math.sqrt(len(ws)) if ws else 0.0) + bias * (1 - i / last) for i, ws in enumerate(words)]
-    chosen, used = [], 0
-    for i in sorted(range(len(found)), key=lambda i: -score[i]):
-        cost = len(found[i].split())
-        if chosen and used + cost > max_tokens:
-            continue
-        chosen.append(i)
-        used += cost
-        if used >= max_tokens:
-            break
-    return " ".join(found[i] for i in sorted(chosen))
-
-
-def summaries(texts: DataFrame, max_tokens: int = 500) -> DataFrame:
-    """(id, summary) of each (id, text)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "summary": [extractive(t, max_tokens) for t in b["text"]]})
-
-    return texts.select("id", "text").mapInPandas(run, "id long, summary string")
-
-
 def prune_to_fit(items: DataFrame, budget: int, keep_blocks: int = 2, prune_turns: bool = False) -> DataFrame:
     """``items`` (query_id, id, layer, value, created_at, tokens) until they fit: facts of least value first, then all but
     the newest ``keep_blocks`` blocks, oldest first, and turns only if asked. The item that crosses the line goes too."""

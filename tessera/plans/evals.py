@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed as fx
 from tessera.functions import scoring as sc
 from tessera.functions import text as tx
-from tessera.operators import bundles, evaluation, questions, synthesis, temporal, transcripts
+from tessera.operators import bundles, evaluation, questions, summaries, synthesis, temporal, transcripts
 from tessera.plans.catalog import FACTS, NOW, SF, SYNTH, TURNS, _structured, query, sql_text
 from tessera.plans.literals import values
 from tessera.plans.memory import NODES
@@ -273,9 +273,19 @@ def layered_prune(spark, d):
     return bundles.prune_to_fit(items, 150).select("query_id", "id")
 
 
-@query()
+@query(rf"""with recursive d as (select doc_id as id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '{summaries.SENTENCE_END}', '\1' || chr(1) || '\2', 'g'), chr(1)) as x from documents),
+ f as (select id, list_filter(list_transform(x, lambda z: regexp_replace(z, '^\s+|\s+$', '', 'g')), lambda z: z <> '') as found from d), s as (select id, len(found) as n, unnest(range(0, len(found))) as i, unnest(found) as sentence from f),
+ w as (select id, i, unnest(list_filter(regexp_extract_all(lower(sentence), '{sql_text(summaries.WORD)}'), lambda z: length(z) > 2 and z not in {tuple(summaries.STOP_WORDS)})) as word from s),
+ c as (select id, word, count(*) as c from w group by all), top as (select id, max(c) as top from c group by id), sc as (select id, i, sum(c) as total, count(*) as words from w join c using (id, word) group by all),
+ r as (select s.id, s.i, len(list_filter(string_split_regex(sentence, '\s+'), lambda z: z <> '')) as cost,
+  row_number() over (partition by s.id order by round(coalesce(total::double / top / sqrt(words), 0) + {summaries.EARLY} * (1 - i::double / greatest(1, n - 1)), 9) desc, i) as k from s left join sc using (id, i) left join top using (id)),
+ g as (select id, k, i, cost as used, true as taken from r where k = 1
+  union all select r.id, r.k, r.i, case when used < 60 and used + cost <= 60 then used + cost else used end, used < 60 and used + cost <= 60 from g join r on r.id = g.id and r.k = g.k + 1),
+ o as (select g.id, string_agg(found[i + 1], ' ' order by i) as summary from g join f on f.id = g.id where taken group by g.id), j as (select id, array_to_string(found, ' ') as whole from f)
+ select j.id, case when top.id is not null then o.summary when len(list_filter(string_split_regex(whole, '\s+'), lambda z: z <> '')) <= 60 then whole else regexp_replace(left(whole, 240), '\s+$', '') || '…' end as summary
+ from j left join o using (id) left join top using (id)""")
 def extractive_summaries(spark, d):
-    return bundles.summaries(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 60)
+    return summaries.summaries(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 60)
 
 
 # ---- data sets in and out ----

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions import replies
 from tessera.functions import text as tx
 from tessera.operators import bundles, evidence, memory, retrieval
+from tessera.operators import memberships as phrases
 from tessera.plans.catalog import ASKED, KNN, NOW, TURNS, VALID, _queries, _texts, query, sql_text
 from tessera.plans.literals import values
 from tessera.plans.memory import NODES, RANKED, at
-from tessera.plans.rules import texts
+from tessera.plans.rules import TEXTS, texts
 from tessera.sources.tables import nodes, table, turns, vectors
 
 # ---- replies: what a reply says is stated by hand; documents are replies that say nothing ----
@@ -58,9 +59,20 @@ def parsed_verdicts(spark, d):
     return r.select("id", replies.yes_no(c).alias("yes"), replies.verdict(c)["supported"].alias("supported"), replies.verdict(c)["confidence"].alias("confidence"), replies.intent(c).alias("intent"))
 
 
-@query()
+PHRASE = "(?i)" + sql_text(phrases.PHRASE)
+SINGULAR = "case " + " ".join(f"when regexp_matches({{0}}, '{w}') then regexp_replace({{0}}, '{e}', '{b}')" for w, e, b in phrases.PLURALS) + " else {0} end"
+
+
+@query(rf"""with {TEXTS}, m as (select id, string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '{PHRASE}', chr(1) || '\0', 'g'), chr(1)) as p from t),
+ k as (select id, p, unnest(range(2, len(p) + 1)) as k from m), b as (select id, k - 2 as pos, regexp_extract(p[k], '^{PHRASE}', 1) as np, regexp_replace(p[k], '^{PHRASE}', '') || array_to_string(p[k + 1:], '') as after from k),
+ w as (select *, string_split_regex(np, '\s+') as ws from b), e as (select *, coalesce(list_position(list_transform(ws, lambda z: lower(z) in {tuple(phrases.ENDS)}), true), 0) as stop from w),
+ c as (select *, case when stop > 0 then ws[1:stop - 1] else ws end as words, list_filter(words, lambda z: regexp_matches(z, '[A-Za-z]{{2,}}')) as named from e),
+ h as (select id, pos, lower(array_to_string(words, ' ')) as obj, lower(regexp_replace(named[-1], '[^A-Za-z''-]', '', 'g')) as head, np || ' ' || left(after, {phrases.TAIL_CHARS}) as around from c where len(named) > 0),
+ s as (select id, pos, obj, {SINGULAR.format('head')} as predicate, regexp_extract(around, '{phrases.MEASURE}', 1) as size, lower(regexp_extract(around, '{phrases.MEASURE}', 2)) as unit from h),
+ r as (select *, row_number() over (partition by id, predicate, obj order by pos) as k from s where length(predicate) >= 3 and predicate not in {tuple(phrases.NO_HEADS)})
+ select id, pos::int as pos, predicate, obj, case when size <> '' then size::double end as quantity, case when size <> '' then ({SINGULAR.format('unit')}) || 's' else '' end as unit from r where k = 1""")
 def local_structured_facts(spark, d):
-    return evidence.extracted(texts(spark, d))
+    return phrases.memberships(texts(spark, d))
 
 
 @query("""with a as (select doc_id as id, 'LANG' as type, lang as name, 0.8::double as c from documents where doc_id % 3 <> 0 union all select doc_id, 'SOURCE', source, 0.6 from documents), b as (select doc_id as id, 'LANG' as type, upper(lang) as name, 0.9::double as c from documents where doc_id % 2 = 0 union all select doc_id, 'TEXT', left(text, 5), 0.5 from documents where doc_id % 4 = 1 and text is not null)

@@ -3,13 +3,28 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import replies, text as tx
-from tessera.operators import bundles, evidence, questions, retrieval, transcripts
-
-
-def test_memberships():
-    assert evidence.memberships("I bought a red bike yesterday. Then we adopted another cat.") == [("bike", "red bike", None, ""), ("cat", "cat", None, "")]
-    assert evidence.memberships("We had a gaming session for 40 hours") == [("session", "gaming session", 40.0, "hours")]
-    assert evidence.memberships("I got a lot. I have the time") == [] and evidence.memberships(None) == []
+from tessera.operators import bundles, evidence, memberships, questions, retrieval, transcripts
+
+
+SAID = [
+    ("I bought a red bike yesterday. Then we adopted another cat.", [("bike", "red bike", None, ""), ("cat", "cat", None, "")]),
+    ("We had a gaming session for 40 hours", [("session", "gaming session", 40.0, "hours")]), ("I got a lot. I have the time", []), (None, []), ("", []),
+    ("She BOUGHT a Dress and bought a dress, then got the boxes", [("dress", "dress", None, ""), ("box", "boxes", None, "")]),
+    ("They visited the old churches in Rome for 2.5 days", [("church", "old churches", 2.5, "days")]), ("He had an ox of 12 km, owned the two 33", [("two", "two 33", None, "")]),
+    ("We made this berries-and-cream pies with my 3 dollars", []), ("rebought a car", []), ("I joined the gym because 1 year", [("gym", "gym", 1.0, "years")]),
+    ("I own a boat\x01 and set up my tent " + "x" * 60 + " 3 hours", [("boat", "boat", None, ""), ("tent", "tent " + "x" * 60 + " 3 hours", None, "")][:1]),
+]
+
+
+def test_memberships(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SAID)], "id long, text string")
+    got = {}
+    for r in memberships.memberships(frame).orderBy("id", "pos").collect():
+        got.setdefault(r["id"], []).append((r["predicate"], r["obj"], r["quantity"], r["unit"]))
+    assert {i: got.get(i, []) for i in range(len(SAID) - 1)} == {i: want for i, (_, want) in enumerate(SAID[:-1])} and got[len(SAID) - 1][0] == SAID[-1][1][0]
+    words = [("parties", "party"), ("ties", "ty"), ("axes", "ax"), ("classes", "class"), ("dishes", "dish"), ("cars", "car"), ("gas", "ga"), ("is", "is"), ("glass", "glass"), ("es", "es"), ("SHIRTS", "shirt")]
+    frame = spark.createDataFrame(words, "w string, want string")
+    assert frame.where(memberships.singular(F.col("w")) != F.col("want")).collect() == []
 
 
 def test_support(spark):

@@ -1,7 +1,9 @@
 """Rules against labels written by hand, bundles against plain loops, the verbs, and loaders."""
 
+import collections
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text as tx
 from tessera.memory import Memory
-from tessera.operators import bundles, candidates, graph, memory, policy, promotion, questions, temporal
+from tessera.operators import bundles, candidates, graph, memory, policy, promotion, questions, summaries, temporal
 from tessera.sources import datasets, store
 from tessera.streaming import sessions
 
@@ -106,12 +108,34 @@ def test_dedupe_equals_a_plain_loop(spark):
     assert got == want
 
 
-def test_extractive_summary():
-    text = "Rain fell on the lake all day. The lake rose over the road. Nobody noticed. The road by the lake was closed for rain repairs."
-    assert bundles.extractive(text, 100) == text
-    short = bundles.extractive(text, 12)
-    assert short and len(short.split()) <= 12 and short in text
-    assert bundles.extractive("", 10) == "" and bundles.extractive(None, 10) == "" and bundles.extractive("It is. So it is.", 2) == "It is. S…"
+def plain_summary(text, budget):
+    """Sentence by sentence, in the order of their scores."""
+    found = [s.strip() for s in re.split("\x01", re.sub(summaries.SENTENCE_END, "\\1\x01\\2", text or "")) if s.strip()]
+    words = [[w for w in re.findall(summaries.WORD, s.lower()) if len(w) > 2 and w not in summaries.STOP_WORDS] for s in found]
+    counts = collections.Counter(w for ws in words for w in ws)
+    if not counts:
+        whole = " ".join(found)
+        return whole if len(whole.split()) <= budget else whole[: 4 * budget].rstrip() + "…"
+    score = [sum(counts[w] for w in ws) / max(counts.values()) / len(ws) ** 0.5 if ws else 0.0 for ws in words]
+    score = [round(s + 0.15 * (1 - i / max(1, len(found) - 1)), 9) for i, s in enumerate(score)]
+    taken, used = [], 0
+    for i in sorted(range(len(found)), key=lambda i: (-score[i], i)):
+        cost = len(found[i].split())
+        if used < budget and (not taken or used + cost <= budget):
+            taken.append(i)
+            used += cost
+    return " ".join(found[i] for i in sorted(taken))
+
+
+def test_extractive_summary(spark):
+    lake = "Rain fell on the lake all day. The lake rose over the road. Nobody noticed. The road by the lake was closed for rain repairs."
+    texts = [lake, "", None, "It is. So it is.", "One two three", lake * 30, "A. B! (C) \"D?\" lake. lake? Lake", "It is. " * 200]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for budget in (2, 12, 100):
+        got = {r["id"]: r["summary"] for r in summaries.summaries(frame, budget).collect()}
+        assert got == {i: plain_summary(t, budget) for i, t in enumerate(texts)}
+        if budget == 12:
+            assert got[0] == "Nobody noticed. The road by the lake was closed for rain repairs." and got[3] == "It is. So it is."
 
 
 def test_policies(spark):
