@@ -651,4 +651,4 @@ def stream_promote(spark, d):
     return spark.read.parquet(sink)
 
 
-from tessera.plans import evals, evidence, memory, rules  # noqa: E402, F401  (registers its queries)
+from tessera.plans import evals, evidence, grounding, memory, rules  # noqa: E402, F401  (registers its queries)
