@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text as tx
+from tessera.operators import blocks
 
-#: Query tables up to this many rows are broadcast whole; larger ones go in blocks of this size.
-QUERY_BLOCK = 1000
 #: Terms of all queries up to which documents are filtered where they are read.
 MAX_TERMS = 500
 #: Ids that are swept together.
@@ -22,20 +21,10 @@ def rank_by(df: DataFrame, score, k: int, ties=("id",), name: str = "rank") -> D
 
 
 def knn(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool = False) -> DataFrame:
-    """Exact cosine top-k of a stated query set, in blocks that are small enough to broadcast; vectors are normalised
-    once, so that a pair costs one dot product. ``same_kind``: only memories of the query's kind."""
-    unit = lambda df, c: df.withColumn(c, scoring.unit(F.col(c)))
-    memory, queries = unit(memory.select("id", "kind", "v"), "v"), unit(queries, "q")
-    n = queries.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for i in range(parts):
-        block = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries)
-        alike = F.col("id") != F.col("query_id")
-        hits = memory.join(block, alike & (F.col("kind") == F.col("query_kind")) if same_kind else alike)
-        hits = hits.select("query_id", "id", "kind", F.coalesce(scoring.dot(F.col("v"), F.col("q")), F.lit(0.0)).alias("score"))
-        out = hits if out is None else out.unionByName(hits)
-    return rank_by(out, F.desc(F.round("score", 12)), k)
+    """Exact cosine top-k of a stated query set: blocks of queries against blocks of memory, one matrix product for each
+    pair, and the best of each block before the shuffle. ``same_kind``: only memories of the query's kind."""
+    asked = queries.select("query_id", "q", *(["query_kind"] if same_kind else []))
+    return rank_by(blocks.cosines(asked, memory.select("id", "kind", "v"), k, same_kind), F.desc(F.round("score", blocks.TIE_DIGITS)), k)
 
 
 def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
@@ -52,12 +41,9 @@ def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame
 
 
 def trigram_topk(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Trigram similarity through an inverted table: equal grams meet in a shuffle join, sizes give the union."""
-    grams = lambda df, key: df.select(F.col(key), F.explode("grams").alias("g"))
-    common = grams(queries, "query_id").join(grams(memory, "id"), "g").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("c"))
-    sized = common.join(queries.select("query_id", F.size("grams").alias("nq")), "query_id").join(memory.select("id", F.size("grams").alias("nm")), "id")
-    scored = sized.withColumn("score", F.col("c") / (F.col("nq") + F.col("nm") - F.col("c"))).where(F.col("score") >= threshold)
-    return rank_by(scored.select("query_id", "id", "score"), F.desc("score"), k)
+    """Trigram similarity of a stated query set (``grams``: see ``blocks.with_grams``): what grams blocks of queries and blocks of
+    memory have in common is a matrix product in a task; no gram is a row of a shuffle."""
+    return rank_by(blocks.jaccards(queries.select("query_id", F.col("grams").alias("asked")), memory.select("id", "grams"), k, threshold), F.desc("score"), k)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

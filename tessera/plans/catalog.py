@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as sc
 from tessera.functions import text as tx
-from tessera.operators import budget, evaluation, graph, policy, promotion, retrieval, synthesis, temporal
+from tessera.operators import blocks, budget, evaluation, graph, policy, promotion, retrieval, synthesis, temporal
 from tessera.plans.literals import ANSWERS, STRUCTURED, VOTES, values
 from tessera.sources import store
 from tessera.sources.shared import shared_folder
@@ -217,9 +217,7 @@ def knn_cosine_topk(spark, d):
 
 @query(f"with {KNN} select query_id, id, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, id) rank from hits where kind = query_kind) where rank <= 5")
 def knn_within_kind(spark, d):
-    q = _queries(spark, d)
-    same = vectors(spark, d).join(F.broadcast(q), F.col("kind") == F.col("query_kind")).where("id <> query_id").select("query_id", "id", sc.cosine(F.col("v"), F.col("q")).alias("score"))
-    return retrieval.rank_by(same, F.desc("score"), 5).select("query_id", "id", "rank")
+    return retrieval.knn(_queries(spark, d), vectors(spark, d), 5, same_kind=True).select("query_id", "id", "rank")
 
 
 GRAM = r"""g as (select doc_id, list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) as grams from documents where text is not null)"""
@@ -227,8 +225,8 @@ GRAM = r"""g as (select doc_id, list_distinct(flatten(list_transform(regexp_extr
 
 @query(f"with {GRAM}, p as (select a.doc_id as query_id, b.doc_id as id, len(list_intersect(a.grams, b.grams)) as c, len(a.grams) as na, len(b.grams) as nb from g a, g b where a.doc_id % 20 = 0), s as (select *, c / (na + nb - c)::double as score from p where c > 0) select query_id, id, rank::int as rank, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, id) rank from s where score >= 0.25) where rank <= 5")
 def trigram_topk(spark, d):
-    rows = _texts(spark, d).where("text is not null").select("id", tx.trigrams(F.col("text")).alias("grams"))
-    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "grams")
+    rows, asked = (blocks.with_grams(t) for t in (_texts(spark, d), _texts(spark, d).where("id % 20 = 0")))
+    asked = asked.withColumnRenamed("id", "query_id")
     return retrieval.trigram_topk(asked, rows, 5, 0.25).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -267,10 +265,11 @@ def rrf_two_channel(spark, d):
  s as (select query_id, id, greatest(0.0::double, least(1.0::double, 0.45::double * (case when hi = lo then 1.0 else (rrf - lo) / (hi - lo) end) + 0.25::double * importance + 0.2::double * least(1.0::double, exp(-age / 168.0::double) * (1.0::double + ln(1.0::double + acc))) + 0.1::double)) as score from n)
  select query_id, id, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) rank from s) where rank <= 10""")
 def hybrid_retrieve(spark, d):
-    grams = _texts(spark, d).where("text is not null").select("id", tx.trigrams(F.col("text")).alias("grams"))
-    m = vectors(spark, d).join(grams, "id").withColumns({
+    v = vectors(spark, d)
+    t = _texts(spark, d).join(v.select("id"), "id", "left_semi")
+    m = v.join(blocks.with_grams(t), "id").withColumns({
         "importance": F.pmod("id", F.lit(100)) / 100.0, "age_hours": F.pmod("id", F.lit(500)).cast("double"), "access_count": F.pmod("id", F.lit(5))})
-    q = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "grams")
+    q = v.where("id % 20 = 0").join(blocks.with_grams(t.where("id % 20 = 0")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "grams")
     return retrieval.hybrid(q, m, 10, 30).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 

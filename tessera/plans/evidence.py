@@ -175,9 +175,10 @@ def rrf_many_channels(spark, d):
     """Any number of channels; ties go to the hit that appears first."""
     q, v = _queries(spark, d), vectors(spark, d)
     dense = retrieval.knn(q.drop("query_kind"), v, 20)
-    same = v.select("id", "kind").join(F.broadcast(q.select("query_id", "query_kind")), (F.col("kind") == F.col("query_kind")) & (F.col("id") != F.col("query_id")))  # queries of a stated set
-    tagged = retrieval.rank_by(same, F.desc("id"), 20)
-    third = retrieval.rank_by(same, F.pmod("id", F.lit(7)), 20)
+    first = lambda *order: v.select("id", "kind").withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where("_k <= 21")
+    mates = lambda *order: q.join(first(*order), F.col("kind") == F.col("query_kind")).where("id <> query_id")  # noqa: E731  (the first of a kind, but for the query itself)
+    tagged = retrieval.rank_by(mates(F.desc("id")), F.desc("id"), 20)
+    third = retrieval.rank_by(mates(F.pmod("id", F.lit(7)), "id"), F.pmod("id", F.lit(7)), 20)
     return retrieval.fuse_first_seen([dense, tagged, third], 10).select("query_id", "id", "position")
 
 
@@ -186,9 +187,8 @@ def rrf_many_channels(spark, d):
 def token_count_topk(spark, d):
     """Documents by how many of the query's words they hold."""
     q = spark.sql(f"select * from {values(ASKED)} as q(query_id, text)").select("query_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
-    wanted = [r["word"] for r in q.select("word").distinct().limit(retrieval.MAX_TERMS).collect()]  # the words of a stated set
-    held = _texts(spark, d).select("id", F.explode(F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda w: w.isin(wanted)))).alias("word"))
-    scored = held.join(F.broadcast(q), "word").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
+    held = _texts(spark, d).select("id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word"))
+    scored = held.join(q, "word").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
     return retrieval.rank_by(scored, F.desc("score"), 4).select("query_id", "id", "score", "rank")
 
 

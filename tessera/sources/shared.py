@@ -1,13 +1,17 @@
-"""The folder that the driver and all executors share."""
+"""What the driver and all executors share: a folder, and this package."""
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession, kind: str = "tessera") -> str:
     """A new folder name below ``spark.checkpoint.dir`` (not created yet), removed when the application ends.
@@ -25,3 +29,17 @@ def shared_folder(spark: SparkSession, kind: str = "tessera") -> str:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, so that Python workers find it wherever they start (once for an application)."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))  # served by the driver
+    _SHIPPED.add(context.applicationId)
