@@ -255,11 +255,33 @@ def rendered_prompt(spark, d):
     return transcripts.rendered(turns(spark, d), "Be brief.")
 
 
-@query(f"with {TURNS}, x as (select *, (['LOW', 'NORMAL', 'HIGH', 'CRITICAL'])[(session + seq) % 4 + 1] as importance, seq % 6 = 5 as summary from t), r as (select *, row_number() over (partition by session order by case when summary then 3 when importance in ('LOW', 'NORMAL') then 0 when importance = 'HIGH' then 1 else 2 end, seq) as k, count(*) over (partition by session) as n from x) select session, seq from r where k > n - 4")
+EVICTION = f"with {TURNS}, x as (select *, (['LOW', 'NORMAL', 'HIGH', 'CRITICAL'])[(session + seq) % 4 + 1] as importance, seq % 6 = 5 as summary from t), r as (select *, row_number() over (partition by session order by case when summary then 3 when importance in ('LOW', 'NORMAL') then 0 when importance = 'HIGH' then 1 else 2 end, seq) as k, count(*) over (partition by session) as n from x) select session, seq from r where k > n - 4"
+IMPORTANCE = ("LOW", "NORMAL", "HIGH", "CRITICAL")
+
+
+def _weighed(t):
+    names = F.array(*map(F.lit, IMPORTANCE))
+    return t.withColumns({"importance": F.element_at(names, (F.pmod(F.col("session") + F.col("seq"), F.lit(4)) + 1).cast("int")), "summary": F.pmod("seq", F.lit(6)) == 5})
+
+
+@query(EVICTION)
 def importance_eviction(spark, d):
-    names = F.array(*map(F.lit, ("LOW", "NORMAL", "HIGH", "CRITICAL")))
-    t = turns(spark, d).withColumns({"importance": F.element_at(names, (F.pmod(F.col("session") + F.col("seq"), F.lit(4)) + 1).cast("int")), "summary": F.pmod("seq", F.lit(6)) == 5})
-    return bundles.evict(t, 4).select("session", "seq")
+    return bundles.evict(_weighed(turns(spark, d)), 4).select("session", "seq")
+
+
+@query(EVICTION)
+def stream_keyed_eviction(spark, d):
+    """The same turns kept by a stream whose state holds four turns a session."""
+    from tessera.sources.shared import shared_folder
+    from tessera.streaming import keyed
+
+    schema = table(spark, d, "conversations").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/conversation[s].parquet")
+    said = _weighed(stream.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "text")).select("session", "seq", "importance", "summary", "text")
+    sink = shared_folder(spark)
+    keyed.run_once(keyed.evictions(said, 4), sink, shared_folder(spark))
+    gone = spark.read.schema(keyed.EVICTED).parquet(sink)
+    return turns(spark, d).select("session", "seq").join(gone, ["session", "seq"], "left_anti")
 
 
 @query(f"""with {NODES}, i as (select subject as query_id, id, layer, round(importance + 0.1::double * confidence, 9) as value, created_at, 5 + id % 20 as tokens from nd where invalidated_at is null),
