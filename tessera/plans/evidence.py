@@ -33,29 +33,47 @@ VERDICTS = [
 ]
 
 
-def _replies(spark, d, rows):
+def _replies(spark, d, rows, made):
+    """Replies of models: those stated by hand, and one for each event, made of its columns by ``made`` (some are broken)."""
     literal = spark.sql(f"select * from {values([r[:2] for r in rows])} as x(id, reply)").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "reply")
-    return literal.unionByName(table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("reply")))
+    return literal.unionByName(table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), made.alias("reply")))
 
 
-@query(f"with x(id, text, confidence, type) as {values(FACT_ROWS)} select id, text, confidence::double as confidence, type from x")
+@query(f"""with x(id, text, confidence, type) as {values(FACT_ROWS)} select id, text, confidence::double as confidence, type from x union all
+ select 'e' || event_id, 'The user ' || user_id || ' did ' || event_type, (event_id % 5) / 4.0::double, 'event' from events where event_id % 5 >= 3 and event_id % 7 <> 0""")
 def parsed_facts(spark, d):
-    return _replies(spark, d, FACT_REPLIES).select("id", F.inline(replies.facts(F.col("reply"))))
+    """Facts of replies: events of which a fifth is sure enough twice, said twice in other letters, a seventh of them cut off."""
+    sure = F.element_at(F.array(*[F.lit(str(i / 4)) for i in range(5)]), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))
+    fact = lambda t: F.concat(F.lit('{"text": "'), t, F.lit('", "confidence": '), sure, F.lit(', "type": "event"}'))
+    said = F.concat(F.lit("The user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"))
+    whole = F.concat(F.lit('Here: {"facts": ['), fact(said), F.lit(", "), fact(F.upper(said)), F.lit("]} done"))
+    return _replies(spark, d, FACT_REPLIES, F.when(F.pmod("event_id", F.lit(7)) == 0, F.left(whole, F.lit(25))).otherwise(whole)).select("id", F.inline(replies.facts(F.col("reply"))))
 
 
-@query(f"with x(id, subject, predicate, object, confidence) as {values(RELATION_ROWS)} select id, subject, predicate, object, confidence::double as confidence from x")
+@query(f"""with x(id, subject, predicate, object, confidence) as {values(RELATION_ROWS)} select id, subject, predicate, object, confidence::double as confidence from x union all
+ select 'e' || event_id, 'u' || user_id, upper(event_type), 'item ' || event_id % 9, least(1.0::double, event_id % 3 * 0.75::double) from events where event_id % 7 <> 0""")
 def parsed_relations(spark, d):
-    return _replies(spark, d, RELATION_REPLIES).select("id", F.inline(replies.relations(F.col("reply"))))
+    part = F.concat(F.lit('{"subject": "u'), F.col("user_id").cast("string"), F.lit('", "predicate": "'), F.col("event_type"), F.lit('", "object": "item '), F.pmod("event_id", F.lit(9)).cast("string"),
+                    F.lit('", "confidence": '), (F.pmod("event_id", F.lit(3)) * 0.75).cast("string"), F.lit("}"))
+    whole = F.concat(F.lit('{"relations": ['), part, F.lit(', {"subject": "", "predicate": "x", "object": "y"}, '), part, F.lit("]}"))
+    return _replies(spark, d, RELATION_REPLIES, F.when(F.pmod("event_id", F.lit(7)) == 0, "no relations").otherwise(whole)).select("id", F.inline(replies.relations(F.col("reply"))))
 
 
-@query(f"with x(id, predicate, object, quantity, unit) as {values(ITEM_ROWS)} select id, predicate, object, quantity::double as quantity, unit from x")
+@query(f"""with x(id, predicate, object, quantity, unit) as {values(ITEM_ROWS)} select id, predicate, object, quantity::double as quantity, unit from x union all
+ select 'e' || event_id, event_type, 'thing ' || event_id % 9, (event_id % 50)::double, 'hours' from events where event_id % 7 <> 0""")
 def parsed_countables(spark, d):
-    return _replies(spark, d, ITEM_REPLIES).select("id", F.inline(replies.structured(F.col("reply"))))
+    whole = F.concat(F.lit('```json\n{"facts": [{"predicate": "'), F.col("event_type"), F.lit('", "object": "thing '), F.pmod("event_id", F.lit(9)).cast("string"), F.lit('", "quantity": '), F.pmod("event_id", F.lit(50)).cast("string"), F.lit(', "unit": "hours"}]}\n```'))
+    return _replies(spark, d, ITEM_REPLIES, F.when(F.pmod("event_id", F.lit(7)) == 0, "nothing to count").otherwise(whole)).select("id", F.inline(replies.structured(F.col("reply"))))
 
 
-@query(f"with x(id, reply, yes, supported, confidence, intent) as {values(VERDICTS)} select 'r' || id as id, yes, supported, confidence::double as confidence, intent from x")
+@query(f"""with x(id, reply, yes, supported, confidence, intent) as {values(VERDICTS)} select 'r' || id as id, yes, supported, confidence::double as confidence, intent from x union all
+ select 'e' || event_id, event_id % 4 = 0, case when event_id % 4 = 2 then event_id % 3 = 0 end, case when event_id % 4 = 2 then event_id % 5 / 4.0::double end, case when event_id % 4 = 3 then 'recall' end from events""")
 def parsed_verdicts(spark, d):
-    r, c = _replies(spark, d, VERDICTS).where("id like 'r%'"), F.col("reply")
+    """Answers yes or no, verdicts as JSON and intents; events give one of each kind in turn."""
+    n = lambda k: F.pmod("event_id", F.lit(k))
+    verdict = F.concat(F.lit('{"supported": '), (n(3) == 0).cast("string"), F.lit(', "confidence": '), (n(5) / 4.0).cast("string"), F.lit("}"))
+    made = F.when(n(4) == 0, F.concat(F.lit("Yes, by user "), F.col("user_id").cast("string"))).when(n(4) == 1, "No, it is not.").when(n(4) == 2, verdict).otherwise("Recall.")
+    r, c = _replies(spark, d, VERDICTS, made), F.col("reply")
     return r.select("id", replies.yes_no(c).alias("yes"), replies.verdict(c)["supported"].alias("supported"), replies.verdict(c)["confidence"].alias("confidence"), replies.intent(c).alias("intent"))
 
 
@@ -233,10 +251,11 @@ def noise_metrics(spark, d):
                  mean("toxic", F.col("no_answer")).alias("abstention_correctness"))
 
 
-@query(f"with {TURNS}, s as (select session, min(seq) as pos, sum(tokens) as tokens from t group by session) select session, row_number() over (order by tokens desc, session)::int as place from s qualify place <= 16")
+@query(f"with {RANKED}, s as (select query_id, kind % 3 as session, min(rank) as pos from k30 group by 1, 2) select query_id, session, row_number() over (partition by query_id order by pos)::int as place from s")
 def ordered_sessions(spark, d):
-    s = turns(spark, d).groupBy("session").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "session").limit(16)  # the top-k of the report
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("tokens"), "session"))).select("session", "place")
+    """The sessions of each query's hits, once each, in the order in which they first appear."""
+    s = _items(spark, d)[0].groupBy("query_id", "session").agg(F.min("rank").alias("pos"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).select("query_id", "session", "place")
 
 
 @query(f"with {TURNS} select session, coalesce(string_agg(text, chr(10) order by seq) filter (where role = 'user'), '') as asked, coalesce(string_agg(text, chr(10) order by seq) filter (where role <> 'user'), '') as answered from t group by session")
