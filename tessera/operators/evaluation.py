@@ -15,10 +15,13 @@ def recall_at(hits: DataFrame, k: int, total: DataFrame) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(p n / 100)."""
+    """Nearest-rank percentiles: the value at place ceil(p n / 100). Rows are counted by value before they move, so that a key
+    with a third of all rows sorts its distinct values only; nulls come first."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"_k": F.row_number().over(w.orderBy(value, "id")), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == F.ceil(F.lit(p) * F.col("_n") / 100), F.col(value))).alias(f"p{p}") for p in percents])
+    placed = counts.withColumns({"_to": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    place = lambda p: F.ceil(F.lit(p) * F.col("_n") / 100)
+    return placed.groupBy(*keys).agg(*[F.max(F.when((F.col("_to") >= place(p)) & (F.col("_to") - F.col("_c") < place(p)), F.col(value))).alias(f"p{p}") for p in percents])
 
 
 def histogram(rows: DataFrame, bucket: str, buckets: list[str]) -> DataFrame:
