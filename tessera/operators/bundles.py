@@ -44,6 +44,14 @@ def assemble(hits: DataFrame, budgets: dict[str, int]) -> DataFrame:
         "place", F.row_number().over(Window.partitionBy("query_id").orderBy(turn, "position"))).drop("_used")
 
 
+def retrieved(hits: DataFrame, memory: DataFrame, head: int, rerank_score: Column, budgets: dict[str, int]) -> DataFrame:
+    """The whole way of hits (query_id, id, score) into a context: their attributes from ``memory`` (id, candidate_type, urgent,
+    how, restricted, expired, layer, tokens; hits that it lacks have vanished), the gate, the boosts, the rerank of the
+    first ``head``, and the assembly within the layers' budgets. Adds position and place."""
+    hydrated = hits.join(memory, "id")
+    return assemble(rerank(boosted(gate(hydrated)), head, rerank_score), budgets)
+
+
 def pairs(bundle: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a before b) within a bundle with a cosine of ``threshold`` or more."""
     side = lambda x: bundle.select("query_id", F.col("id").alias(x), F.col("rank").alias(f"rank_{x}"), F.col("v").alias(f"v_{x}"))

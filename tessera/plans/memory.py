@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring as sc
 from tessera.operators import bundles, graph, index, memory, retrieval, temporal
-from tessera.plans.catalog import FACTS, KNN, KNOWN, NOW, TURNS, VALID, _queries, query, us
+from tessera.plans.catalog import FACTS, KNN, KNOWN, NOW, ORACLES, QUERIES, TURNS, VALID, _queries, query, us
 from tessera.sources import store
 from tessera.sources.shared import shared_folder
 from tessera.sources.tables import edges, facts, nodes, table, turns, vectors
@@ -341,3 +341,19 @@ def assemble_by_layer(spark, d):
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     rows = _gated(spark, d).withColumn("position", F.row_number().over(w)).withColumn("tokens", 5 + F.pmod("id", F.lit(20)))
     return bundles.assemble(rows, {"LTM": 60, "MTM": 40, "STM": 40}).select("query_id", "id", "layer", "place")
+
+
+@query(f"""with h as ({ORACLES['hybrid_retrieve']}), g as (select *, case id % 6 when 0 then 'user_preference' when 1 then 'task' when 2 then 'procedure' else 'fact' end as ct, (['STM', 'MTM', 'LTM'])[id % 3 + 1] as layer, 5 + id % 20 as tokens from h where id % 13 <> 0 and id % 17 <> 0),
+ b as (select *, round(least(1.0::double, score + case when ct = 'user_preference' then 0.10::double else 0 end + case when ct = 'task' and id % 4 = 0 then 0.15::double else 0 end + case when ct = 'procedure' and id % 5 = 0 then 0.10::double else 0 end), 9) as boosted from g),
+ p as (select *, row_number() over (partition by query_id order by boosted desc, id) as p from b), r as (select *, row_number() over (partition by query_id order by p > 5, case when p <= 5 then -(id % 7) end, p) as position from p),
+ u as (select *, sum(tokens) over (partition by query_id, layer order by position rows unbounded preceding) as used from r)
+ select query_id, id, layer, position::int as position, boosted as score, row_number() over (partition by query_id order by case layer when 'LTM' then 1 when 'MTM' then 2 else 3 end, position)::int as place from u where used <= case layer when 'LTM' then 40 else 25 end""")
+def retrieve_pipeline(spark, d):
+    """One call from queries to a context: both channels, fusion and score, then hydration, gate, boosts, rerank and assembly."""
+    n = lambda k: F.pmod("id", F.lit(k))
+    pick = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (n(k) + 1).cast("int"))
+    attributes = vectors(spark, d).select(
+        "id", pick(("user_preference", "task", "procedure", "fact", "fact", "fact"), 6).alias("candidate_type"), pick(("STM", "MTM", "LTM"), 3).alias("layer"), (n(4) == 0).alias("urgent"),
+        (n(5) == 0).alias("how"), (n(13) == 0).alias("restricted"), (n(17) == 0).alias("expired"), (5 + n(20)).alias("tokens"))
+    out = bundles.retrieved(QUERIES["hybrid_retrieve"](spark, d).select("query_id", "id", "score"), attributes, 5, n(7).cast("double"), {"LTM": 40, "MTM": 25, "STM": 25})
+    return out.select("query_id", "id", "layer", "position", F.round("score", 9).alias("score"), "place")

@@ -93,3 +93,14 @@ def test_neighbours_by_id_equal_all_pairs(spark):
     got = {(r["query_id"], r["id"]) for r in retrieval.neighbours_by_id(asked, memory, 7).collect()}
     want = {(q, i) for q in ids[::9] for i in sorted((x for x in ids if x != q), key=lambda x: (abs(x - q), x))[:7]}
     assert got == want
+
+
+def test_retrieved(spark):
+    """Restricted, expired and vanished hits go; boosts and the rerank of the head decide positions; budgets cut each layer."""
+    memory = spark.createDataFrame(
+        [(1, "fact", False, False, False, False, "MTM", 10), (2, "user_preference", False, False, False, False, "LTM", 10), (3, "fact", False, False, True, False, "LTM", 1),
+         (4, "fact", False, False, False, True, "LTM", 1), (5, "task", True, False, False, False, "LTM", 15), (6, "fact", False, False, False, False, "STM", 5)],
+        "id long, candidate_type string, urgent boolean, how boolean, restricted boolean, expired boolean, layer string, tokens int")
+    hits = spark.createDataFrame([(7, i, s) for i, s in ((1, 0.9), (2, 0.85), (3, 0.99), (4, 0.98), (5, 0.2), (6, 0.3), (9, 1.0))], "query_id long, id long, score double")
+    out = bundles.retrieved(hits, memory, 2, F.lit(0.0), {"LTM": 20, "MTM": 20, "STM": 20}).orderBy("place").collect()
+    assert [(r["id"], r["layer"], r["position"]) for r in out] == [(2, "LTM", 1), (1, "MTM", 2), (6, "STM", 4)]  # 5 (0.35) comes third and is beyond its layer's budget
