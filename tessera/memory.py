@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import memory as ops
 from tessera.operators import retrieval
+from tessera.sources.shared import shared_folder
 
 EVENTS = (
     "id string, namespace string, op string, batch long, pos long, text string, attribute string, importance double, "
@@ -67,8 +68,9 @@ class Memory:
         """What a policy (see ``operators.memory.forget``) matches; closed at ``at`` unless it is a dry run."""
         gone = ops.forget(self.live(), **policy)
         if not dry_run:
-            matched = self.spark.createDataFrame(gone.select("id").toArrow())
-            self._append(matched, "INVALIDATE", at)
+            matched, folder = gone.select("id"), shared_folder(self.spark)
+            matched.write.parquet(folder)  # decided once, before the log that decides it grows
+            self._append(self.spark.read.schema(matched.schema).parquet(folder), "INVALIDATE", at)
         return gone
 
     # ---- reading ----
