@@ -180,3 +180,54 @@ NUMBER_WORDS = (
     ("eighty", "80"), ("ninety", "90"), ("hundred", "100"),
 )
 UNKNOWN = r"(?i)\b(?:i don't know|i do not know|not mentioned|not enough information|cannot determine|no information|i couldn't find|do not know)\b"
+#: What a question asks for, in order (relation, shape of the answer, pattern); the first that matches counts.
+OCCASIONS = r"birthday|anniversary|graduation|wedding|christmas|housewarming"
+INTENTS = (
+    ("previous_occupation", "occupation_title", r"(?i)\bwhat\s+(?:was|is)\s+my\s+(?:previous|former|old|last|past)\s+(?:occupation|job|role|position|career|profession)"),
+    ("previous_occupation", "occupation_title", r"(?i)\bwhat\s+(?:role|job|position|occupation|career)\s+did\s+I\s+(?:have|hold|work|do)\s+(?:before|previously|in\s+the\s+past)"),
+    ("previous_occupation", "occupation_title", r"(?i)\bwhat\s+did\s+I\s+(?:used?\s+to|previously)\s+(?:work|do)\s+(?:as|in)\b"),
+    ("previous_occupation", "occupation_title", r"(?i)\bwhat\s+did\s+I\s+do\s+for\s+(?:work|a\s+living)\s+(?:before|previously|in\s+the\s+past)"),
+    ("degree_in", "field_of_study", r"(?i)\bwhat\s+(?:degree|field|major|discipline)\s+(?:did\s+I\s+)?(?:get|graduate|earn|study|complete)"),
+    ("bought_gift_for", "purchased_item", r"(?i)\bwhat\s+did\s+I\s+(?:buy|bought|get|pick\s+up|purchase|gift)\s+"),
+    ("value_compared_to_paid", "comparative_phrase", r"(?i)\bhow\s+much\s+is\s+.+?\s+worth\b.*?(?:paid|spent|in\s+terms\s+of)"),
+    ("count_packed", "count_with_unit", r"(?i)\bhow\s+many\s+\w+\s+(?:did\s+I\s+|i\s+)?(?:pack|bring|take)"),
+    ("event_date", "date", r"(?i)\bwhen\s+(?:did|was|is)\s+(?:I\s+)?"),
+)
+#: What a relation's question may state: (relation, slot, pattern, group).
+SLOTS = (
+    ("bought_gift_for", "recipient", rf"(?i)\bfor\s+my\s+(\w+)['’]?s?\s+(?:{OCCASIONS})", 1),
+    ("bought_gift_for", "occasion", rf"(?i)\bfor\s+my\s+\w+['’]?s?\s+({OCCASIONS})", 1),
+    ("count_packed", "item", r"(?i)\bhow\s+many\s+(\w+)\s+(?:did\s+I\s+|i\s+)?(?:pack|bring|take)", 1),
+    ("count_packed", "destination", r"\b(?:for|to|on)\s+(?:the\s+|my\s+)?((?:trip|vacation|holiday)\s+to\s+\w+|[A-Z][\w\- ]*?\w)\s*(?:[.!?,;]|$)", 1),
+    ("event_date", "event", r"(?i)\b(?:the\s+|my\s+)?([a-z][\w' ]*?(?:dinner|event|party|wedding|graduation|conference|meeting|interview|appointment|reunion|fundraiser|fundraising|ceremony|gathering))\b", 1),
+    ("value_compared_to_paid", "asset", r"(?i)\b(?:how\s+much\s+is\s+|what\s+is\s+)(?:the\s+|my\s+)?([a-z][\w' ]{2,40}?)\s+worth\b", 1),
+)
+#: Phrases that open a gate, anywhere in the lower-case question.
+GATES = {
+    "preference": ("recommend", "suggest", "which should i", "what should i", "best for me", "best option", "resources", "ideas for", "tailor", "personali", "based on my", "for my"),
+    "temporal": ("how many days", "how many weeks", "how many months", "how many years", "how long ago", "how long since", "how long has", "days passed", "weeks ago", "months ago", "years ago", "weeks have passed",
+                 "months have passed", " since ", " before ", " after ", "in what order", "in the order", "which happened first", "which came first", "earlier or later"),
+    "knowledge_update": ("currently", "current", "these days", "right now", "as of now", "still ", "anymore", "now that", "most recent", "latest", "up to date", "nowadays"),
+}
+#: Words of questions that name a relation.
+RELATION_WORDS = {
+    "is_worth": ("worth", "value", "valued", "cost", "costs"), "paid": ("pay", "paid", "spent", "spend"), "duration_of": ("took", "lasted"), "located_at": ("where",),
+    "got_at": ("got", "earned", "completed", "finished", "graduated"), "date": ("when",), "person": ("who",),
+}
+QUESTION_STOP_WORDS = (
+    "a an the and or but of for to in on at by with from as is are was were be been i me my you your we us our they them this that it its if then what which who whom whose where when why how "
+    "do does did have has had can could should would will shall many much few several long lot more less").split()
+#: Verbs that do not say what a question is about.
+NO_ANCHORS = (
+    "get got buy bought make made pay paid spent spend took take give gave send sent find found earn earned complete completed finish finished graduate graduated attend attended visit visited use used "
+    "go went come came see saw do done live lived work worked amount").split()
+SCOPE = (
+    r"(?i)\b(?:\d{4}|today|yesterday|tomorrow|tonight|recently|currently|now|last\s+(?:week|month|year|sunday|monday|tuesday|wednesday|thursday|friday|saturday|night)|next\s+(?:week|month|year)|in\s+\d{4}"
+    r"|since\s+\d{4}|before\s+\d{4}|after\s+\d{4}|jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+    r"|mon(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:rs(?:day)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)\b")
+#: Types of questions whose parts may be of another type.
+COMPOSED = ("generic_fact", "temporal_reasoning", "knowledge_update")
+#: The reply of a decomposer: numbers and bullets before a line; and questions that ask for one fact of the user's own.
+BULLET = r"^\s*(?:\d+[.)]|[-*•])\s*"
+ONE_FACT = (r"(?i)^\s*(?:what|where|when|who|which|how\s+(?:long|many|much|old))\b", r"(?i)\b(?:i|me|my|mine)\b")
+NOT_ONE_FACT = (r"(?i)\bhave\s+i\b", r"(?i)\b(?:and|or|before|after|earlier|later|first|last|both|between|compare|compared|difference|changed|update|newer|older|more|less)\b")

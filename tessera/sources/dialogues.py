@@ -46,6 +46,28 @@ ASK = [
 #: Questions of the customers whose key is divisible by 20: a stated set.
 ASK_SQL = " union all ".join(f"select {C} * 10 + {i} as query_id, {C} as session, '{kind}' as kind, {text} as question from customer where {C} % 20 = 0" for i, (kind, text) in enumerate(ASK))
 
+KIN, OCCASION = pick(("sister", "brother", "mother", "friend"), K), pick(("birthday", "wedding", "graduation", "anniversary"), f"{K} + 1")
+WONDER = [
+    "'What was my previous occupation?'", joined("'What role did I have before '", PLACE, "'?'"), "'What did I used to work as?'", "'Which job did I do for a living in the past, and where?'", "'What degree did I graduate with?'",
+    joined("'What did I buy for my '", KIN, "chr(39)", "'s '", OCCASION, "'?'"), joined("'How much is the '", THING, "' painting worth in terms of what I paid?'"), joined("'How many '", THING, "' did I pack for '", PLACE, "'?'"),
+    joined("'When did I go to the '", PLACE, "' reunion dinner?'"), "'Where do I currently live, and since when?'", joined("'How many '", THING, "' did I bring on my vacation to '", PLACE, "'?'"), joined("'Who visited Lake '", PLACE, "' in 2021?'"),
+    joined("'Can you recommend a '", JOB, "' for my '", KIN, "'?'"), "''",
+]
+REPLY = {
+    0: joined("'1. What did the '", THING, "' painting cost?'", "chr(10)", "'2) How many '", THING, "' did I pack in 2021?'", "chr(10)", "'- Where did I get my degree?'", "chr(10)", "' '", "chr(10)", "'2) how many '", THING, "' did I pack in 2021?'"),
+    1: joined("'Which job did I do?'", "chr(10)", "'Who visited Lake '", PLACE, "'?'", "chr(10)", "'When did I live in '", PLACE, "'?'", "chr(10)", "'Who visited Lake '", OTHER, "' in 2021?'", "chr(10)", "'One too many?'"),
+    2: joined("'* What is the '", THING, "' painting worth?'", "chr(10)", "'* How much did I pay for the '", THING, "' painting?'", "chr(10)", "'* Where do I live now?'"),
+    3: "''", 4: joined("'WHAT DID I USED TO WORK AS?'", "chr(10)", "'Which '", JOB, "' did my '", KIN, "' like in the past?'"),
+}
+#: A question an order, and what a decomposer made of it.
+WONDER_SQL = (f"select o_orderkey as query_id, case o_orderkey % {len(WONDER)} {' '.join(f'when {i} then {t}' for i, t in enumerate(WONDER))} end as question, "
+              f"case {K} % {len(REPLY)} {' '.join(f'when {i} then {t}' for i, t in REPLY.items())} end as reply from orders")
+
+
+def wonderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, question, reply of a decomposer)."""
+    return spark.sql(WONDER_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
 
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session, seq, role, text)."""
