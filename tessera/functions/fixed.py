@@ -231,3 +231,27 @@ COMPOSED = ("generic_fact", "temporal_reasoning", "knowledge_update")
 BULLET = r"^\s*(?:\d+[.)]|[-*•])\s*"
 ONE_FACT = (r"(?i)^\s*(?:what|where|when|who|which|how\s+(?:long|many|much|old))\b", r"(?i)\b(?:i|me|my|mine)\b")
 NOT_ONE_FACT = (r"(?i)\bhave\s+i\b", r"(?i)\b(?:and|or|before|after|earlier|later|first|last|both|between|compare|compared|difference|changed|update|newer|older|more|less)\b")
+#: Statements that pages are made of: (fact, topic, patterns of which the first that matches counts).
+WIKI_FACTS = (
+    ("spotify_playlist", "music", (r"(?i)playlist on Spotify that I created,\s*called\s+([^,.]+)",)),
+    ("commute_duration", "commute", (r"(?i)commute,\s*which takes\s+([^,.]+)", r"(?i)daily commute takes\s+([^,.]+)")),
+    ("target_coupon_redeemed", "shopping", (r"(?i)redeemed a\s+\$?\d+\s+coupon on\s+([^,.]+)",)),
+    ("degree", "education", (r"(?i)degree in\s+([^,.]+)",)),
+    ("theater_play", "hobbies", (r"(?i)(?:production of|play called|play named)\s+([^,.?]+)",)),
+)
+COUPON_AMOUNT = r"(?i)redeemed a\s+\$?(\d+)\s+coupon on\s+[^,.]+"
+COUPON_TIME = r"(?i)\s+(?:last|this|next)\s+\w+$"
+TOPIC_TERMS = (
+    ("music", "spotify|playlist|music|lo-fi|ambient"), ("commute", "commute"), ("shopping", "target|coupon|cartwheel|shopping"), ("education", "degree|university|school|education"),
+    ("health_fitness", "fitness|run|workout|health"), ("hobbies", "guitar|hobby|theater|play"),
+)
+LEXICAL_STOP_WORDS = "the and for with that this what where when who which how did does was were is are am to of on in at a an".split()
+#: Points for a turn (question, turn, unless the turn, points).
+LEXICAL_BOOSTS = (
+    (r"\bhow\s+long\b", r"\b(?:minute|minutes|hour|hours|each way|one way|round trip)\b", None, 0.75), (r"\bwhere\b", r"\b(?:target|walmart|costco|kroger|store|shop|app)\b", None, 0.25),
+    (r"\bname\b", r"\b(?:called|named|titled)\b", None, 0.35), (r"\b(?:clothing|clothes|items? of clothing)\b", r"\b(?:blazer|boots?|jeans?|shirt|sweater|dress|pants|jacket)\b", None, 0.4),
+    (r"\bpick\s+up\b", r"\bpick\s+up\b|\bdry cleaning\b", None, 1.2), (r"\breturn\b", r"\breturn\b|\bexchang(?:e|ed|ing)\b", None, 1.0),
+    (r"\bcamping trips?\b", r"\b\d+\s*-\s*day\b.*\bcamping trip\b", None, 2.5), (r"\bcamping trips?\b", r"camping trip", r"\b\d+\s*-\s*day\b.*\bcamping trip\b", 1.25),
+    (r"\bmodel kits?\b", r"\b(?:model kit|kits?|revell|tamiya|spitfire|tiger|bomber|camaro)\b", None, 1.25), (r"\bmodel kits?\b", r"\b\d+/\d+\s+scale\b", None, 0.75), (r"\bprojects?\b", r"\b(?:led|lead|leading)\b", None, 1.25),
+)
+LEXICAL_WEIGHT, USER_POINTS, ASSISTANT_POINTS = 4.0, 1.25, -0.25

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.functions import replies
 from tessera.functions import text as tx
 from tessera.operators import promotion
+from tessera.sources.store import commit, committed, runs_of
 
 PROMOTE_FROM = 0.75
 KINDS = {
@@ -35,18 +36,8 @@ KINDS = {
 }
 
 
-def committed(spark: SparkSession, root: str) -> list[str]:
-    """Names of the whole runs, oldest first (one line a run)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return []
-    return [r["run"] for r in spark.read.schema("number long, run string").json(f"{root}/manifest").orderBy("number").collect()]
-
-
 def stored(spark: SparkSession, root: str, kind: str, runs: list[str]) -> DataFrame:
-    if not runs:
-        return spark.createDataFrame([], KINDS[kind])
-    return spark.read.schema(KINDS[kind]).parquet(*[f"{root}/{kind}/{r}" for r in runs])
+    return runs_of(spark, f"{root}/{kind}", runs, KINDS[kind])
 
 
 def memory_rows(events: DataFrame) -> DataFrame:
@@ -114,7 +105,7 @@ def run(blocks: DataFrame, root: str, decider: Callable[[Column, Column], Column
     opened = F.lit("NOOP") if decider is None else F.coalesce(decider(F.col("text"), F.col("target_text")), F.lit("NOOP"))
     decided = asked.withColumns({"op": F.when(F.col("rule") == "UNDECIDED", opened).otherwise(F.col("rule")), "by_rule": F.col("rule") != "UNDECIDED"})
     put(_events(put(decided, "decisions")), "events")
-    spark.range(1).select(F.lit(len(runs)).cast("long").alias("number"), F.lit(name).alias("run")).coalesce(1).write.mode("append").json(f"{root}/manifest")
+    commit(spark, root, len(runs), name)
     return name
 
 

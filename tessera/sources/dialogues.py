@@ -63,6 +63,19 @@ REPLY = {
 WONDER_SQL = (f"select o_orderkey as query_id, case o_orderkey % {len(WONDER)} {' '.join(f'when {i} then {t}' for i, t in enumerate(WONDER))} end as question, "
               f"case {K} % {len(REPLY)} {' '.join(f'when {i} then {t}' for i, t in REPLY.items())} end as reply from orders")
 
+#: What customers state about themselves; the session's shop and date come with a turn.
+STATED = [
+    joined("'I play the playlist on Spotify that I created, called \"'", PLACE, "' Nights\", every day.'"), joined("'My daily commute takes '", N, "'0 minutes, each way.'"), joined("'I redeemed a $'", N, "' coupon on '", THING, "' last week.'"),
+    joined("'I finished my degree in '", JOB, "' studies, at last.'"), joined("'We saw a production of The '", PLACE, "' Story? It is a play.'"), joined("'For my commute, which takes '", N, "' hours, I have music. My degree in '", THING, "' helps.'"), "'Where is the camping trip?'",
+]
+STATED_SQL = (f"select o_custkey as owner, o_orderkey as seq, case when o_orderkey % 11 = 5 then 'assistant' else 'user' end as role, case o_orderkey % {len(STATED)} {' '.join(f'when {i} then {t}' for i, t in enumerate(STATED))} end as text, "
+              f"case when o_orderkey % 6 <> 0 then cast(o_orderdate as date) end as as_of, case when {K} % 3 = 0 then 'Walmart' else 'Target' end as hint from orders")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner, seq, role, text, as_of, hint)."""
+    return spark.sql(STATED_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+
 
 def wonderings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, question, reply of a decomposer)."""

@@ -57,3 +57,22 @@ def publish(state: DataFrame, root: str, version: int) -> str:
 def current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.schema("version long").json(f"{root}/manifest").agg(F.max("version")).first()[0]
     return spark.read.parquet(f"{root}/snapshots/{version:08d}")
+
+
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Names of the whole runs below a root, oldest first (one line a run)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return [r["run"] for r in spark.read.schema("number long, run string").json(f"{root}/manifest").orderBy("number").collect()]
+
+
+def commit(spark: SparkSession, root: str, number: int, run: str) -> None:
+    """The line that makes the files of a run count; written after them."""
+    spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(run).alias("run")).coalesce(1).write.mode("append").json(f"{root}/manifest")
+
+
+def runs_of(spark: SparkSession, folder: str, runs: list[str], schema: str) -> DataFrame:
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/{r}" for r in runs])
