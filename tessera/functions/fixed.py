@@ -255,3 +255,37 @@ LEXICAL_BOOSTS = (
     (r"\bmodel kits?\b", r"\b(?:model kit|kits?|revell|tamiya|spitfire|tiger|bomber|camaro)\b", None, 1.25), (r"\bmodel kits?\b", r"\b\d+/\d+\s+scale\b", None, 0.75), (r"\bprojects?\b", r"\b(?:led|lead|leading)\b", None, 1.25),
 )
 LEXICAL_WEIGHT, USER_POINTS, ASSISTANT_POINTS = 4.0, 1.25, -0.25
+#: What is no answer. Labels alone, or with two characters after them, in normalised text.
+SCAFFOLD = (
+    "evidence window|matched turn|nearby context|sub answer|subanswer|candidates|matching facts|matching fact|reviewing the candidates|reviewing candidates|i dont know|i do not know|no information|not mentioned"
+    "|final answer|verified evidence|no evidence|no candidates")
+SCAFFOLD_ALONE = "answer|question|evidence|summary|facts|context|session|turn|role user|role assistant|user|assistant|system"
+ROLE_PREFIX = r"(?i)^\s*(?:-\s+)?(?:turn\s+\d+\s+)?\(?(?:user|assistant|system)\)?\s*:"
+INTRO = (
+    r"(?i)^\s*(?:sure(?:,?\s+(?:here(?:'?s)?|here\s+(?:are|is)|let\s+me|i'?ll|i\s+can|absolutely|of\s+course))?|of\s+course(?:!|,)?|absolutely(?:!|,)?|certainly(?:!|,)?|definitely(?:!|,)?|great\s+question(?:!|,)?"
+    r"|that'?s\s+a\s+great\s+question|here(?:'?s|\s+(?:is|are|you\s+go))|here\s+are\s+(?:some|a\s+few|the|\d+)|i'?d\s+be\s+happy\s+to|i\s+would\s+be\s+happy\s+to"
+    r"|let\s+me\s+(?:help|know|see|think|check|share|give|provide)|good\s+(?:question|point)|happy\s+to\s+help)\b")
+REFUSAL = r"(?i)i don't know|i do not know|i'm not sure|i am not sure|no information|not mentioned|unclear|no idea"
+ANALYSIS = r"(?i)^\s*(?:based on|looking at|after reviewing|considering|reviewing|the (?:answer|evidence) (?:is|suggests|indicates)|according to|it (?:seems|appears|looks)|i (?:would|think|believe|am))\b"
+LABEL_LINE = r"(?i)^\s*(?:occasion|topic|subject|category|tags?|date|time|location|venue|event|type|notes?|context|setting|gift|recipient|present|item|reminder|attendees?)\s*:"
+BOLD_LINE = r"(?s)^(?:\*\*.*\*\*|__.*__)$"
+REQUEST = (
+    r"(?i)^\s*(?:can\s+you|could\s+you|would\s+you|will\s+you|please|help\s+me|tell\s+me|let\s+me\s+know|may\s+I|do\s+you\s+have\s+any|any\s+(?:advice|recommendations?|suggestions?|tips)|how\s+(?:do|would|can|could)\s+I"
+    r"|brainstorm|generate|create|write|make|draft|draw|design|build|give\s+me|show\s+me|find\s+me|search\s+for|come\s+up\s+with|list\s+(?:out|some|the|all)|suggest\s+(?:some|a\s+few|the)|recommend\s+(?:some|a\s+few|the)"
+    r"|explain\s+(?:how|why|the|what)|describe\s+(?:how|the|a)|outline\s+(?:the|a|some)|prepare\s+(?:a|the|some)|summari[sz]e\s+(?:the|a)|compare\s+(?:the|these|a)|provide\s+(?:me\s+with\s+|a\s+|some\s+|the\s+)?)\b")
+TIMESTAMP_JUNK = r"(?i)\b\d{1,3}\s+(?:for|share|principles|every|worked|applied|completely|as|of|is|in|on|to|with|from|by|the|and|or|but)\b"
+MATCHING_FACTS = r"(?is)^\s*matching\s+facts?\s*:.*?(sub[-\s]?answer\s*:|\z)"
+SUB_ANSWER = r"(?is)sub[-\s]?answer\s*:\s*(.+?)\s*\z"
+#: What an answer of a type must hold (lower-case text), in any one of the patterns of each group.
+NUMBER_SHAPE = (r"\d|(?:^|[^a-z])(?:zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|hundred)(?:[^a-z]|$)")
+UNIT_SHAPE = r"(?:^|[^a-z])(?:second|minute|hour|day|week|month|year|min|hr|sec|yr)s*(?:[^a-z]|$)"
+DATE_SHAPE = (
+    r"\d|january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+    r"|today|yesterday|tomorrow|last|next|this|ago|morning|afternoon|evening|night|weekend|\b(?:mon|tues?|wed|thurs?|fri|sat|sun)(?:day)?\b")
+NAME_SHAPE = r"\b[A-Z][a-zA-Z]+\b"
+PLACE_WORDS = r"store|shop|app|website|venue|park|library|office|school|university|college|restaurant"
+EVENT_START = r"(?i)^\s*(?:redeemed|bought|attended|saw|did|spent)\b"
+ADVICE_START = r"^(?:you should|it is recommended|consider |try |i recommend|you could|you might)"
+ECHO_STOP_WORDS = (
+    "a an the and or but of to in on at for from with by as is are was were be been being do does did have has had i me my mine we us our you your he she it they them their "
+    "what when where who whom which why how that this these those any some").split()

@@ -650,4 +650,4 @@ def stream_promote(spark, d):
     return spark.read.parquet(sink)
 
 
-from tessera.plans import evals, evidence, grounding, memory, pages, promotions, questions, rules  # noqa: E402, F401  (registers its queries)
+from tessera.plans import answers, evals, evidence, grounding, memory, pages, promotions, questions, rules  # noqa: E402, F401  (registers its queries)

@@ -76,6 +76,21 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(owner, seq, role, text, as_of, hint)."""
     return spark.sql(STATED_SQL.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
 
+TOWN, MATTER, WHO = pick(PLACES, "c_custkey"), pick(THINGS, "c_custkey"), pick(NAMES, "c_custkey")
+ANSWERED = [
+    joined("'7 '", MATTER), joined("'Matching facts: x'", "chr(10)", "'Sub-answer: '", TOWN), joined("'I don'", "chr(39)", "'t know.'"), joined("'Based on the evidence, it is '", TOWN), "'  '", "'user'", "'turn 1 (user): hi'", "'Sure!'",
+    joined("chr(123)", "'\"final_answer\": \" '", TOWN, "' Market. \"'", "chr(125)"), "'Matching facts: a b'", joined("'- one'", "chr(10)", "'* two'", "chr(10)", "'The '", TOWN, "' Market.'"), "'forty minutes'", "'you should try tea'", "'last week'", "'a market'",
+    "'Can you help me?'", "'110 for'", "'**Birthday**'", "'Topic: tea'", joined("'We bought '", MATTER, "' at home.'"), "'Candidates: 1'", joined("'I used to live in '", TOWN), joined("'My friend '", WHO, "' visited the lake'"), "'Sure, here are three good ideas for your next trip'",
+]
+TYPES = ("count", "duration", "date_time", "location", "person", "preference", "knowledge_update", "generic_fact")
+#: Answers of a model to each customer, one of each form.
+ANSWERED_SQL = " union all ".join(f"select c_custkey * {len(ANSWERED)} + {i} as answer_id, c_custkey as session, {pick(TYPES, f'c_custkey + {i}')} as question_type, {a} as reply from customer" for i, a in enumerate(ANSWERED))
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(answer_id, session, question_type, reply)."""
+    return spark.sql(ANSWERED_SQL.replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+
 
 def wonderings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, question, reply of a decomposer)."""
