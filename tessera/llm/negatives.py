@@ -11,7 +11,8 @@ Centroids are fitted on a bounded sample (``SAMPLE_ROWS`` rows are drawn in the
 indexed. Lists are cut into chunks of bounded size by a random deal, so a vector with a third of all rows fills
 many chunks. Anchors travel packed to the chunks that they ask for and meet them in a shuffle join on (list, chunk); a
 task holds one packed block of anchors and one chunk. Only the centroids and the sizes and radii of lists (at most
-``MAX_LISTS`` rows) are broadcast.
+``MAX_LISTS`` rows) are broadcast. All other joins ask for a merge of sorted sides: Spark would guess the size of a side from its
+compressed files, where packed rows and repeated asks look far smaller than they are, and gather it on the driver.
 
 Defined results: rows with a null id, label or vector, or a null or non-finite component, take no part. Shorter vectors count
 as continued with zeros. Components are floored after scaling and held within ``LIMIT`` either way, which floats of
@@ -39,6 +40,8 @@ LIMIT = 1 << 25
 SAMPLE_ROWS = 1 << 14
 MAX_LISTS = 1024
 ITERATIONS = 8
+#: Rows whose distances from all centroids are held at once.
+NEAREST_ROWS = 1024
 #: Bytes of vectors in a chunk of a list, and rows of it at most; the same for a block of anchors.
 CHUNK_BYTES, CHUNK_ROWS = 1 << 19, 2048
 BLOCK_BYTES, BLOCK_ROWS = 1 << 17, 512
@@ -84,7 +87,15 @@ def lloyd(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return np.argmin((centroids**2).sum(1) - 2 * (x @ centroids.T), axis=1)
+    """The nearest centroid of each row, ``NEAREST_ROWS`` rows at a time: all distances at once would take rows times lists."""
+    square = (centroids**2).sum(1)
+    parts = [np.argmin(square - 2 * (x[i : i + NEAREST_ROWS] @ centroids.T), axis=1) for i in range(0, len(x), NEAREST_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def merged_with(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two shuffled and sorted sides, whatever their sizes seem to be."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
 
 
 class Index(NamedTuple):
@@ -229,14 +240,14 @@ def search(queries: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
     while widest and begin < n_lists:
         asked = shipped(state).select("q", "vec_id", "label", "v", "floor", "high").mapInArrow(asks(begin, end), ASKS)
         with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(PACKED_ROWS)):
-            new = written(asked.join(index.lists, ["list", "chunk"]).mapInArrow(answer, FOUND))
+            new = written(merged_with(asked, index.lists, ["list", "chunk"]).mapInArrow(answer, FOUND))
         every = new if found is None else found.unionByName(new)
         merged = written(every.withColumn("_k", F.row_number().over(ranked)).where(F.col("_k") <= k).drop("_k"))
         discard(*[t for t in (new, found) if t is not None])
         found, begin, end = merged, end, end * FURTHER
         full = found.groupBy("q", "w").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
         reached = full.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("reached"))
-        state = queries.join(reached, "q", "left").withColumn("floor", F.transform(
+        state = merged_with(queries, reached, "q", "left").withColumn("floor", F.transform(
             "low", lambda x, i: F.greatest(x, F.element_at("reached", i)))).drop("reached")
     return found if found is not None else spark.createDataFrame([], FOUND)
 
@@ -267,11 +278,11 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     of_anchor = written(found.groupBy("q").agg(order.alias("p")))  # at most ``positives`` each
     # the least n with least_percent * score <= 100 * n
     least = lambda x: F.call_function("div", x * least_percent + 99 - F.pmod(x * least_percent + 99, F.lit(100)), F.lit(100))
-    asked = anchors.join(of_anchor, "q").select(
+    asked = merged_with(anchors, of_anchor, "q").select(
         "q", "vec_id", "label", "v", F.transform("p", lambda x: least(x["score"])).alias("low"), F.transform("p", lambda x: x["score"]).alias("high"))
     hard = search(written(asked), index, False, negatives)
     rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.desc("score"), "vec_id"))
-    pairs = anchors.select("q", F.col("vec_id").alias("anchor_id")).join(of_anchor, "q").select("q", "anchor_id", F.posexplode("p").alias("w", "p"))
+    pairs = merged_with(anchors.select("q", F.col("vec_id").alias("anchor_id")), of_anchor, "q").select("q", "anchor_id", F.posexplode("p").alias("w", "p"))
     ranked = hard.select("q", "w", rank.alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return pairs.join(ranked, ["q", "w"]).select(
+    return merged_with(pairs, ranked, ["q", "w"]).select(
         "anchor_id", F.col("p.vec_id").alias("positive_id"), "rank", "negative_id", F.col("p.score").alias("positive_score"), "negative_score")

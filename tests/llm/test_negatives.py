@@ -72,3 +72,28 @@ def test_many_chunks(spark, monkeypatch, chunk_rows):
     index = negatives.build(negatives.prepared(spark.createDataFrame([(*r, 3) for r in table], SCHEMA)))
     sizes = [len(r["ids"]) // 8 for r in index.lists.collect()]
     assert sum(sizes) == 200 and max(sizes) < 40  # dealt at random, the hot vector too
+
+
+def test_no_side_of_a_join_is_gathered_on_the_driver(spark, monkeypatch):
+    """Packed rows and repeated asks look small by their files; no join may broadcast them."""
+    monkeypatch.setattr(negatives, "NEAREST_ROWS", 3)
+    rows = spark.createDataFrame([(i, i % 3, [float((i * 7 + j) % 11) / 11 for j in range(4)]) for i in range(60)], "vec_id long, label int, embedding array<double>")
+    joins = []
+    join = type(rows).join
+
+    def seen(self, other, *a, **b):
+        joins.append(join(self, other, *a, **b))
+        return joins[-1]
+
+    monkeypatch.setattr(type(rows), "join", seen)  # the class of this session's frames
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        found = negatives.mine(negatives.prepared(rows), F.col("vec_id") % 20 == 0)
+        plans = [j._jdf.queryExecution().sparkPlan().toString() for j in joins]
+        assert found.count() > 0 and sum("BroadcastHashJoin" in p for p in plans) == 1  # sizes and radii of lists only
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    x = np.arange(40.0).reshape(10, 4)
+    assert negatives.nearest(x, x[::3]).tolist() == [0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+    assert negatives.nearest(x[:0], x).tolist() == []
