@@ -1,5 +1,6 @@
 """Scores of a set of queries against a whole memory, block by block: rows travel packed, so that a task scores a block of
-queries against a block of memory in one matrix product or one pass over postings, and hands on the best of each only."""
+queries against a block of memory in one matrix product or one pass over postings. A task holds the best of each query over
+all blocks that it has seen, and hands on those only; what falls behind them is neither rounded nor sorted."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -15,9 +17,13 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from tessera.sources.shared import ship
 
 #: Rows of a packed block of memory and of queries; packed blocks of queries that are broadcast together.
-MEMORY_ROWS, QUERY_ROWS, TOGETHER = 2048, 512, 64
-#: Values of arrays in a packed block.
-BLOCK_VALUES = 1 << 19
+MEMORY_ROWS, QUERY_ROWS, TOGETHER = 2048, 2048, 16
+#: Values of arrays in a packed block, and blocks that are cut from rows at once.
+BLOCK_VALUES, AT_ONCE = 1 << 19, 4
+#: Pairs of packed blocks that a worker is handed at once, and queries of a block that are scored at once.
+PAIRS, SCORED = 32, 512
+#: How far scores that are equal after rounding may lie apart, with room.
+NEAR = 1e-11
 #: Digits of a cosine in which equal ones agree, however the sums were taken.
 TIE_DIGITS = 12
 #: A gram of one query in so many is common. Common grams, and memories, whose presence is held as a matrix at once.
@@ -26,6 +32,21 @@ OFTEN, WIDE, TALL = 25, 1 << 13, 256
 HELD = 1 << 22
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to ``rows`` rows or ``AT_ONCE`` times ``BLOCK_VALUES`` values, so that the size of a block does not
+    depend on that of a batch."""
+    held, n, values = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        values += b.nbytes // 8
+        if n >= rows or values >= AT_ONCE * BLOCK_VALUES:
+            yield pa.concat_batches(held)
+            held, n, values = [], 0, 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
     """Rows as arrays, in blocks of at most ``size`` rows and about ``BLOCK_VALUES`` values of an array column."""
     ship(rows.sparkSession)
@@ -33,7 +54,7 @@ def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
     listed = [f.name for f in rows.schema.fields if isinstance(f.dataType, ArrayType)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, AT_ONCE * size):
             b = b.sort_by(sort)
             values = np.cumsum(sum(np.nan_to_num(b.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(float)) for c in listed)) // BLOCK_VALUES
             cuts = np.flatnonzero((np.diff(np.arange(b.num_rows) // size) != 0) | (np.diff(values) != 0)) + 1
@@ -45,14 +66,14 @@ def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str]) -> list[DataFrame]:
-    """Packed memory beside packed blocks of queries, some blocks at a time: as many plans as there are broadcasts."""
+def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str], rows: int) -> list[DataFrame]:
+    """Packed memory beside packed blocks of at most ``rows`` queries, some blocks at a time: as many plans as there are broadcasts."""
     n = queries.count()
     parts = max(1, -(-n // (QUERY_ROWS * TOGETHER)))
-    held = packed(memory, MEMORY_ROWS, sort[1])
+    held = packed(memory, MEMORY_ROWS, sort[1]).repartition(2 * memory.sparkSession.sparkContext.defaultParallelism)  # files may have few splits
     of = lambda i: queries.where(F.pmod(F.xxhash64(sort[0]), F.lit(parts)) == i) if parts > 1 else queries
-    blocks = [packed(of(i).coalesce(max(1, min(8, n // parts // QUERY_ROWS))), QUERY_ROWS, sort[0]) for i in range(parts)]
-    return [held.crossJoin(F.broadcast(b)) for b in blocks]  # of blocks, TOGETHER of them and a few more at most
+    blocks = [packed(of(i).coalesce(max(1, min(8, n // parts // rows))), rows, sort[0]) for i in range(parts)]
+    return [held.crossJoin(F.broadcast(b)) for b in blocks]  # QUERY_ROWS * TOGETHER queries and a few more at most
 
 
 def best(score: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +88,51 @@ def best(score: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return r[first], c[first]
 
 
+class Leaders:
+    """The best ``k`` of each query of a block over blocks of memory, in the order of rounded score and id."""
+
+    def __init__(self, asks: pa.Array, k: int, least: float = -np.inf):
+        self.asks, self.k, self.floor = asks, k, np.full(len(asks), least)
+        self.rows = None
+
+    def wanted(self, first: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of scores that may be among the best, for queries from ``first`` on; -inf is no score."""
+        floor = self.floor[first : first + len(score)].copy()
+        fresh = np.flatnonzero(np.isneginf(floor))
+        if len(fresh) and score.shape[1] > self.k:
+            floor[fresh] = np.partition(score[fresh], -self.k, axis=1)[:, -self.k]
+        return np.divmod(np.flatnonzero(score >= np.maximum(floor - NEAR, np.finfo(float).min)[:, None]), score.shape[1])
+
+    def take(self, row: np.ndarray, score: np.ndarray, digits: int | None, ids: pa.Array, *more: pa.Array) -> None:
+        if not len(row):
+            return
+        cells = [pa.array(row), pa.array(score + 0.0), ids, *more]
+        if self.rows is not None:
+            cells = [pa.concat_arrays([a, b]) for a, b in zip(self.rows, cells)]
+        row, score, names = (c.to_numpy(zero_copy_only=False) for c in cells[:3])
+        score = score if digits is None else score.round(digits)
+        names = np.unique(names, return_inverse=True)[1] if names.dtype == object else names
+        order = np.lexsort((names, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = order[place < self.k]
+        last = order[place == self.k - 1]
+        self.floor[cells[0].to_numpy()[last]] = score[last]
+        self.rows = [c.take(pa.array(keep)) for c in cells]
+
+    def out(self) -> list[pa.Array]:
+        row, score, *others = self.rows
+        return [self.asks.take(row), score, *others]
+
+
+def leaders(all_of: dict, asks: pa.Array, k: int, least: float = -np.inf) -> Leaders:
+    """Of a block of queries, known by its ids."""
+    key = tuple(asks.to_pylist())
+    if key not in all_of:
+        all_of[key] = Leaders(asks, k, least)
+    return all_of[key]
+
+
 def unpacked(row: pa.RecordBatch, name: str) -> pa.Array:
     return row.column(name).flatten()
 
@@ -89,25 +155,38 @@ def joined_type(queries: DataFrame, memory: DataFrame, *more: StructField) -> St
 
 
 def cosines(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool) -> DataFrame:
-    """(query_id, id, kind, score): the k best of each block of ``memory`` (id, kind, v) for each of ``queries`` (query_id, q and,
+    """(query_id, id, kind, score): the k best of each task's blocks of ``memory`` (id, kind, v) for each of ``queries`` (query_id, q and,
     for ``same_kind``, query_kind), other rows than the query's id only. Unlike lengths and missing vectors score 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, Leaders] = {}
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 (q, q_size), (m, m_size) = matrix(unpacked(row, "q")), matrix(unpacked(row, "v"))
-                dim = min(q.shape[1], m.shape[1])
-                score = np.where(q_size[:, None] == m_size, q[:, :dim] @ m[:, :dim].T, 0.0) + 0.0
                 asks, ids, kinds = unpacked(row, "query_id"), unpacked(row, "id"), unpacked(row, "kind")
-                fits = different(asks, ids)
-                if same_kind:
-                    fits &= ~different(unpacked(row, "query_kind"), kinds)
-                r, c = best(score.round(TIE_DIGITS), fits, k)
-                yield pa.RecordBatch.from_arrays([asks.take(pa.array(r)), ids.take(pa.array(c)), kinds.take(pa.array(c)), pa.array(score[r, c])], ["query_id", "id", "kind", "score"])
+                dim, mine = min(q.shape[1], m.shape[1]), leaders(seen, asks, k)
+                alike = not len(q_size) or not len(m_size) or q_size.min() == q_size.max() == m_size.min() == m_size.max()
+                own = pc.is_in(asks, ids).to_numpy(zero_copy_only=False)
+                for first in range(0, len(asks), SCORED):
+                    some = slice(first, first + SCORED)
+                    score = q[some, :dim] @ m[:, :dim].T
+                    if not alike:
+                        score[q_size[some, None] != m_size] = 0.0
+                    for r in np.flatnonzero(own[some]):
+                        score[r, pc.equal(ids, asks[first + int(r)]).to_numpy(zero_copy_only=False)] = -np.inf
+                    if same_kind:
+                        score[different(unpacked(row, "query_kind")[some], kinds)] = -np.inf
+                    r, c = mine.wanted(first, score)
+                    at = pa.array(c)
+                    mine.take(r + first, score[r, c], TIE_DIGITS, ids.take(at), kinds.take(at))
+        for x in seen.values():
+            if x.rows is not None:
+                asked, score, ids, kinds = x.out()
+                yield pa.RecordBatch.from_arrays([asked, ids, kinds, score], ["query_id", "id", "kind", "score"])
 
     out = joined_type(queries, memory, memory.schema["kind"], *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"))])
+    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), QUERY_ROWS)])
 
 
 def in_common(who: np.ndarray, gram_q: np.ndarray, doc: np.ndarray, gram_m: np.ndarray, nq: int, nm: int, n_grams: int) -> np.ndarray:
@@ -142,15 +221,25 @@ def in_common(who: np.ndarray, gram_q: np.ndarray, doc: np.ndarray, gram_m: np.n
 
 
 def jaccards(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(query_id, id, score): the k best of each block of ``memory`` (id, grams) for each of ``queries`` (query_id, asked), by the
+    """(query_id, id, score): the k best of each task's blocks of ``memory`` (id, grams) for each of ``queries`` (query_id, asked), by the
     share of their distinct 64-bit grams that is common, ``threshold`` at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, Leaders] = {}
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
                 asked, held = unpacked(row, "asked"), unpacked(row, "grams")
                 nq, nm = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (asked, held))
+                asks, ids = unpacked(row, "query_id"), unpacked(row, "id")
+                mine = leaders(seen, asks, k, threshold)
+                # no more can be common than the shorter one has: rows whose sizes lie too far apart are not counted
+                few, many = np.minimum(nq[:, None], nm), np.maximum(np.maximum(nq[:, None], nm), 1)
+                near = (few > 0) & (few >= (mine.floor - NEAR)[:, None] * many)
+                rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(rows):
+                    continue
+                asked, held, nq, nm = asked.take(pa.array(rows)), held.take(pa.array(columns)), nq[rows], nm[columns]
                 words, inverse = np.unique(asked.flatten().to_numpy(), return_inverse=True)
                 grams = held.flatten().to_numpy()
                 at = np.minimum(np.searchsorted(words, grams), max(0, len(words) - 1))
@@ -158,11 +247,15 @@ def jaccards(queries: DataFrame, memory: DataFrame, k: int, threshold: float) ->
                 who, doc, at = np.repeat(np.arange(len(nq)), nq), np.repeat(np.arange(len(nm)), nm)[hit], at[hit]
                 common = in_common(who, inverse, doc, at, len(nq), len(nm), len(words))
                 score = common / np.maximum(nq[:, None] + nm - common, 1)
-                r, c = best(score, (common > 0) & (score >= threshold), k)
-                yield pa.RecordBatch.from_arrays([unpacked(row, "query_id").take(pa.array(r)), unpacked(row, "id").take(pa.array(c)), pa.array(score[r, c])], ["query_id", "id", "score"])
+                r, c = np.nonzero((common > 0) & (score >= np.maximum(mine.floor[rows], threshold)[:, None]))
+                mine.take(rows[r], score[r, c], None, ids.take(pa.array(columns[c])))
+        for x in seen.values():
+            if x.rows is not None:
+                asks, score, ids = x.out()
+                yield pa.RecordBatch.from_arrays([asks, ids, score], ["query_id", "id", "score"])
 
     out = joined_type(queries, memory, *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"))])
+    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), min(SCORED, QUERY_ROWS))])
 
 
 _WORD_CHARACTERS: list[np.ndarray] = []

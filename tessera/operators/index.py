@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import blocks
-from tessera.sources.shared import shared_folder, ship
+from tessera.sources.shared import shared_folder, ship, written
 
 SAMPLE_ROWS, MAX_LISTS, ROUNDS, SEED = 1 << 14, 1024, 8, 11
 BLOCK_ROWS = 2048
@@ -94,9 +94,9 @@ def search(queries: DataFrame, index: Index, probes: int, k: int) -> DataFrame:
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, parts = shared.value
-        for b in batches:
-            for i in range(0, b.num_rows, blocks.QUERY_ROWS):
-                some = b.slice(i, blocks.QUERY_ROWS)
+        for b in blocks.gathered(batches, blocks.AT_ONCE * blocks.SCORED):
+            for i in range(0, b.num_rows, blocks.SCORED):
+                some = b.slice(i, blocks.SCORED)
                 near = np.argsort(-(wide(some.column("q"), dim) @ centroids.T), axis=1, kind="stable")[:, :probes]
                 for which in np.unique(near):
                     mine = pa.array(np.flatnonzero((near == which).any(1)))
@@ -116,7 +116,7 @@ def search(queries: DataFrame, index: Index, probes: int, k: int) -> DataFrame:
     asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).mapInArrow(asks, f"list int, part int, query_id array<{kind}>, q array<array<double>>")
     found = asked.join(table, ["list", "part"]).mapInArrow(answer, f"query_id {kind}, id {table.schema['ids'].dataType.elementType.simpleString()}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", blocks.TIE_DIGITS)), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return written(found.withColumn("rank", rank).where(F.col("rank") <= k), blocks.PAIRS)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

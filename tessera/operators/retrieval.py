@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text as tx
 from tessera.operators import blocks
+from tessera.sources.shared import written
 
 #: Terms of all queries up to which documents are filtered where they are read.
 MAX_TERMS = 500
@@ -24,7 +25,7 @@ def knn(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool = False)
     """Exact cosine top-k of a stated query set: blocks of queries against blocks of memory, one matrix product for each
     pair, and the best of each block before the shuffle. ``same_kind``: only memories of the query's kind."""
     asked = queries.select("query_id", "q", *(["query_kind"] if same_kind else []))
-    return rank_by(blocks.cosines(asked, memory.select("id", "kind", "v"), k, same_kind), F.desc(F.round("score", blocks.TIE_DIGITS)), k)
+    return written(rank_by(blocks.cosines(asked, memory.select("id", "kind", "v"), k, same_kind), F.desc(F.round("score", blocks.TIE_DIGITS)), k), blocks.PAIRS)
 
 
 def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
@@ -43,7 +44,7 @@ def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame
 def trigram_topk(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
     """Trigram similarity of a stated query set (``grams``: see ``blocks.with_grams``): what grams blocks of queries and blocks of
     memory have in common is a matrix product in a task; no gram is a row of a shuffle."""
-    return rank_by(blocks.jaccards(queries.select("query_id", F.col("grams").alias("asked")), memory.select("id", "grams"), k, threshold), F.desc("score"), k)
+    return written(rank_by(blocks.jaccards(queries.select("query_id", F.col("grams").alias("asked")), memory.select("id", "grams"), k, threshold), F.desc("score"), k), blocks.PAIRS)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -3,11 +3,13 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import blocks, retrieval
+from tessera.sources.shared import written
 
 
 def cosine(a, b):
@@ -100,3 +102,26 @@ def test_index_of_odd_rows(spark, monkeypatch):
     for r in index.search(q, lists, 50, 3).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got[1] == [0, 2, 3] and got[500] == [200, 203, 206]
+
+
+def test_a_task_hands_on_the_best_of_all_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MEMORY_ROWS", 5)
+    rows = spark.createDataFrame([(i, i % 3, [math.cos(i), math.sin(i)], [i % 40, 40 + i % 3]) for i in range(400)], "id long, kind int, v array<double>, grams array<long>").coalesce(1)
+    asked = rows.where("id % 50 = 0")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    near = blocks.cosines(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), rows.select("id", "kind", "v"), 1, False)
+    alike = blocks.jaccards(asked.select(F.col("id").alias("query_id"), F.col("grams").alias("asked")), rows.select("id", "grams"), 1, 0.25)
+    assert 8 <= near.count() <= 8 * tasks and 8 <= alike.count() <= 8 * tasks  # of 80 blocks
+    assert {r["score"] for r in alike.groupBy("query_id").agg(F.max("score").alias("score")).collect()} == {1.0}
+
+
+def test_batches_of_packed_rows_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    found = written(spark.range(100).coalesce(1).mapInArrow(sizes, "n long"), blocks.PAIRS)
+    assert max(r["n"] for r in found.collect()) <= blocks.PAIRS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    joined = list(blocks.gathered(iter([pa.RecordBatch.from_pydict({"x": list(range(3))})] * 5), 6))
+    assert [b.num_rows for b in joined] == [6, 6, 3]
