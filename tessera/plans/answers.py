@@ -43,7 +43,7 @@ SHAPE = _case(
 
 
 def _cleaned(spark, d):
-    return answered(spark, d).select("answer_id", "session", "question_type", an.cleaned(F.col("reply")).alias("answer"))
+    return an.with_cleaned(answered(spark, d), "reply", "answer").select("answer_id", "session", "question_type", "answer")
 
 
 @query(f"with {CLEAN} select answer_id, answer, {SHAPE} as fault from cl")

@@ -48,3 +48,21 @@ def test_support(spark):
     rows = an.claim_faults(answers, claims).orderBy("answer_id").collect()
     assert [r["claim_fault"] for r in rows] == [w for *_, w in SUPPORT] and {r["claim"] for r in rows} == {"kept"}
     assert an.claim_faults(answers.limit(0), claims).count() == 0 and set(an.claim_faults(answers.where("answer_id = 0"), claims.limit(0)).toPandas()["claim_fault"]) == {"no_supporting_claims"}
+
+
+def test_only_open_answers_meet_claims(spark):
+    """One join, on the session, and no pairs for answers that are judged by themselves."""
+    answers = spark.createDataFrame([(1, 1, "Lund", "x"), (2, 1, "**Lund**", "x"), (3, 1, "", "x"), (4, 2, "Lund", "y")], "answer_id int, session int, answer string, other string")
+    found = an.claim_faults(answers, spark.createDataFrame([(1, f"I like tea {i}") for i in range(5)], "session int, claim string"))
+    assert {r["answer_id"]: r["claim_fault"] for r in found.collect()} == {1: "unsupported_by_claim", 2: "answer_is_heading", 3: "empty_answer", 4: "no_supporting_claims"}
+    assert found.columns == [*answers.columns, "claim_fault"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "LeftOuter" in plan
+
+
+def test_cleaned_step_by_step(spark):
+    frame = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(CLEANED)], "i int, r string")
+    found = an.with_cleaned(frame, "r", "x")
+    assert [r["x"] for r in found.orderBy("i").collect()] == [w for _, w in CLEANED]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") <= 2
