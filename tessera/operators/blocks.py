@@ -66,11 +66,13 @@ def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str], rows: int) -> list[DataFrame]:
-    """Packed memory beside packed blocks of at most ``rows`` queries, some blocks at a time: as many plans as there are broadcasts."""
+def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str], rows: int, spread: bool) -> list[DataFrame]:
+    """Packed memory beside packed blocks of at most ``rows`` queries, some blocks at a time: as many plans as there are broadcasts.
+    ``spread``: blocks of memory are dealt to all cores, as a file of vectors has few splits; grams stay where they are made."""
     n = queries.count()
     parts = max(1, -(-n // (QUERY_ROWS * TOGETHER)))
-    held = packed(memory, MEMORY_ROWS, sort[1]).repartition(2 * memory.sparkSession.sparkContext.defaultParallelism)  # files may have few splits
+    held = packed(memory, MEMORY_ROWS, sort[1])
+    held = held.repartition(2 * memory.sparkSession.sparkContext.defaultParallelism) if spread else held
     of = lambda i: queries.where(F.pmod(F.xxhash64(sort[0]), F.lit(parts)) == i) if parts > 1 else queries
     blocks = [packed(of(i).coalesce(max(1, min(8, n // parts // rows))), rows, sort[0]) for i in range(parts)]
     return [held.crossJoin(F.broadcast(b)) for b in blocks]  # QUERY_ROWS * TOGETHER queries and a few more at most
@@ -186,7 +188,7 @@ def cosines(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool) -> D
                 yield pa.RecordBatch.from_arrays([asked, ids, kinds, score], ["query_id", "id", "kind", "score"])
 
     out = joined_type(queries, memory, memory.schema["kind"], *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), QUERY_ROWS)])
+    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), QUERY_ROWS, True)])
 
 
 def in_common(who: np.ndarray, gram_q: np.ndarray, doc: np.ndarray, gram_m: np.ndarray, nq: int, nm: int, n_grams: int) -> np.ndarray:
@@ -255,7 +257,7 @@ def jaccards(queries: DataFrame, memory: DataFrame, k: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([asks, ids, score], ["query_id", "id", "score"])
 
     out = joined_type(queries, memory, *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), min(SCORED, QUERY_ROWS))])
+    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), min(SCORED, QUERY_ROWS), False)])
 
 
 _WORD_CHARACTERS: list[np.ndarray] = []
