@@ -122,6 +122,9 @@ RELATIONS = (
     ("USES", rf"(?i)\b({NAMES})\s+(?:uses?|using|use)\s+({NAMES})"),
     ("CREATED", rf"(?i)\b({NAMES})\s+(?:created|built|developed|authored|made)\s+({NAMES})"),
 )
+#: Marks that no relation reaches across, and what every text with a relation holds.
+RELATION_BORDER = r"""[!"#$%()*+,./:;<=>?@\[\\\]^`{|}~]+"""
+RELATION_VERB = r"(?i)\s(?:works?|working|employed|uses?|using|created|built|developed|authored|made)\s"
 #: Questions that count, those bound to a window of time, and what they ask for.
 COUNTING = r"(?i)\bhow many\b|\bhow much\b|\bhow long\b|\bhow often\b|\b(?:total|number)\s+(?:of|number)\b|\bnumber of\b"
 SCOPED = (
