@@ -1,11 +1,15 @@
-"""Extractive summaries of many texts in one plan: sentences as rows, word counts and scores by windows, and the choice
-under a token budget by one pass over each text's ranked sentences."""
+"""Extractive summaries of many texts in one plan, without a shuffle: the words of a text are sorted and counted inside its
+row, and the choice under a token budget is one pass over its ranked sentences."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 #: Words that do not count, where a sentence ends, and what a word is.
 STOP_WORDS = (
     "a an the and or but if while of at by for with about against between into through during before after above below to from up down in out on off over under "
@@ -44,23 +48,42 @@ def chosen(ranked: Column, max_tokens: int) -> Column:
     return F.aggregate(ranked, start, step, lambda a: a["taken"])
 
 
+def runs(sorted_values: Column, key: Callable[[Column], Column]) -> Column:
+    """Places of equal keys in a sorted array: structs of at (from 0) and n."""
+    n = F.size(sorted_values)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda k: (k == 0) | (key(F.get(sorted_values, k - 1)) != key(F.get(sorted_values, k))))
+    return let(first, lambda f: F.transform(f, lambda at, r: F.struct(at.alias("at"), (F.coalesce(F.get(f, r + 1), n) - at).cast("long").alias("n"))))
+
+
+def part(values: Column, run: Column) -> Column:
+    return F.slice(values, run["at"] + 1, run["n"].cast("int"))
+
+
+def summary_of(found: Column, max_tokens: int) -> Column:
+    """The summary of the sentences of one text: words are sorted within the row, so that equal ones lie together."""
+    counts = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    said = F.array_sort(F.flatten(F.transform(found, lambda s, i: F.transform(counts(s), lambda w: F.struct(w.alias("word"), i.alias("i"))))))
+
+    def shared(words: Column, same: Column) -> Column:
+        """Of each countable word its sentence and how often the text has it, and the most that it has of any: (most, by sentence)."""
+        by = F.array_sort(F.flatten(F.transform(same, lambda r: F.transform(part(words, r), lambda x: F.struct(x["i"].alias("i"), r["n"].alias("count"))))))
+        return F.struct(F.array_max(F.transform(same, lambda r: r["n"])).alias("most"), by.alias("by"))
+
+    def ranked(most: Column, by: Column) -> Column:
+        total = lambda r: F.aggregate(part(by, r), F.lit(0).cast("long"), lambda a, x: a + x["count"])
+        weight = let(runs(by, lambda x: x["i"]), lambda rs: F.map_from_entries(F.transform(rs, lambda r: F.struct(F.get(by, r["at"])["i"], total(r) / most / F.sqrt(r["n"])))))
+        return let(weight, lambda m: F.array_sort(F.transform(found, lambda s, i: F.struct(
+            (-F.round(F.coalesce(F.element_at(m, i), F.lit(0.0)) + EARLY * (1 - i / F.greatest(F.lit(1), F.size(found) - 1)), 9)).alias("s"), i.alias("i"), F.size(words_of(s)).alias("cost")))))
+
+    scored = let(said, lambda words: let(runs(words, lambda x: x["word"]), lambda same: let(shared(words, same), lambda x: F.when(F.size(words) > 0, ranked(x["most"], x["by"])))))
+    taken = let(scored, lambda r: F.when(r.isNotNull(), F.array_sort(chosen(r, max_tokens))))
+    return let(taken, lambda t: F.when(t.isNotNull(), F.array_join(F.transform(t, lambda i: F.get(found, i)), " ")).otherwise(truncated(F.array_join(found, " "), max_tokens)))
+
+
 def summaries(texts: DataFrame, max_tokens: int = 500) -> DataFrame:
-    """(id, summary) of each (id, text), whose id is its own. A sentence scores by how frequent its words are in the text
-    and by how early it comes. A text without countable words is cut where its budget ends."""
+    """(id, summary) of each (id, text). A sentence scores by how frequent its words are in the text and by how early it
+    comes. A text without countable words is cut where its budget ends. All work is inside the row."""
     marked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " "), SENTENCE_END, f"$1{MARK}$2")
     split = F.filter(F.transform(F.split(marked, MARK), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    found = texts.select("id", split.alias("found"))
-    said = found.select("id", F.size("found").alias("n"), F.posexplode("found").alias("i", "sentence"))
-    words = F.filter(F.regexp_extract_all(F.lower("sentence"), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
-    counted = said.select("id", "i", F.explode(words).alias("word")).groupBy("id", "i", "word").agg(F.count(F.lit(1)).alias("here"))
-    count = F.sum("here").over(Window.partitionBy("id", "word"))
-    top = F.max("count").over(Window.partitionBy("id"))
-    frequent = counted.withColumn("count", count).withColumn("top", top).groupBy("id", "i").agg(
-        F.sum(F.col("here") * F.col("count")).alias("sum"), F.sum("here").alias("words"), F.max("top").alias("top"))
-    early = EARLY * (1 - F.col("i") / F.greatest(F.lit(1), F.col("n") - 1))
-    score = F.round(F.coalesce(F.col("sum") / F.col("top") / F.sqrt("words"), F.lit(0.0)) + early, 9)
-    scored = said.join(frequent, ["id", "i"], "left").select("id", "words", F.struct((-score).alias("s"), "i", F.size(words_of(F.col("sentence"))).alias("cost")).alias("x"))
-    ranked = scored.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("ranked"), F.sum("words").alias("words"))
-    taken = F.transform(F.array_sort(chosen(F.col("ranked"), max_tokens)), lambda i: F.get("found", i))
-    summary = F.when(F.col("words") > 0, F.array_join(taken, " ")).otherwise(truncated(F.array_join("found", " "), max_tokens))
-    return found.join(ranked, "id", "left").select("id", F.coalesce(summary, F.lit("")).alias("summary"))
+    return texts.select("id", F.coalesce(let(split, lambda found: summary_of(found, max_tokens)), F.lit("")).alias("summary"))
