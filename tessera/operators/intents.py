@@ -44,14 +44,13 @@ def parts(reply: Column, question: Column) -> Column:
     """The first ``MAX_PARTS`` different lines of a decomposer's reply, without numbers and bullets. The question itself, if
     there are none, or if it asks for one fact of the user's own and yet was cut up."""
     lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, fx.BULLET, "")))
-    whole = F.filter(lines, lambda x: x != "")
-    some = F.slice(F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, 1, i), lambda y: F.lower(y) == F.lower(x))), 1, MAX_PARTS)
+    some = tx.let(F.filter(lines, lambda x: x != ""), lambda whole: F.slice(F.filter(whole, lambda x, i: ~F.exists(F.slice(whole, 1, i), lambda y: F.lower(y) == F.lower(x))), 1, MAX_PARTS))
     one = F.lit(True)
     for p in fx.ONE_FACT:
         one = one & question.rlike(p)
     for p in fx.NOT_ONE_FACT:
         one = one & ~question.rlike(p)
-    return F.when((F.size(some) == 0) | ((F.size(some) > 1) & one), F.array(question)).otherwise(some)
+    return tx.let(some, lambda s: F.when((F.size(s) == 0) | ((F.size(s) > 1) & one), F.array(question)).otherwise(s))
 
 
 def words(text: Column) -> Column:
@@ -101,4 +100,5 @@ def guarded(questions: DataFrame, asked: str = "question", cut: str = "parts") -
     judged = F.transform("_p", lambda x, i: F.struct(i.cast("long").alias("pos"), x["part"].alias("part"), F.when(~same(x["part"]), drift(F.col("_a"), x["f"])).alias("reason")))
     rows = questions.withColumns({"_a": facets(F.coalesce(asked, F.lit(""))), "_p": seen}).withColumn("_j", judged)
     own = [F.col(f"`{c}`") for c in questions.columns if c != cut]
-    return rows.select(*own, F.expr("not exists(_j, x -> x.reason is null)").alias("fallback"), F.inline("_j"))
+    # an inner generator would be given a filter that computes all of _j once more
+    return rows.select(*own, F.expr("not exists(_j, x -> x.reason is null)").alias("fallback"), F.inline_outer("_j")).where("pos is not null")

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed as fx, text as tx
-from tessera.operators import graph, summaries
+from tessera.operators import graph, intents, summaries
 
 SF = "/root/testdata/sf0.001"
 WORDS = "Ada and Bo work at the Acme Corp; Cy_2 uses Spark-SQL and Dee's tools, the R&D team made\n\tOrbit's  core (Bo built it) uses works at é x’y created a_b developed by was employed by Big Co".split(" ")
@@ -63,3 +63,11 @@ def test_walks_carry_no_paths_through_shuffles(spark):
     assert sorted((r["seed"], r["target"], r["depth"], tuple(r["path"])) for r in made.collect()) == sorted((w[0], w[-1], len(w) - 1, tuple(w)) for w in found)
     # the first edges are shuffled as pairs of nodes
     assert not re.search(r"Exchange hashpartitioning\(target[^\n]*\n[^\n]*Project \[[^\]]*array", plan(made))
+
+
+def test_parts_are_judged_once(spark):
+    frame = spark.createDataFrame([(1, "Where did I get my degree?", ["Where did I get my degree?", "Who visited Lund in 2021?"]), (2, "Where?", []), (3, "Where?", None)], "id int, question string, parts array<string>")
+    made = intents.guarded(frame)
+    tree = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in tree.split("\n") if "Filter" in line and "RLIKE" in line] and tree.count("chronolog") == 2  # the question and its parts
+    assert [(r["id"], r["pos"], r["reason"] is None, r["fallback"]) for r in made.orderBy("pos").collect()] == [(1, 0, True, False), (1, 1, False, False)]
