@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import clamp01
-from tessera.functions.text import strip
+from tessera.functions.text import let, strip
 
 MIN_CONFIDENCE, MIN_CHARS, MAX_CHARS = 0.6, 10, 500
 FACTS = "struct<facts: array<struct<text: string, confidence: string, type: string>>>"
@@ -39,7 +39,7 @@ def facts(reply: Column) -> Column:
     rows = F.transform(parsed(reply, FACTS)["facts"], lambda x: F.struct(
         strip(F.coalesce(x["text"], F.lit(""))).alias("text"), clamp01(F.coalesce(x["confidence"].try_cast("double"), F.lit(0.0))).alias("confidence"), x["type"].alias("type")))
     good = F.filter(rows, lambda x: F.length(x["text"]).between(MIN_CHARS, MAX_CHARS) & (x["confidence"] >= MIN_CONFIDENCE))
-    return F.filter(good, lambda x, i: ~F.exists(F.slice(good, 1, i), lambda y: F.lower(y["text"]) == F.lower(x["text"])))
+    return let(good, lambda g: F.filter(g, lambda x, i: ~F.exists(F.slice(g, 1, i), lambda y: F.lower(y["text"]) == F.lower(x["text"]))))
 
 
 def relations(reply: Column) -> Column:
@@ -49,7 +49,7 @@ def relations(reply: Column) -> Column:
         strip(F.coalesce(x["object"], F.lit(""))).alias("object"), clamp01(F.coalesce(x["confidence"].try_cast("double"), F.lit(0.5))).alias("confidence")))
     good = F.filter(rows, lambda x: (x["subject"] != "") & (x["predicate"] != "") & (x["object"] != ""))
     same = lambda x, y: (F.lower(y["subject"]) == F.lower(x["subject"])) & (y["predicate"] == x["predicate"]) & (F.lower(y["object"]) == F.lower(x["object"]))
-    return F.filter(good, lambda x, i: ~F.exists(F.slice(good, 1, i), lambda y: same(x, y)))
+    return let(good, lambda g: F.filter(g, lambda x, i: ~F.exists(F.slice(g, 1, i), lambda y: same(x, y))))
 
 
 def structured(reply: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.functions import replies
 from tessera.functions import text as tx
 from tessera.operators import promotion
+from tessera.sources.shared import written
 from tessera.sources.store import commit, committed, runs_of
 
 PROMOTE_FROM = 0.75
@@ -62,7 +63,7 @@ def same_attribute(found: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def _facts(blocks: DataFrame) -> DataFrame:
-    rows = blocks.select("id", "namespace", "at", F.posexplode(replies.facts(F.col("reply"))).alias("n", "x"))
+    rows = blocks.select("id", "namespace", "at", F.posexplode_outer("facts").alias("n", "x")).where("n is not null")
     return rows.where(F.col("x.confidence") >= PROMOTE_FROM).select(
         F.concat_ws("/", F.col("id").cast("string"), F.col("n").cast("string")).alias("fact"), F.col("id").alias("block"), "namespace", "at", "x.text", "x.type")
 
@@ -88,11 +89,14 @@ def run(blocks: DataFrame, root: str, decider: Callable[[Column, Column], Column
         df.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in KINDS[kind].split(", ")]).write.parquet(f"{root}/{kind}/{name}")
         return stored(spark, root, kind, [name])
 
-    one = blocks.where("id is not null").groupBy("id").agg(F.min(F.struct("namespace", "at", "reply")).alias("x")).select("id", "x.*")
-    fresh = promotion.unprocessed(one, old["processed"]).withColumns({
-        "whole": replies.parsed(F.col("reply"), replies.FACTS)["facts"].isNotNull(), "digest": F.sha2(F.coalesce("reply", F.lit("")), 256)})
+    new = promotion.unprocessed(blocks.where("id is not null"), old["processed"])
+    one = new.groupBy("id").agg(F.min(F.struct("namespace", "at", "reply")).alias("x")).select("id", "x.*")
+    reply = F.col("reply")
+    fresh = written(one.select(  # replies are parsed once, for quarantine, blocks and facts
+        "id", "namespace", "at", reply.isNull().alias("silent"), replies.parsed(reply, replies.FACTS)["facts"].isNotNull().alias("whole"), F.sha2(F.coalesce(reply, F.lit("")), 256).alias("digest"),
+        replies.facts(reply).alias("facts")))
     broken = fresh.where("not whole").join(old["quarantine"].select("id", "digest").distinct(), ["id", "digest"], "left_anti")
-    waiting = put(broken.withColumn("reason", F.when(F.col("reply").isNull(), "no reply").otherwise("reply does not parse")), "quarantine")
+    waiting = put(broken.withColumn("reason", F.when(F.col("silent"), "no reply").otherwise("reply does not parse")), "quarantine")
     done = put(fresh.where("whole"), "processed")
     if done.isEmpty() and waiting.isEmpty():
         return None  # the folders of this run are in no manifest
