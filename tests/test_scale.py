@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed as fx, text as tx
-from tessera.operators import graph, intents, summaries
+from tessera.operators import candidates, graph, grounding as gr, intents, summaries
 
 SF = "/root/testdata/sf0.001"
 WORDS = "Ada and Bo work at the Acme Corp; Cy_2 uses Spark-SQL and Dee's tools, the R&D team made\n\tOrbit's  core (Bo built it) uses works at é x’y created a_b developed by was employed by Big Co".split(" ")
@@ -71,3 +71,29 @@ def test_parts_are_judged_once(spark):
     tree = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in tree.split("\n") if "Filter" in line and "RLIKE" in line] and tree.count("chronolog") == 2  # the question and its parts
     assert [(r["id"], r["pos"], r["reason"] is None, r["fallback"]) for r in made.orderBy("pos").collect()] == [(1, 0, True, False), (1, 1, False, False)]
+
+
+def test_few_sentences_are_searched_for_what_refuses_them(spark):
+    text = "The " + "1 2 3 4 5 6 7 8 9 0 a-b " * 11 + "shop. "  # digits that may begin a number of a card
+    frame = spark.createDataFrame([(i, text * 400 + "I live in Lisbon. I might live in Rome. My password is in Oslo.") for i in range(40)], "id long, text string").repartition(4).cache()
+    assert frame.count() == 40
+    tree = candidates.durable_facts(frame)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in tree.split("\n") if "Filter CASE" in x or "Filter" in x and "RLIKE" in x)
+    assert line.index("was\\s+born") < line.index("credential")  # what a rule asks comes before what refuses
+    assert {(r["fact"], r["rule"]) for r in candidates.durable_facts(frame).collect()} == {("I live in Lisbon.", "stative-i")}
+
+
+def test_groups_of_a_pattern_are_read_once(spark):
+    frame = spark.createDataFrame([(1, "I have two boats and own 12 melons. The old lamp is worth ten crowns.")], "id long, text string")
+    tree = gr.candidates(frame, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in tree.split("\n") if "Generate explode" in x)
+    assert line.count("RLIKE") == len(gr.EXTRACTORS)  # a clause that a pattern does not match is read once
+    assert [(r["value"], r["unit"]) for r in gr.candidates(frame, ["id"]).where("type = 'count'").orderBy("value").collect()] == [("10", "crowns"), ("12", "melons"), ("2", "boats")]
+
+
+def test_only_asked_sessions_are_searched(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, 1, "user", "I own 3 boats."), (2, 1, "user", "I own 4 boats."), (None, 1, "user", "I own 5 boats.")], "session long, seq long, role string, text string")
+    asked = spark.createDataFrame([(7, 2, "count", "How many boats do I own?"), (8, 2, "count", "How many?")], "query_id long, session long, kind string, question string")
+    for most in (10, 0):  # by a broadcast, by a shuffle join
+        monkeypatch.setattr(gr, "MAX_SESSIONS", most)
+        assert [r["text"] for r in gr.asked_texts(texts, asked).collect()] == ["I own 4 boats."]
