@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from tessera.sources.shared import ship
+from tessera.sources.shared import ship, written
 
 #: Rows of a packed block of memory and of queries; packed blocks of queries that are broadcast together.
 MEMORY_ROWS, QUERY_ROWS, TOGETHER = 2048, 2048, 16
@@ -26,10 +28,15 @@ PAIRS, SCORED = 32, 512
 NEAR = 1e-11
 #: Digits of a cosine in which equal ones agree, however the sums were taken.
 TIE_DIGITS = 12
-#: A gram of one query in so many is common. Common grams, and memories, whose presence is held as a matrix at once.
-OFTEN, WIDE, TALL = 25, 1 << 13, 256
+#: A gram of one memory in so many is frequent. Grams that have a bit, and memories whose presence is held as a matrix at once.
+OFTEN, WIDE, TALL = 12, 1 << 12, 512
 #: Counts of other grams that are held at once.
 HELD = 1 << 22
+#: Queries in the sample that the bits are chosen by, about; kinds of texts; coded rows travel in blocks so many times as long, so
+#: many pairs of blocks at once.
+SAMPLE, KINDS, CODED, CODED_PAIRS = 1024, 8, 4, 4
+#: Room for rounding in bounds. One pair in so many left is more than few.
+ROOM, FEW = 1e-5, 16
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -47,7 +54,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
+def packed(rows: DataFrame, size: int, sort: str | list[tuple[str, str]]) -> DataFrame:
     """Rows as arrays, in blocks of at most ``size`` rows and about ``BLOCK_VALUES`` values of an array column."""
     ship(rows.sparkSession)
     schema = StructType([StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields])
@@ -66,13 +73,12 @@ def packed(rows: DataFrame, size: int, sort: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str], rows: int, spread: bool) -> list[DataFrame]:
+def pairs(queries: DataFrame, memory: DataFrame, sort: tuple[str, str], rows: int) -> list[DataFrame]:
     """Packed memory beside packed blocks of at most ``rows`` queries, some blocks at a time: as many plans as there are broadcasts.
-    ``spread``: blocks of memory are dealt to all cores, as a file of vectors has few splits; grams stay where they are made."""
+    Blocks of memory are dealt to all cores, as a file of vectors has few splits."""
     n = queries.count()
     parts = max(1, -(-n // (QUERY_ROWS * TOGETHER)))
-    held = packed(memory, MEMORY_ROWS, sort[1])
-    held = held.repartition(2 * memory.sparkSession.sparkContext.defaultParallelism) if spread else held
+    held = packed(memory, MEMORY_ROWS, sort[1]).repartition(2 * memory.sparkSession.sparkContext.defaultParallelism)
     of = lambda i: queries.where(F.pmod(F.xxhash64(sort[0]), F.lit(parts)) == i) if parts > 1 else queries
     blocks = [packed(of(i).coalesce(max(1, min(8, n // parts // rows))), rows, sort[0]) for i in range(parts)]
     return [held.crossJoin(F.broadcast(b)) for b in blocks]  # QUERY_ROWS * TOGETHER queries and a few more at most
@@ -188,76 +194,239 @@ def cosines(queries: DataFrame, memory: DataFrame, k: int, same_kind: bool) -> D
                 yield pa.RecordBatch.from_arrays([asked, ids, kinds, score], ["query_id", "id", "kind", "score"])
 
     out = joined_type(queries, memory, memory.schema["kind"], *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), QUERY_ROWS, True)])
-
-
-def in_common(who: np.ndarray, gram_q: np.ndarray, doc: np.ndarray, gram_m: np.ndarray, nq: int, nm: int, n_grams: int) -> np.ndarray:
-    """How many grams each query has in common with each memory, from (who, gram_q) and (doc, gram_m) pairs: those that many
-    queries have by a matrix product, the others by walking their queries."""
-    often = np.bincount(gram_q, minlength=n_grams) * OFTEN >= nq
-    common = np.zeros((nq, nm), np.float32)  # whole numbers, exact below 2 ** 24
-    place = np.cumsum(often) - 1
-    wide = int(often.sum())
-    for begin in range(0, wide, WIDE):
-        a = np.zeros((nq, min(WIDE, wide - begin)), np.float32)
-        mine = often[gram_q] & (place[gram_q] // WIDE * WIDE == begin)
-        a[who[mine], place[gram_q[mine]] - begin] = 1
-        theirs = often[gram_m] & (place[gram_m] // WIDE * WIDE == begin)
-        rows, columns = doc[theirs], place[gram_m[theirs]] - begin
-        for first in range(0, nm, TALL):
-            some = slice(*np.searchsorted(rows, (first, first + TALL)))
-            m = np.zeros((min(TALL, nm - first), a.shape[1]), np.float32)
-            m[rows[some] - first, columns[some]] = 1
-            common[:, first : first + TALL] += a @ m.T
-    order = np.argsort(gram_q, kind="stable")
-    asks, begins = who[order], np.searchsorted(gram_q[order], np.arange(n_grams + 1))
-    rare = ~often[gram_m]
-    doc, gram = doc[rare], gram_m[rare]
-    n = begins[gram + 1] - begins[gram]
-    out = common.astype(np.int64).ravel()
-    for some in np.split(np.arange(len(gram)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1):
+    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), QUERY_ROWS)])
+
+
+class Book(NamedTuple):
+    """The grams whose presence is held as bits, sorted; a centre of each kind of text over those bits; the kind that has each most."""
+
+    grams: np.ndarray
+    centres: np.ndarray
+    kind: np.ndarray
+
+    def bits(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, presence of the book's grams, the row of each other gram, the other grams)"""
+        n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        grams, who = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+        out = np.zeros((len(n), len(self.kind)), np.uint8)
+        if not len(self.grams):
+            return n, out, who, grams
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        hit = self.grams[at] == grams
+        out[who[hit], at[hit]] = 1
+        return n, out, who[~hit], grams[~hit]
+
+
+def book(lists: pa.Array) -> Book:
+    """The most frequent grams of a sample and its kinds of texts. They only say in which order and how rows are counted: any book
+    gives the same result."""
+    grams, counts = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    grams = np.sort(grams[np.argsort(-counts, kind="stable")[:WIDE]])
+    width = max(64, -(-len(grams) // 64) * 64)
+    held = Book(grams, np.zeros((width, KINDS), np.float32), np.zeros(width, np.int64)).bits(lists)[1].astype(np.float32)
+    held /= np.maximum(np.sqrt(held.sum(1, keepdims=True)), 1)
+    centres, rng = np.zeros((width, KINDS), np.float32), np.random.default_rng(1)
+    for i in range(KINDS if len(held) else 0):  # each first centre is a row, far ones sooner
+        far = np.maximum(1 - (held @ centres[:, :i]).max(1), 1e-9) if i else np.ones(len(held))
+        centres[:, i] = held[rng.choice(len(held), p=far / far.sum())]
+    for _ in range(8 if len(held) else 0):
+        of = np.eye(KINDS, dtype=np.float32)[(held @ centres).argmax(1)]
+        centres = held.T @ of
+        centres /= np.maximum(np.sqrt((centres**2).sum(0)), 1e-9)
+    return Book(grams, centres, centres.argmax(1))
+
+
+def coded(rows: DataFrame, name: str, grams: str, held: Book, prefix: str = "") -> DataFrame:
+    """Rows (id, grams) as (id, kind of text, size, bits of the book's grams, how many of each kind, the other grams)."""
+    ship(rows.sparkSession)
+    names = [name, *(prefix + c for c in ("kind", "n", "bits", "groups", "rest"))]
+    schema = StructType([rows.schema[name], *StructType.fromDDL(f"{names[1]} int, {names[2]} int, {names[3]} binary, {names[4]} binary, {names[5]} array<long>").fields])
+    group = np.eye(KINDS, dtype=np.float32)[held.kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, SCORED):
+                some = b.slice(i, SCORED)
+                n, bits, who, rest = held.bits(some.column(grams))
+                present = bits.astype(np.float32)
+                kind, counts = (present @ held.centres).argmax(1), (present @ group).astype(np.int32)
+                ends = np.searchsorted(who, np.arange(len(n) + 1)).astype(np.int32)
+                cells = [[r.tobytes() for r in x] for x in (np.packbits(bits, axis=1, bitorder="little"), counts)]
+                columns = [some.column(name), pa.array(kind, pa.int32()), pa.array(n, pa.int32()), *(pa.array(c, pa.binary()) for c in cells), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.select(name, grams).mapInArrow(run, schema)
+
+
+class Coded:
+    """A packed block of coded rows."""
+
+    def __init__(self, row: pa.RecordBatch, name: str, prefix: str = ""):
+        cell = lambda c: unpacked(row, prefix + c)
+        self.ids, self.n = unpacked(row, name), cell("n").to_numpy().astype(np.int64)
+        bits, groups = (b"".join(cell(c).to_pylist()) for c in ("bits", "groups"))
+        self.bits = np.frombuffer(bits, np.uint8).reshape(len(self.n), -1)
+        rest = cell("rest")
+        length = rest.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.rest, self.ends = rest.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(length))
+        self.groups = np.vstack([np.frombuffer(groups, np.int32).reshape(len(self.n), -1).T, length[None]])
+
+    def tile(self, first: int, size: int) -> Tile:
+        return Tile(self, slice(first, min(first + size, len(self.n))))
+
+
+class Tile:
+    """Some rows of a block, next to each other."""
+
+    def __init__(self, block: Coded, at: slice):
+        self.n, self.bits, self.groups = block.n[at], block.bits[at], block.groups[:, at]
+        ends = block.ends[at.start : at.stop + 1]
+        rest, who = block.rest[ends[0] : ends[-1]], np.repeat(np.arange(len(self.n)), np.diff(ends))
+        order = np.argsort(rest, kind="stable")
+        self.rest, self.who = rest[order], who[order]
+        self.small = self.groups.astype(np.int16) if self.groups.max(initial=0) < 1 << 14 else None
+
+    @cached_property
+    def present(self) -> np.ndarray:
+        """A row for each gram of the book."""
+        return np.ascontiguousarray(np.unpackbits(self.bits, axis=1, bitorder="little").T)
+
+    @cached_property
+    def often(self) -> np.ndarray:
+        """Grams that one row of ``OFTEN`` or more has."""
+        return np.flatnonzero(self.present.sum(1, dtype=np.int64) * OFTEN >= len(self.n))
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        return self.present[self.often].astype(np.float32)
+
+
+def bounded(q: Tile, m: Tile, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """No more grams than this are common: of each group, no more than the one that has fewer."""
+    a, b = (q.small, m.small) if q.small is not None and m.small is not None else (q.groups, m.groups)
+    a, b = a[:, rows, None], b[:, None, columns]
+    out = np.minimum(a[0], b[0])
+    for i in range(1, len(a)):
+        out += np.minimum(a[i], b[i])
+    return out
+
+
+def counted(q: Tile, m: Tile, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How many grams each pair (r, c), in order, has in common."""
+    a, b = q.bits.view(np.uint64), m.bits.view(np.uint64)
+    out, step = np.zeros(len(r), np.int64), max(1, BLOCK_VALUES // a.shape[1])
+    for i in range(0, len(r), step):
+        some = slice(i, i + step)
+        out[some] = np.bitwise_count(a[r[some]] & b[c[some]]).sum(1, dtype=np.int64)
+    begin = np.searchsorted(q.rest, m.rest)
+    n = np.searchsorted(q.rest, m.rest, "right") - begin
+    met = np.flatnonzero((n > 0) & np.isin(m.who, c))
+    begin, n, doc, asked = begin[met], n[met], m.who[met], r * len(m.n) + c
+    for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HELD)) + 1) if len(n) else []:
         k = n[some]
-        at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begins[gram[some]], k)
-        out += np.bincount(asks[at] * nm + np.repeat(doc[some], k), minlength=len(out))
-    return out.reshape(nq, nm)
+        at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[some], k)
+        key = q.who[at] * len(m.n) + np.repeat(doc[some], k)
+        place = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+        out += np.bincount(place[asked[place] == key], minlength=len(out))
+    return out
+
+
+def share(floor: np.ndarray) -> np.ndarray:
+    """Of both sizes, what must be common for a score of ``floor``; a little less, for rounding."""
+    return floor / (1 + floor) * (1 - ROOM)
+
+
+def need(floor: np.ndarray, nq: np.ndarray, nm: np.ndarray) -> np.ndarray:
+    return share(floor).astype(np.float32)[:, None] * (nq.astype(np.float32)[:, None] + nm.astype(np.float32))
+
+
+def fitting(q: Tile, m: Tile, rows: np.ndarray, columns: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Those of ``rows`` that may reach their floor with one of ``columns``, by sizes and by the most of each group."""
+    nq, nm, f = q.n[rows], m.n[columns], floor[rows]
+    most = np.minimum(m.groups[:, columns].max(1)[:, None], q.groups[:, rows]).sum(0)
+    return rows[(nq >= f * nm.min() * (1 - ROOM)) & (nq * f * (1 - ROOM) <= nm.max()) & (most >= share(f) * (nq + nm.min()))]
+
+
+def left_over(q: Tile, m: Tile, asked: np.ndarray, held: np.ndarray, frequent: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, memory) of pairs that are still to be counted after a bound by groups and one by a matrix product of the grams that are
+    ``frequent``, as the queries have them."""
+    low = np.full(len(m.n), floor[asked].min())
+    held = fitting(m, q, held, asked, low)
+    near = bounded(q, m, asked, held) >= need(floor[asked], q.n[asked], m.n[held])
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    if len(rows) * len(columns) < near.size:
+        near, asked, held = near[rows][:, columns], asked[rows], held[columns]
+    if near.size:
+        nq, nm = q.n[asked], m.n[held]
+        a = frequent[:, asked[0] : asked[-1] + 1].take(asked - asked[0], axis=1).astype(np.float32)
+        b = m.dense if len(held) == len(m.n) else m.dense.take(held, axis=1)
+        common = a.T @ b
+        left = np.minimum((nq - a.sum(0)).astype(np.float32)[:, None], (nm - b.sum(0)).astype(np.float32))
+        left += common
+        near &= left >= need(floor[asked], nq, nm)
+        if len(held) > k and np.count_nonzero(near) * FEW > near.size:  # k memories have these scores or more
+            least = common / (nq.astype(np.float32)[:, None] + nm.astype(np.float32) - common)
+            raised = np.maximum(floor[asked], np.partition(least, -k, axis=1)[:, -k].astype(float) * (1 - ROOM))
+            near &= left >= need(raised, nq, nm)
+    r, c = np.nonzero(near)
+    return asked[r], held[c]
+
+
+def alike(q: Tile, m: Tile, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, memory, score) of pairs that reach the query's floor, and may be among the k best. Pairs leave as soon as a bound of
+    what they have in common is too low, and what is left is counted."""
+    asked, held = np.flatnonzero(q.n > 0), np.flatnonzero(m.n > 0)
+    if len(asked) and len(held):
+        asked = fitting(q, m, asked, held, floor)
+    parts = [asked[i : i + SCORED] for i in range(0, len(asked) if len(held) else 0, SCORED)]
+    frequent = q.present[m.often] if parts else None
+    pairs_ = [left_over(q, m, some, held, frequent, floor, k) for some in parts]
+    r, c = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs_)]) for i in (0, 1))
+    if not len(r):
+        return r, c, np.zeros(0)
+    both = counted(q, m, r, c)
+    score = both / np.maximum(q.n[r] + m.n[c] - both, 1)
+    keep = (both > 0) & (score >= floor[r])
+    return r[keep], c[keep], score[keep]
 
 
 def jaccards(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
     """(query_id, id, score): the k best of each task's blocks of ``memory`` (id, grams) for each of ``queries`` (query_id, asked), by the
-    share of their distinct 64-bit grams that is common, ``threshold`` at least."""
+    share of their distinct 64-bit grams that is common, ``threshold`` at least. Rows travel as bits, rows of like texts and sizes
+    beside each other; a bounded sample of the queries says which grams have a bit."""
+    asked, spark = written(queries, SCORED), queries.sparkSession
+    n = asked.count()
+    parts = max(1, -(-n // (QUERY_ROWS * TOGETHER)))
+    some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // SAMPLE))) == 0).select(F.slice("asked", 1, WIDE).alias("asked")).limit(2 * SAMPLE)
+    held = book(some.toArrow().column("asked").combine_chunks())
+    of = lambda i: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else asked
+    lay = lambda rows, size, p: written(packed(rows, CODED * size, [(p + "kind", "ascending"), (p + "n", "ascending")]), SCORED)
+    kept = lay(coded(memory, "id", "grams", held).repartition(2 * spark.sparkContext.defaultParallelism), MEMORY_ROWS, "")
+    blocks = [lay(coded(of(i), "query_id", "asked", held, "q_").repartition(1), QUERY_ROWS, "q_") for i in range(parts)]  # bounded, see parts
+    columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, Leaders] = {}
+        last = None
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                asked, held = unpacked(row, "asked"), unpacked(row, "grams")
-                nq, nm = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (asked, held))
-                asks, ids = unpacked(row, "query_id"), unpacked(row, "id")
-                mine = leaders(seen, asks, k, threshold)
-                # no more can be common than the shorter one has: rows whose sizes lie too far apart are not counted
-                few, many = np.minimum(nq[:, None], nm), np.maximum(np.maximum(nq[:, None], nm), 1)
-                near = (few > 0) & (few >= (mine.floor - NEAR)[:, None] * many)
-                rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                if not len(rows):
-                    continue
-                asked, held, nq, nm = asked.take(pa.array(rows)), held.take(pa.array(columns)), nq[rows], nm[columns]
-                words, inverse = np.unique(asked.flatten().to_numpy(), return_inverse=True)
-                grams = held.flatten().to_numpy()
-                at = np.minimum(np.searchsorted(words, grams), max(0, len(words) - 1))
-                hit = (words[at] == grams) if len(words) else np.zeros(len(grams), bool)
-                who, doc, at = np.repeat(np.arange(len(nq)), nq), np.repeat(np.arange(len(nm)), nm)[hit], at[hit]
-                common = in_common(who, inverse, doc, at, len(nq), len(nm), len(words))
-                score = common / np.maximum(nq[:, None] + nm - common, 1)
-                r, c = np.nonzero((common > 0) & (score >= np.maximum(mine.floor[rows], threshold)[:, None]))
-                mine.take(rows[r], score[r, c], None, ids.take(pa.array(columns[c])))
+                if last is None or not row.select(columns).equals(last):  # a block of memory comes with one of queries after the other
+                    last = row.select(columns)
+                    block = Coded(row, "id")
+                    tiles = [(first, block.tile(first, TALL)) for first in range(0, len(block.n), TALL)]
+                asks = Coded(row, "query_id", "q_")
+                mine, q = leaders(seen, asks.ids, k, threshold), asks.tile(0, len(asks.n))
+                for begin, m in tiles:
+                    r, c, score = alike(q, m, mine.floor, k)
+                    mine.take(r, score, None, block.ids.take(pa.array(c + begin)))
         for x in seen.values():
             if x.rows is not None:
                 asks, score, ids = x.out()
                 yield pa.RecordBatch.from_arrays([asks, ids, score], ["query_id", "id", "score"])
 
     out = joined_type(queries, memory, *StructType.fromDDL("score double").fields)
-    return union([p.mapInArrow(run, out) for p in pairs(queries, memory, ("query_id", "id"), min(SCORED, QUERY_ROWS), False)])
+    return union([kept.crossJoin(F.broadcast(b)).mapInArrow(run, out) for b in blocks])
 
 
 _WORD_CHARACTERS: list[np.ndarray] = []

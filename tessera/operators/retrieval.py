@@ -42,9 +42,9 @@ def neighbours_by_id(queries: DataFrame, memory: DataFrame, k: int) -> DataFrame
 
 
 def trigram_topk(queries: DataFrame, memory: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Trigram similarity of a stated query set (``grams``: see ``blocks.with_grams``): what grams blocks of queries and blocks of
-    memory have in common is a matrix product in a task; no gram is a row of a shuffle."""
-    return written(rank_by(blocks.jaccards(queries.select("query_id", F.col("grams").alias("asked")), memory.select("id", "grams"), k, threshold), F.desc("score"), k), blocks.PAIRS)
+    """Trigram similarity of a stated query set (``grams``: see ``blocks.with_grams``): pairs of blocks of queries and of memory are
+    bounded by sizes and groups of grams, then by a matrix product, and what is left is counted; no gram is a row of a shuffle."""
+    return written(rank_by(blocks.jaccards(queries.select("query_id", F.col("grams").alias("asked")), memory.select("id", "grams"), k, threshold), F.desc("score"), k), blocks.CODED_PAIRS)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,61 @@ def test_batches_of_packed_rows_are_bounded(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
     joined = list(blocks.gathered(iter([pa.RecordBatch.from_pydict({"x": list(range(3))})] * 5), 6))
     assert [b.num_rows for b in joined] == [6, 6, 3]
+
+
+def coded_tile(held, lists):
+    n, bits, who, rest = held.bits(lists)
+    block = blocks.Coded.__new__(blocks.Coded)
+    block.n, block.bits, block.rest, block.ends = n, np.packbits(bits, axis=1, bitorder="little"), rest, np.searchsorted(who, np.arange(len(n) + 1))
+    block.groups = np.vstack([(bits.astype(int) @ np.eye(blocks.KINDS, dtype=int)[held.kind]).astype(np.int32).T, np.diff(block.ends).astype(np.int32)[None]])
+    return block.tile(0, len(n))
+
+
+@pytest.mark.parametrize("wide", [64, 512])
+def test_few_pairs_of_texts_are_counted(monkeypatch, wide):
+    """Texts of other kinds and sizes, and those that cannot be among the best, leave by a bound; what stays is as if all were counted."""
+    monkeypatch.setattr(blocks, "WIDE", wide)
+    rng = random.Random(3)
+    sets = [frozenset(rng.sample(range(200 * (i % 3), 200 * (i % 3) + 260), rng.choice((20, 60, 120)))) for i in range(300)]
+    sets += [s - {min(s)} for s in sets[:60]] + [frozenset(), frozenset({10_000}), frozenset(range(20_000, 40_000)), frozenset(range(20_001, 40_001))]
+    lists = pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))
+    held = blocks.book(lists.slice(0, 100))
+    met = []
+    plain = blocks.counted
+    monkeypatch.setattr(blocks, "counted", lambda q, m, r, c: met.append(len(r)) or plain(q, m, r, c))
+    r, c, score = blocks.alike(coded_tile(held, lists), coded_tile(held, lists), np.full(len(sets), 0.25), 2)
+    got = {}
+    for q, i, x in sorted(zip(r.tolist(), c.tolist(), score.tolist()), key=lambda x: (x[0], -x[2], x[1])):
+        got.setdefault(q, []).append((i, x))
+    for q, a in enumerate(sets):
+        scored = sorted((-len(a & b) / len(a | b), i) for i, b in enumerate(sets) if a & b and len(a & b) / len(a | b) >= 0.25)
+        assert got.get(q, [])[:2] == [(i, -s) for s, i in scored[:2]]
+    assert sum(met) < len(sets) ** 2 / 8 or wide == 64  # there most grams have no bit
+
+
+def test_grams_of_memory_are_made_once(spark, monkeypatch):
+    """However many broadcasts the queries take; empty lists, equal scores and repeated texts among them."""
+    for name, value in {"MEMORY_ROWS": 3, "QUERY_ROWS": 4, "TOGETHER": 2, "TALL": 5, "SCORED": 3, "WIDE": 24, "CODED": 2, "HELD": 8}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(40), rng.choice((1, 3, 8, 9)))) for _ in range(90)]
+    rows = [(i, s) for i, s in enumerate(sets + sets[:20] + [[]])]
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(rows, "id long, grams array<long>")
+    asked = frame.where("id % 3 = 0").select(F.col("id").alias("query_id"), "grams")
+    got = {}
+    for r in retrieval.trigram_topk(asked, frame.mapInArrow(count, frame.schema), 4, 0.25).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    for q, a in rows:
+        if q % 3 == 0:
+            both = {i: len({*a} & {*b}) for i, b in rows}
+            scored = sorted((-both[i] / (len(a) + len(b) - both[i]), i) for i, b in rows if both[i] and both[i] / (len(a) + len(b) - both[i]) >= 0.25)
+            assert got.get(q, []) == [(i, -s) for s, i in scored[:4]]
+    assert made.value == len(rows)
+    assert retrieval.trigram_topk(asked.limit(0), frame, 3, 0.25).count() == 0 == retrieval.trigram_topk(asked, frame.limit(0), 3, 0.25).count()
