@@ -54,14 +54,15 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def packed(rows: DataFrame, size: int, sort: str | list[tuple[str, str]]) -> DataFrame:
-    """Rows as arrays, in blocks of at most ``size`` rows and about ``BLOCK_VALUES`` values of an array column."""
+def packed(rows: DataFrame, size: int, sort: str | list[tuple[str, str]], at_once: int = AT_ONCE) -> DataFrame:
+    """Rows as arrays, in blocks of at most ``size`` rows and about ``BLOCK_VALUES`` values of an array column; so many blocks are sorted
+    and cut together."""
     ship(rows.sparkSession)
     schema = StructType([StructField(f.name, ArrayType(f.dataType)) for f in rows.schema.fields])
     listed = [f.name for f in rows.schema.fields if isinstance(f.dataType, ArrayType)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches, AT_ONCE * size):
+        for b in gathered(batches, at_once * size):
             b = b.sort_by(sort)
             values = np.cumsum(sum(np.nan_to_num(b.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(float)) for c in listed)) // BLOCK_VALUES
             cuts = np.flatnonzero((np.diff(np.arange(b.num_rows) // size) != 0) | (np.diff(values) != 0)) + 1
@@ -114,9 +115,13 @@ class Leaders:
     def take(self, row: np.ndarray, score: np.ndarray, digits: int | None, ids: pa.Array, *more: pa.Array) -> None:
         if not len(row):
             return
-        cells = [pa.array(row), pa.array(score + 0.0), ids, *more]
-        if self.rows is not None:
-            cells = [pa.concat_arrays([a, b]) for a, b in zip(self.rows, cells)]
+        cells, others = [pa.array(row), pa.array(score + 0.0), ids, *more], None
+        if self.rows is not None:  # only queries with a new row are sorted again
+            fresh = np.zeros(len(self.asks), bool)
+            fresh[row] = True
+            fresh = fresh[self.rows[0].to_numpy()]
+            others = [c.filter(pa.array(~fresh)) for c in self.rows]
+            cells = [pa.concat_arrays([a.filter(pa.array(fresh)), b]) for a, b in zip(self.rows, cells)]
         row, score, names = (c.to_numpy(zero_copy_only=False) for c in cells[:3])
         score = score if digits is None else score.round(digits)
         names = np.unique(names, return_inverse=True)[1] if names.dtype == object else names
@@ -127,6 +132,8 @@ class Leaders:
         last = order[place == self.k - 1]
         self.floor[cells[0].to_numpy()[last]] = score[last]
         self.rows = [c.take(pa.array(keep)) for c in cells]
+        if others is not None:
+            self.rows = [pa.concat_arrays([a, b]) for a, b in zip(others, self.rows)]
 
     def out(self) -> list[pa.Array]:
         row, score, *others = self.rows
@@ -400,9 +407,9 @@ def jaccards(queries: DataFrame, memory: DataFrame, k: int, threshold: float) ->
     some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n // SAMPLE))) == 0).select(F.slice("asked", 1, WIDE).alias("asked")).limit(2 * SAMPLE)
     held = book(some.toArrow().column("asked").combine_chunks())
     of = lambda i: asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else asked
-    lay = lambda rows, size, p: written(packed(rows, CODED * size, [(p + "kind", "ascending"), (p + "n", "ascending")]), SCORED)
-    kept = lay(coded(memory, "id", "grams", held).repartition(2 * spark.sparkContext.defaultParallelism), MEMORY_ROWS, "")
-    blocks = [lay(coded(of(i), "query_id", "asked", held, "q_").repartition(1), QUERY_ROWS, "q_") for i in range(parts)]  # bounded, see parts
+    lay = lambda rows, size, p, at_once: written(packed(rows, CODED * size, [(p + "kind", "ascending"), (p + "n", "ascending")], at_once), SCORED)
+    kept = lay(coded(memory, "id", "grams", held).repartition(2 * spark.sparkContext.defaultParallelism), MEMORY_ROWS, "", 1)  # all kinds in each block: the first one sets a floor for all queries
+    blocks = [lay(coded(of(i), "query_id", "asked", held, "q_").repartition(1), QUERY_ROWS, "q_", AT_ONCE) for i in range(parts)]  # bounded, see parts
     columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
